@@ -113,6 +113,16 @@ SHARED = {
     " ELSE coalesce(n.subscription_status, 'not_started') END AS status,"
     f" coalesce(o.created_at, {NOW}) AS created_at, o.deleted_at"
     " FROM stripe_subscriptions o FULL JOIN newest n ON n.customer_id = o.customer_id",
+    # Trials after the events: converted for good, then expired and scheduled.
+    "event_payers": "SELECT DISTINCT c.user_id FROM live_customers c"
+    " JOIN routed e ON e.customer = c.customer_id WHERE e.route = 'subscription_sync'"
+    f" AND e.subscription_status IN {PAYS}",
+    "payers_after": "SELECT user_id FROM live_customers WHERE customer_id IN"
+    f" (SELECT customer_id FROM merged WHERE deleted_at IS NULL AND status IN {PAYS})",
+    "judged_after": "SELECT *, converts OR (pays_after AND trial_status <>"
+    " 'converted_to_paid') AS paid, NOT converts AND NOT pays_after AND NOT safe AS open"
+    " FROM (SELECT f.*, user_id IN (SELECT user_id FROM event_payers) AS converts,"
+    " user_id IN (SELECT user_id FROM payers_after) AS pays_after FROM flagged f)",
     "first_orders": "SELECT * FROM routed WHERE route = 'order_insert' QUALIFY row_number()"
     " OVER (PARTITION BY checkout_session_id ORDER BY created, event_id) = 1",
     "known": "SELECT * FROM deleted_account_history",
@@ -272,9 +282,7 @@ _CHANGE_EFFECTS = (
     " END AS trial_status, CASE WHEN p.user_id IS NULL THEN deletion_scheduled_at END"
     " AS deletion_scheduled_at,"
     f" CASE WHEN p.user_id IS NULL THEN updated_at ELSE {NOW} END AS updated_at"
-    " FROM user_trials t LEFT JOIN (SELECT DISTINCT c.user_id FROM live_customers c"
-    " JOIN routed e ON e.customer = c.customer_id WHERE e.route = 'subscription_sync'"
-    f" AND e.subscription_status IN {PAYS}) p ON p.user_id = t.user_id"
+    " FROM user_trials t LEFT JOIN event_payers p ON p.user_id = t.user_id"
 )
 
 _TIMED = (
@@ -285,19 +293,18 @@ _TIMED = (
     f" WHERE trial_status = 'active' AND NOT safe AND NOT pays) WHERE due_at < {NOW}"
 )
 
-# Access of the users whose trial or subscription an event stream touched.
+# Access of the users whose subscription an event stream touched.
 _ACCESS_UPDATES = (
-    "SELECT a.user_id, a.has_access, a.access_type, a.days_remaining FROM"
-    " (SELECT m.user_id, c.status, k.micros, k.trial_status,"
-    " cast(k.micros // 86400000000 AS INTEGER) AS days_remaining,"
-    f" coalesce(c.status IN {PAYS}, false) OR (k.trial_status = 'active' AND k.micros > 0)"
-    " AS has_access, CASE WHEN c.status = 'active' THEN 'paid_subscription'"
-    " WHEN c.status = 'trialing' THEN 'stripe_trial'"
-    " WHEN k.trial_status = 'active' AND k.micros > 0 THEN 'free_trial' ELSE 'no_access' END"
-    " AS access_type FROM live_customers m JOIN newest n ON n.customer_id = m.customer_id"
+    "SELECT user_id, has_access, CASE WHEN status = 'active' THEN 'paid_subscription'"
+    " WHEN status = 'trialing' THEN 'stripe_trial' WHEN has_access THEN 'free_trial'"
+    " ELSE 'no_access' END AS access_type, days_remaining FROM (SELECT m.user_id, c.status,"
+    f" cast(k.micros // 86400000000 AS INTEGER) AS days_remaining,"
+    f" coalesce(c.status IN {PAYS}, false) OR (k.trial_status = 'active' AND k.micros > 0"
+    " AND m.user_id NOT IN (SELECT user_id FROM event_payers)) AS has_access"
+    " FROM live_customers m JOIN newest n ON n.customer_id = m.customer_id"
     " JOIN clocked k ON k.user_id = m.user_id"
     " LEFT JOIN (SELECT * FROM merged WHERE deleted_at IS NULL) c"
-    " ON c.customer_id = m.customer_id) a"
+    " ON c.customer_id = m.customer_id)"
 )
 
 _MERGED_OUT = (
@@ -560,6 +567,18 @@ STATEMENTS = {
     " (SELECT checkout_session_id FROM stripe_orders)",
     "subscription_change_effects": _CHANGE_EFFECTS,
     "checkout_validation": "SELECT event_id, reason FROM reasons",
+    "checkout_body_validation": "SELECT event_id, CASE "
+    + " ".join(
+        f"WHEN coalesce(json_type(body, '$.{p}'), 'NULL') = 'NULL'"
+        f" THEN 'Missing required parameter {p}'"
+        f" WHEN json_type(body, '$.{p}') <> 'VARCHAR' THEN concat("
+        f"'Expected parameter {p} to be a string got ', json_extract(body, '$.{p}'))"
+        for p in ("price_id", "success_url", "cancel_url")
+    )
+    + " WHEN coalesce(json_extract_string(body, '$.mode'), '') NOT IN"
+    " ('payment', 'subscription')"
+    " THEN 'Expected parameter mode to be one of payment, subscription' END AS reason"
+    " FROM checkout_bodies",
     "checkout_provisioning": "SELECT event_id, user_id, action FROM judged",
     "checkout_inserts": "SELECT user_id,"
     " max(coalesce(customer_id, concat('cus_new_', user_id))) AS customer_id,"
@@ -610,6 +629,15 @@ STATEMENTS = {
     " FROM first_orders",
     "stream_signups": _SIGNUP_RESULT,
     "stream_subscription_effects": _CHANGE_EFFECTS,
+    "stream_synced_trials": "SELECT user_id, CASE WHEN paid THEN 'converted_to_paid'"
+    " WHEN open AND lapsed THEN 'expired' WHEN open AND late THEN 'scheduled_for_deletion'"
+    " ELSE trial_status END AS trial_status, CASE WHEN paid THEN NULL"
+    f" WHEN open AND lapsed THEN {NOW} + INTERVAL '1' DAY ELSE deletion_scheduled_at END"
+    " AS deletion_scheduled_at, CASE WHEN paid OR (open AND (lapsed OR late))"
+    f" THEN {NOW} ELSE updated_at END AS updated_at FROM (SELECT *,"
+    f" trial_status = 'active' AND trial_end_date < {NOW} AS lapsed,"
+    f" trial_status = 'expired' AND coalesce(deletion_scheduled_at < {NOW}, false) AS late"
+    " FROM judged_after)",
     "stream_access_updates": _ACCESS_UPDATES,
     "stream_trial_timers": _TIMED,
 }

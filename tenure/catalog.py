@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tenure.functions import clock
 from tenure.functions.text import as_json_rows
-from tenure.model import Tables
+from tenure.model import Tables, struct
 from tenure.operators import quality
 from tenure.operators.entitlement import entitled_rows
 from tenure.operators.keyed import change_feed
 from tenure.plans import access, accounts, billing, trials
-from tenure.sources.derived import AS_OF, PROTECTED_IDS, derived_tables
+from tenure.session import shared_dir
+from tenure.sources.derived import AS_OF, PROTECTED_IDS, derived_stream, derived_tables
+from tenure.sources.tables import read_stream
+from tenure.streaming.signups import SignupStream
+from tenure.streaming.timers import run_trial_timers
+from tenure.streaming.webhooks import AccessUpdates, WebhookStream
 
 C = F.col
 
@@ -223,6 +229,7 @@ BATCH: dict[str, Callable[[Tables], DataFrame]] = {
         *ORDER_VIEW, "created_at"
     ),
     "checkout_validation": lambda t: billing.checkout_validation(t.checkout_requests),
+    "checkout_body_validation": lambda t: billing.checkout_body_validation(t.checkout_bodies),
     "checkout_provisioning": lambda t: billing.checkout_provisioning(t, t.checkout_requests),
     "checkout_inserts": lambda t: billing.checkout_inserts(t, t.checkout_requests),
     "external_directory_match": lambda t: billing.external_directory_match(
@@ -239,3 +246,85 @@ def batch_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         return lambda spark, sf_dir: job(derived_tables(spark, sf_dir))
 
     return {name: bind(job) for name, job in BATCH.items()}
+
+
+# Streams --------------------------------------------------------------------
+# Each replays its source file to the end and returns the state reached.
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived_stream(spark, sf_dir, "webhook_events")
+
+
+def _webhooks(spark: SparkSession, sf_dir: str) -> WebhookStream:
+    t = derived_tables(spark, sf_dir)
+    stream = WebhookStream(spark, t, AS_OF, shared_dir(spark, "webhooks"))
+    return stream.run(_events(spark, sf_dir))
+
+
+def stream_webhooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _webhooks(spark, sf_dir).subscriptions().select(*SUBSCRIPTION_VIEW)
+
+
+def stream_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _webhooks(spark, sf_dir).new_orders().select(*ORDER_VIEW)
+
+
+def stream_subscription_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _webhooks(spark, sf_dir).trials().select(*_TRIAL_VIEW)
+
+
+def stream_synced_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _webhooks(spark, sf_dir).synced_trials(PROTECTED_IDS).select(*_TRIAL_VIEW)
+
+
+def stream_access_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = derived_tables(spark, sf_dir)
+    updates = AccessUpdates(spark, t, AS_OF, shared_dir(spark, "access"))
+    latest = updates.run(_events(spark, sf_dir)).latest()
+    return latest.select("user_id", "has_access", "access_type", "days_remaining")
+
+
+def stream_signups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = derived_tables(spark, sf_dir)
+    signups = derived_stream(spark, sf_dir, "signups")
+    stream = SignupStream(spark, t, shared_dir(spark, "signups")).run(signups)
+    return stream.provisioned().select(*SIGNUP_VIEW)
+
+
+def stream_trial_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = derived_tables(spark, sf_dir)
+    root = shared_dir(spark, "timers")
+    # The last tick stands a lateness after the as-of time, so that every
+    # timer up to then fires.
+    lateness = "30 days"
+    tick = spark.range(1).select(
+        (clock.instant(AS_OF) + F.expr(f"INTERVAL '{lateness.split()[0]}' DAY")).alias("at")
+    )
+    tick.write.parquet(f"{root}/ticks")
+    ticks = read_stream(spark, f"{root}/ticks", struct(at="ts"))
+    due = run_trial_timers(
+        spark,
+        derived_stream(spark, sf_dir, "user_trials"),
+        ticks,
+        t,
+        PROTECTED_IDS,
+        root,
+        lateness,
+    )
+    return due.filter(C("due_at") < clock.instant(AS_OF))
+
+
+STREAMS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "stream_webhooks": stream_webhooks,
+    "stream_orders": stream_orders,
+    "stream_subscription_effects": stream_subscription_effects,
+    "stream_synced_trials": stream_synced_trials,
+    "stream_access_updates": stream_access_updates,
+    "stream_signups": stream_signups,
+    "stream_trial_timers": stream_trial_timers,
+}
+
+
+def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {**batch_queries(), **STREAMS}

@@ -54,21 +54,35 @@ def webhook_routes(events: DataFrame) -> DataFrame:
 # Subscriptions --------------------------------------------------------------
 
 
-def newest_subscriptions(events: DataFrame) -> DataFrame:
-    """Per customer to sync, the newest subscription its events carry.
+def sync_candidates(events: DataFrame) -> DataFrame:
+    """One row per event that asks for a sync, with the subscription it carries."""
+    carries = C("subscription_id").isNotNull()
+    return events.filter(route() == "subscription_sync").select(
+        C("customer").alias("customer_id"),
+        C("subscription_status").alias("status"),
+        *_CARRIED,
+        *_METHOD,
+        F.when(carries, C("created")).alias("event_at"),
+        F.when(carries, C("event_id")).alias("event_id"),
+    )
+
+
+def newest_candidates(candidates: DataFrame) -> DataFrame:
+    """Per customer, the newest subscription among the candidates.
 
     A customer whose events carry none gets empty columns. One aggregate with
-    partial results before the shuffle; events without a subscription do not
-    take part in the choice of the newest.
+    partial results before the shuffle; rows without a subscription do not
+    take part in the choice. Newest of newest is newest, so the results of
+    several batches can be reduced again.
     """
-    carried = F.struct(C("subscription_status").alias("status"), *_CARRIED, *_METHOD)
-    order = F.when(C("subscription_id").isNotNull(), F.struct(*_EVENT_ORDER))
-    newest = (
-        events.filter(route() == "subscription_sync")
-        .groupBy(C("customer").alias("customer_id"))
-        .agg(F.max_by(carried, order).alias("sub"), F.max(order).alias("at"))
-    )
-    return newest.select("customer_id", "sub.*", C("at.created").alias("event_at"))
+    rest = [c for c in candidates.columns if c != "customer_id"]
+    order = F.when(C("event_at").isNotNull(), F.struct("event_at", "event_id"))
+    newest = F.max_by(F.struct(*rest), order).alias("sub")
+    return candidates.groupBy("customer_id").agg(newest).select("customer_id", "sub.*")
+
+
+def newest_subscriptions(events: DataFrame) -> DataFrame:
+    return newest_candidates(sync_candidates(events))
 
 
 def merge_subscriptions(
@@ -88,7 +102,7 @@ def merge_subscriptions(
     insert = {c: C(f"new.{c}") for c in (*_CARRIED, *_METHOD)}
     insert |= {
         "id": F.xxhash64("new.customer_id"),
-        "cancel_at_period_end": F.coalesce("new.cancel_at_period_end", F.lit(False)),
+        "cancel_at_period_end": F.when(found, C("new.cancel_at_period_end")).otherwise(False),
         "created_at": now,
         "updated_at": now,
     }
@@ -105,10 +119,9 @@ def subscription_upsert(t: Tables, events: DataFrame, as_of: clock.Instant) -> D
     return merge_subscriptions(t.stripe_subscriptions, newest_subscriptions(events), as_of)
 
 
-def _converting_users(t: Tables, changed: DataFrame) -> DataFrame:
-    payers = changed.filter(C("status").isin(*PAYING_STATUSES)).select("customer_id").distinct()
-    customers = live(t.stripe_customers).select("user_id", "customer_id")
-    return customers.join(payers, "customer_id", "left_semi").select("user_id").distinct()
+def paying_customers(changed: DataFrame) -> DataFrame:
+    """The customers that a changed subscription row makes payers."""
+    return changed.filter(C("status").isin(*PAYING_STATUSES)).select("customer_id").distinct()
 
 
 def subscription_change_effects(
@@ -116,9 +129,11 @@ def subscription_change_effects(
 ) -> DataFrame:
     """The next trials after subscription rows (customer_id, status) changed:
     whoever pays now is converted, whatever the trial's state."""
+    customers = live(t.stripe_customers).select("user_id", "customer_id")
+    users = customers.join(paying_customers(changed), "customer_id", "left_semi")
     return apply_update(
         t.user_trials,
-        _converting_users(t, changed),
+        users.select("user_id").distinct(),
         "user_id",
         {
             "trial_status": F.lit("converted_to_paid"),
@@ -154,19 +169,18 @@ def paid_orders(events: DataFrame) -> DataFrame:
     )
 
 
+def first_orders(orders: DataFrame) -> DataFrame:
+    """The first event of each checkout session; repeated events add nothing."""
+    return extreme_per_key(orders, ["checkout_session_id"], _EVENT_ORDER, newest=False)
+
+
 def order_inserts(events: DataFrame) -> DataFrame:
-    """The orders to insert, the first event of each checkout session only."""
-    first = extreme_per_key(
-        paid_orders(events), ["checkout_session_id"], _EVENT_ORDER, newest=False
-    )
-    return first.drop(*_EVENT_ORDER)
+    """The orders to insert, one per checkout session."""
+    return first_orders(paid_orders(events)).drop(*_EVENT_ORDER)
 
 
-def orders_after(t: Tables, events: DataFrame) -> DataFrame:
+def insert_orders(t: Tables, first: DataFrame) -> DataFrame:
     """The next orders: sessions that have an order already are left alone."""
-    first = extreme_per_key(
-        paid_orders(events), ["checkout_session_id"], _EVENT_ORDER, newest=False
-    )
     rows = first.select(
         F.xxhash64("checkout_session_id").alias("id"),
         "*",
@@ -176,6 +190,10 @@ def orders_after(t: Tables, events: DataFrame) -> DataFrame:
     return insert_if_absent(t.stripe_orders, rows, "checkout_session_id")
 
 
+def orders_after(t: Tables, events: DataFrame) -> DataFrame:
+    return insert_orders(t, first_orders(paid_orders(events)))
+
+
 # Checkout -------------------------------------------------------------------
 
 # The checked parameters in order; the last one is a choice.
@@ -200,6 +218,33 @@ def checkout_validation(requests: DataFrame) -> DataFrame:
     return requests.select("event_id", checkout_reason().alias("reason"))
 
 
+def checkout_body_validation(bodies: DataFrame) -> DataFrame:
+    """The same check on raw JSON bodies (event_id, body), where a parameter
+    may also have the wrong type."""
+    parsed = bodies.withColumn("_body", F.parse_json("body"))
+    for name in (*REQUIRED_TEXTS, "mode"):
+        parsed = parsed.withColumn(name, F.try_variant_get("_body", f"$.{name}", "variant"))
+
+    def kind(name: str) -> Column:
+        return F.coalesce(F.schema_of_variant(C(name)), F.lit("VOID"))
+
+    choice = F.when(kind("mode") == "STRING", F.try_variant_get("mode", "$", "string"))
+    reason = F.when(
+        ~F.coalesce(choice.isin(*MODES), F.lit(False)),
+        F.lit(f"Expected parameter mode to be one of {', '.join(MODES)}"),
+    )
+    for name in reversed(REQUIRED_TEXTS):
+        wrong = F.concat(
+            F.lit(f"Expected parameter {name} to be a string got "), F.to_json(C(name))
+        )
+        reason = (
+            F.when(kind(name) == "VOID", F.lit(f"Missing required parameter {name}"))
+            .when(kind(name) != "STRING", wrong)
+            .otherwise(reason)
+        )
+    return parsed.select("event_id", reason.alias("reason"))
+
+
 def _judged(t: Tables, requests: DataFrame) -> DataFrame:
     """Sound requests with the customer and subscription found for the user.
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tenure.model import SCHEMAS, Tables, struct
 from tenure.operators.keyed import extreme_per_key
+from tenure.sources.tables import read_stream
 
 AS_OF = "2024-01-31 00:00:00"
 PROTECTED_IDS = (1, 5, 11)
@@ -451,6 +452,24 @@ def recipes(ts: str) -> dict[str, list[Recipe]]:
                 },
             )
         ],
+        "checkout_bodies": [
+            Recipe(
+                "events",
+                {
+                    "event_id": "event_id",
+                    "body": "concat('{', case when event_id % 11 = 0 then '' when event_id % 19 = 0"
+                    " then concat('\"price_id\":', cast(event_id as string), ',')"
+                    " else '\"price_id\":\"price_pro\",' end,"
+                    " '\"success_url\":\"https://example.com/ok\",',"
+                    " case when event_id % 17 = 0 then '\"cancel_url\":null,'"
+                    " else '\"cancel_url\":\"https://example.com/no\",' end,"
+                    " case when event_id % 13 = 0 then '\"mode\":\"bad\"'"
+                    " when event_id % 3 = 0 then '\"mode\":\"subscription\"'"
+                    " else '\"mode\":\"payment\"' end, '}')",
+                },
+                where="event_type = 'purchase'",
+            )
+        ],
         "checkout_requests": [
             Recipe(
                 "events",
@@ -482,6 +501,27 @@ def _derive(recipe: Recipe, source: DataFrame) -> DataFrame:
     return df.selectExpr(*[f"{sql} as {name}" for name, sql in recipe.columns.items()])
 
 
+def derived_stream(
+    spark: SparkSession, sf_dir: str, name: str, files_per_batch: int | None = None
+) -> DataFrame:
+    """A derived table's rows as a stream over its source file.
+
+    Of a table that picks one row per key, the stream brings all rows, with
+    the columns that decide the pick.
+    """
+    (recipe,) = recipes("timestamp_ntz")[name]
+    df = read_stream(
+        spark,
+        sf_dir,
+        RAW_SCHEMAS[recipe.source],
+        glob=f"{recipe.source}*.parquet",
+        files_per_batch=files_per_batch,
+    )
+    df = df.filter(recipe.where) if recipe.where else df
+    columns = [f"{sql} as {c}" for c, sql in recipe.columns.items()]
+    return df.selectExpr(*columns, *recipe.keep)
+
+
 def derived_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """All lifecycle tables and input batches derived from ``sf_dir``."""
     book = recipes("timestamp_ntz")

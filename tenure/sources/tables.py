@@ -46,14 +46,24 @@ def write_snapshot(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.mode("errorifexists").format(fmt).save(path)
 
 
-def write_change(df: DataFrame, root: str, batch_id: int) -> None:
-    """One streaming batch's rows in a folder of its own.
+class ChangeLog:
+    """What the batches of a stream have written, one folder per batch.
 
     A batch replayed after a failure replaces its own folder, so each batch
-    counts once.
+    counts once, and a batch's work does not grow with the snapshot. Readers
+    reduce the log by key; all reductions used here give the same result
+    whatever the order and grouping of the batches.
     """
-    df.write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")
 
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType):
+        self.spark, self.root, self.schema = spark, root, schema
 
-def read_changes(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).parquet(root).drop("batch_id")
+    def write(self, df: DataFrame, batch_id: int) -> None:
+        conform(df, self.schema).write.mode("overwrite").parquet(
+            f"{self.root}/batch_id={batch_id}"
+        )
+
+    def read(self) -> DataFrame:
+        """All rows so far, with the ``batch_id`` that wrote them."""
+        schema = T.StructType([*self.schema.fields, T.StructField("batch_id", T.LongType())])
+        return self.spark.read.schema(schema).parquet(self.root)
