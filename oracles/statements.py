@@ -454,9 +454,13 @@ STATEMENTS = {
     "deletion_candidates": "SELECT f.user_id, u.email, f.trial_end_date FROM flagged f"
     " JOIN users u ON u.user_id = f.user_id WHERE trial_status = 'scheduled_for_deletion'"
     f" AND NOT safe AND NOT pays AND trial_end_date < {NOW} - INTERVAL '1' DAY",
-    "deletion_run": "SELECT user_id, email, trial_end_date, 'delete' AS decision FROM run",
+    "deletion_run": "SELECT user_id, email, trial_end_date, CASE WHEN user_id IN"
+    " (SELECT user_id FROM payers_after) THEN 'protected' ELSE 'delete' END AS decision"
+    " FROM run",
     "deletion_run_report": "SELECT count(*) AS total_candidates,"
-    " cast(0 AS BIGINT) AS protected_users, count(*) AS processed FROM run",
+    " count(*) FILTER (user_id IN (SELECT user_id FROM payers_after)) AS protected_users,"
+    " count(*) FILTER (user_id NOT IN (SELECT user_id FROM payers_after)) AS processed"
+    " FROM run",
     "purge_users": " UNION ALL ".join(
         f"SELECT '{table}' AS table_name, count(*) FILTER (gone) AS removed,"
         f" count(*) FILTER (NOT gone) AS remaining FROM (SELECT {test} AS gone FROM {table})"

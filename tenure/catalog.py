@@ -97,6 +97,13 @@ def _to_delete(t: Tables) -> DataFrame:
     return run.filter(C("decision") == "delete").select("user_id", "email")
 
 
+def _deletion_run(t: Tables) -> DataFrame:
+    """The run, checked once more after the billing events have come in."""
+    after = billing.subscription_upsert(t, t.webhook_events, AS_OF)
+    recheck = t.replace(stripe_subscriptions=after)
+    return trials.deletion_run(t, AS_OF, PROTECTED_IDS, recheck=recheck)
+
+
 def _trial_jobs() -> dict[str, Callable[[Tables], DataFrame]]:
     jobs = {
         "convert_paying_trials": lambda t: trials.convert_paying_trials(t, AS_OF),
@@ -148,8 +155,8 @@ BATCH: dict[str, Callable[[Tables], DataFrame]] = {
     ),
     # deletion
     "deletion_candidates": lambda t: trials.deletion_candidates(t, AS_OF, PROTECTED_IDS),
-    "deletion_run": lambda t: trials.deletion_run(t, AS_OF, PROTECTED_IDS),
-    "deletion_run_report": lambda t: trials.deletion_run_report(t, AS_OF, PROTECTED_IDS),
+    "deletion_run": lambda t: _deletion_run(t),
+    "deletion_run_report": lambda t: trials.deletion_run_report(_deletion_run(t)),
     "purge_users": lambda t: trials.purge_report(t, _to_delete(t)),
     "deletion_history_record": lambda t: accounts.deletion_history_record(
         t, _to_delete(t), AS_OF
@@ -237,7 +244,7 @@ BATCH: dict[str, Callable[[Tables], DataFrame]] = {
     ),
     # integrity
     "constraint_violations": quality.constraint_violations,
-    "health_score": lambda t: quality.health_score(t, AS_OF),
+    "health_score": quality.health_score,
 }
 
 

@@ -13,7 +13,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenure.functions import clock
 from tenure.model import (
     ACCESS_LEVELS,
     ACCOUNT_STATUSES,
@@ -93,76 +92,108 @@ CUSTOMER_REFERENCES = {"stripe_subscriptions": "stripe_customers"}
 OTHER_UNIQUE = {"linked_accounts": "external_user_id", "deleted_account_history": "email"}
 
 
-def _as_rows(counted: DataFrame, rules: dict[tuple[str, str], str]) -> DataFrame:
-    """One row of counts into one row per rule."""
-    rows = [
-        F.struct(
-            F.lit(rule).alias("rule"),
-            F.lit(table).alias("table_name"),
-            C(column).cast("long").alias("violations"),
-        )
-        for (rule, table), column in rules.items()
-    ]
-    return counted.select(F.inline(F.array(*rows)))
+Rule = tuple[str, str]
 
 
-def _count_all(df: DataFrame, checks: dict[tuple[str, str], Column]) -> DataFrame:
-    names = {rule: f"v{i}" for i, rule in enumerate(checks)}
-    counted = df.agg(*[F.count_if(cond).alias(names[r]) for r, cond in checks.items()])
-    return _as_rows(counted, names)
+def _inline(rules: dict[Rule, str]) -> str:
+    """One (rule, table_name, violations) row per rule, as SQL text."""
+    rows = ", ".join(
+        f"struct('{rule}' as rule, '{table}' as table_name,"
+        f" cast(coalesce({count}, 0) as bigint) as violations)"
+        for (rule, table), count in rules.items()
+    )
+    return f"inline(array({rows}))"
 
 
-def row_checks(t: Tables, table: str) -> DataFrame:
-    """Empty and disallowed values of one table, in a single pass over it."""
-    checks = {(f"not_null:{c}", table): C(c).isNull() for c in NOT_NULL[table]}
+def _row_rules(table: str) -> dict[Rule, str]:
+    """Empty and disallowed values of a table, as conditions on a row."""
+    rules = {(f"not_null:{c}", table): f"{c} is null" for c in NOT_NULL[table]}
     for (owner, column), values in ALLOWED.items():
         if owner == table:
-            checks[f"values:{column}", table] = ~C(column).isin(*values)
-    return _count_all(getattr(t, table), checks)
+            listed = ", ".join(f"'{v}'" for v in values)
+            rules[f"values:{column}", table] = f"{column} not in ({listed})"
+    return rules
 
 
-def key_checks(
-    t: Tables, domain: dict[str, str], unique: tuple[str, ...], references: dict[str, str]
-) -> DataFrame:
-    """Repeated keys and missing parents of all tables that share a key.
+def table_profile(t: Tables) -> DataFrame:
+    """Per table, in ``v0``, ``v1`` ..., how many rows break each of its row
+    rules; a table without rows has no line.
 
-    The key columns are tagged and unioned, then grouped once with partial
-    counts before the shuffle: one shuffle answers every rule, and a key with
-    very many rows is reduced where it is read.
+    All tables are read in one stage, each only by the columns its rules name,
+    and reduced to one row per task and table before the single shuffle.
     """
-    tagged = reduce(
-        DataFrame.unionByName,
-        [
-            getattr(t, table).select(C(column).alias("key"), F.lit(table).alias("src"))
-            for table, column in domain.items()
-        ],
-    )
+    rules = {table: list(_row_rules(table).values()) for table in CORE_TABLES}
+    width = max(map(len, rules.values()))
+    parts = []
+    for table, conditions in rules.items():
+        padded = [*conditions, *["cast(null as boolean)"] * (width - len(conditions))]
+        broken = [f"{c} as v{i}" for i, c in enumerate(padded)]
+        parts.append(getattr(t, table).selectExpr(f"'{table}' as table_name", *broken))
+    counts = [F.expr(f"count_if(v{i}) as v{i}") for i in range(width)]
+    return reduce(DataFrame.unionByName, parts).groupBy("table_name").agg(*counts)
+
+
+def row_violations(profile: DataFrame) -> DataFrame:
+    """The row rules of every table, also of one without rows."""
+    cells = {
+        rule: (table, f"v{i}")
+        for table in CORE_TABLES
+        for i, rule in enumerate(_row_rules(table))
+    }
+    totals = [
+        F.expr(f"sum(case when table_name = '{table}' then {v} end) as {table}_{v}")
+        for table, v in cells.values()
+    ]
+    flat = {rule: f"{table}_{v}" for rule, (table, v) in cells.items()}
+    return profile.agg(*totals).selectExpr(_inline(flat))
+
+
+# Tables whose keys refer to each other share a domain; the others stand alone.
+_DOMAINS = {
+    "user": (USER_KEY, USER_UNIQUE, USER_REFERENCES),
+    "customer": (CUSTOMER_KEY, CUSTOMER_UNIQUE, CUSTOMER_REFERENCES),
+    **{column: ({table: column}, (table,), {}) for table, column in OTHER_UNIQUE.items()},
+}
+
+
+def key_violations(t: Tables) -> DataFrame:
+    """Repeated keys and missing parents, over all tables and keys at once.
+
+    Every key column is tagged with its domain and table; one grouping by key,
+    with partial counts before the shuffle, then shows how often each table
+    holds each key. A key with very many rows is reduced where it is read.
+    """
+    tagged = [
+        getattr(t, table).selectExpr(
+            f"'{domain}' as domain", f"cast({column} as string) as key", f"'{table}' as src"
+        )
+        for domain, (columns, _, _) in _DOMAINS.items()
+        for table, column in columns.items()
+    ]
+    tables = dict.fromkeys(table for columns, _, _ in _DOMAINS.values() for table in columns)
     per_key = (
-        tagged.filter(C("key").isNotNull())
-        .groupBy("key")
-        .agg(*[F.count_if(C("src") == table).alias(table) for table in domain])
+        reduce(DataFrame.unionByName, tagged)
+        .filter("key is not null")
+        .groupBy("domain", "key")
+        .agg(*[F.expr(f"count_if(src = '{table}') as {table}") for table in tables])
     )
-    checks = {(f"unique:{domain[x]}", x): C(x) > 1 for x in unique}
-    orphans = {
-        (f"reference:{domain[child]}", child): F.sum(
-            F.when(C(parent) == 0, C(child)).otherwise(0)
-        )
-        for child, parent in references.items()
-    }
-    names = {rule: f"v{i}" for i, rule in enumerate([*checks, *orphans])}
-    counts = [F.count_if(cond).alias(names[r]) for r, cond in checks.items()]
-    sums = [F.coalesce(total, F.lit(0)).alias(names[r]) for r, total in orphans.items()]
-    return _as_rows(per_key.agg(*counts, *sums), names)
+    rules: dict[Rule, str] = {}
+    for domain, (columns, unique, references) in _DOMAINS.items():
+        for table in unique:
+            repeated = f"count_if(domain = '{domain}' and {table} > 1)"
+            rules[f"unique:{columns[table]}", table] = repeated
+        for child, parent in references.items():
+            orphans = f"sum(case when domain = '{domain}' and {parent} = 0 then {child} end)"
+            rules[f"reference:{columns[child]}", child] = orphans
+    names = {rule: f"v{i}" for i, rule in enumerate(rules)}
+    totals = per_key.agg(*[F.expr(f"{rules[rule]} as {name}") for rule, name in names.items()])
+    return totals.selectExpr(_inline(names))
 
 
-def constraint_violations(t: Tables) -> DataFrame:
+def constraint_violations(t: Tables, profile: DataFrame | None = None) -> DataFrame:
     """(rule, table_name, violations) for every declared rule."""
-    parts = [row_checks(t, table) for table in CORE_TABLES]
-    parts.append(key_checks(t, USER_KEY, USER_UNIQUE, USER_REFERENCES))
-    parts.append(key_checks(t, CUSTOMER_KEY, CUSTOMER_UNIQUE, CUSTOMER_REFERENCES))
-    for table, column in OTHER_UNIQUE.items():
-        parts.append(key_checks(t, {table: column}, (table,), {}))
-    return reduce(DataFrame.unionByName, parts)
+    rows = row_violations(table_profile(t) if profile is None else profile)
+    return rows.unionByName(key_violations(t))
 
 
 # Health ---------------------------------------------------------------------
@@ -173,31 +204,45 @@ LOWEST_GRADE = "poor"
 CRITICAL_VIEWS = ("trial_info", "access_status", "user_subscriptions")
 
 
-def _present(name: str, kind: str, df: DataFrame) -> DataFrame:
+# Views that hold one row per row of the table that drives them.
+_DRIVEN = {
+    "trial_info": "user_trials",
+    "access_status": "user_trials",
+    "user_overview": "user_profiles",
+}
+
+
+def _present(name: str, df: DataFrame) -> DataFrame:
     probe = df.select(F.lit(1)).limit(1).agg(F.count(F.lit(1)).alias("n"))
     return probe.select(
-        F.lit(kind).alias("kind"), F.lit(name).alias("name"), (C("n") > 0).alias("ok")
+        F.lit("view").alias("kind"), F.lit(name).alias("name"), (C("n") > 0).alias("ok")
     )
 
 
-def health_checks(t: Tables, as_of: clock.Instant) -> DataFrame:
+def health_checks(t: Tables) -> DataFrame:
     """(kind, name, ok): each table and view holds rows, each table is sound."""
-    views = {
-        "user_subscriptions": access.user_subscriptions(t),
-        "user_orders": access.user_orders(t),
-        "trial_info": access.trial_info(t, as_of),
-        "access_status": access.access_status(t, as_of),
-        "user_overview": access.user_overview(t),
-    }
-    parts = [_present(name, "table", getattr(t, name)) for name in CORE_TABLES]
-    parts += [_present(name, "view", df) for name, df in views.items()]
+    profile = table_profile(t)
+    held = profile.agg(
+        *[F.expr(f"bool_or(table_name = '{table}') as {table}") for table in CORE_TABLES]
+    )
+    found = {("table", table): table for table in CORE_TABLES}
+    found |= {("view", view): table for view, table in _DRIVEN.items()}
+    rows = ", ".join(
+        f"struct('{kind}' as kind, '{name}' as name, coalesce({table}, false) as ok)"
+        for (kind, name), table in found.items()
+    )
+    tables = held.selectExpr(f"inline(array({rows}))")
+    views = [
+        _present("user_subscriptions", access.user_subscriptions(t)),
+        _present("user_orders", access.user_orders(t)),
+    ]
     sound = (
-        constraint_violations(t)
+        constraint_violations(t, profile)
         .groupBy(C("table_name").alias("name"))
         .agg((F.sum("violations") == 0).alias("ok"))
         .select(F.lit("rules").alias("kind"), "name", "ok")
     )
-    return reduce(DataFrame.unionByName, [*parts, sound])
+    return reduce(DataFrame.unionByName, [tables, *views, sound])
 
 
 def grade(score: Column, max_score: Column) -> Column:
@@ -207,13 +252,13 @@ def grade(score: Column, max_score: Column) -> Column:
     return result
 
 
-def health_score(t: Tables, as_of: clock.Instant) -> DataFrame:
+def health_score(t: Tables) -> DataFrame:
     """One row: points, share of points, grade, and whether tables and the
     views that access depends on all hold rows."""
     needed = (C("kind") == "table") | (
         (C("kind") == "view") & C("name").isin(*CRITICAL_VIEWS)
     )
-    totals = health_checks(t, as_of).agg(
+    totals = health_checks(t).agg(
         F.count_if(C("ok")).alias("score"),
         F.count(F.lit(1)).alias("max_score"),
         F.bool_and(F.when(needed, C("ok"))).alias("healthy"),

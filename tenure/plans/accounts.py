@@ -122,23 +122,19 @@ def state_sync_report(t: Tables, as_of: clock.Instant) -> DataFrame:
 def system_metrics(t: Tables, as_of: clock.Instant) -> DataFrame:
     """Five counts in one row.
 
-    Each table is counted on its own; the one-row results meet in a union and
-    not in a cross join.
+    The rows to count are tagged and unioned, and counted before they meet: one
+    stage over all tables, and no cross join of single-row results.
     """
-    counts = {
-        "total_users": (t.user_profiles, F.lit(True)),
-        "active_trials": (t.user_trials, C("trial_status") == "active"),
-        "active_subscriptions": (t.stripe_subscriptions, C("status") == "active"),
-        "linked_accounts": (t.linked_accounts, F.lit(True)),
-        "users_with_access": (t.user_account_state, C("has_access")),
+    counted = {
+        "total_users": t.user_profiles,
+        "active_trials": t.user_trials.filter(C("trial_status") == "active"),
+        "active_subscriptions": t.stripe_subscriptions.filter(C("status") == "active"),
+        "linked_accounts": t.linked_accounts,
+        "users_with_access": t.user_account_state.filter(C("has_access")),
     }
-    parts = [
-        df.filter(condition).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("metric"), "n")
-        for name, (df, condition) in counts.items()
-    ]
-    one = reduce(DataFrame.unionByName, parts)
-    return one.agg(
-        *[F.sum(F.when(C("metric") == name, C("n"))).alias(name) for name in counts],
+    tagged = [df.select(F.lit(name).alias("metric")) for name, df in counted.items()]
+    return reduce(DataFrame.unionByName, tagged).agg(
+        *[F.count_if(C("metric") == name).alias(name) for name in counted],
         F.lit(clock.instant(as_of)).alias("generated_at"),
     )
 

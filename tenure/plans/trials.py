@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenure.functions import clock
-from tenure.model import GRACE_DAYS, PAYING_STATUSES, Tables
+from tenure.model import GRACE_DAYS, Tables
 from tenure.operators.keyed import apply_update
-from tenure.plans.access import billing_where_live, is_protected, paying_users
+from tenure.plans.access import is_protected, paying_users
 
 C = F.col
 
@@ -62,12 +62,15 @@ def schedule_rule(now: Column, protected: Collection[int]) -> Rule:
     )
 
 
-def transition(t: Tables, now: Column, *rules: Rule) -> DataFrame:
-    """The next ``user_trials`` snapshot."""
+def with_paying(t: Tables) -> DataFrame:
+    """The trials with a ``_paying`` flag; the one join that all rules share."""
     payers = paying_users(t).withColumn("_payer", F.lit(True))
-    flagged = t.user_trials.join(payers, "user_id", "left").withColumn(
-        "_paying", C("_payer").isNotNull()
-    )
+    joined = t.user_trials.join(payers, "user_id", "left")
+    return joined.withColumn("_paying", C("_payer").isNotNull()).drop("_payer")
+
+
+def transition(trials: DataFrame, now: Column, *rules: Rule) -> DataFrame:
+    """The trials, flagged by ``with_paying``, after the first rule that holds."""
     status, schedule = C("trial_status"), C("deletion_scheduled_at")
     updated = C("updated_at")
     for rule in reversed(rules):
@@ -79,27 +82,31 @@ def transition(t: Tables, now: Column, *rules: Rule) -> DataFrame:
         "deletion_scheduled_at": schedule,
         "updated_at": updated,
     }
-    return flagged.select(*[new.get(c, C(c)).alias(c) for c in t.user_trials.columns])
+    return trials.select(*[new.get(c, C(c)).alias(c) for c in trials.columns])
+
+
+def _next_trials(t: Tables, now: Column, *rules: Rule) -> DataFrame:
+    return transition(with_paying(t), now, *rules).drop("_paying")
 
 
 def convert_paying_trials(t: Tables, as_of: clock.Instant) -> DataFrame:
-    return transition(t, clock.instant(as_of), convert_rule())
+    return _next_trials(t, clock.instant(as_of), convert_rule())
 
 
 def expire_trials(
     t: Tables, as_of: clock.Instant, protected: Collection[int], grace_days: int = GRACE_DAYS
 ) -> DataFrame:
     now = clock.instant(as_of)
-    return transition(t, now, expire_rule(now, protected, grace_days))
+    return _next_trials(t, now, expire_rule(now, protected, grace_days))
 
 
 def schedule_deletions(t: Tables, as_of: clock.Instant, protected: Collection[int]) -> DataFrame:
     now = clock.instant(as_of)
-    return transition(t, now, schedule_rule(now, protected))
+    return _next_trials(t, now, schedule_rule(now, protected))
 
 
 def protect_paying(t: Tables, as_of: clock.Instant) -> DataFrame:
-    return transition(t, clock.instant(as_of), protect_rule())
+    return _next_trials(t, clock.instant(as_of), protect_rule())
 
 
 def _sync_rules(now: Column, protected: Collection[int], grace_days: int) -> tuple[Rule, ...]:
@@ -115,7 +122,11 @@ def sync_trials(
 ) -> DataFrame:
     """Convert, expire and schedule, in this order, in one pass."""
     now = clock.instant(as_of)
-    return transition(t, now, *_sync_rules(now, protected, grace_days))
+    return _next_trials(t, now, *_sync_rules(now, protected, grace_days))
+
+
+def _check_rules(now: Column, protected: Collection[int], grace_days: int) -> tuple[Rule, ...]:
+    return (protect_rule(), *_sync_rules(now, protected, grace_days))
 
 
 def check_expired_trials(
@@ -123,7 +134,7 @@ def check_expired_trials(
 ) -> DataFrame:
     """Protect payers first, then sync, in one pass."""
     now = clock.instant(as_of)
-    return transition(t, now, protect_rule(), *_sync_rules(now, protected, grace_days))
+    return _next_trials(t, now, *_check_rules(now, protected, grace_days))
 
 
 def mark_converted(t: Tables, user_ids: DataFrame, as_of: clock.Instant) -> DataFrame:
@@ -139,44 +150,57 @@ def mark_converted(t: Tables, user_ids: DataFrame, as_of: clock.Instant) -> Data
 # Deletion -------------------------------------------------------------------
 
 
+def _deletable(now: Column, protected: Collection[int], grace_days: int) -> Column:
+    return (
+        (C("trial_status") == "scheduled_for_deletion")
+        & (C("trial_end_date") < now - clock.days(grace_days))
+        & ~is_protected(C("user_id"), protected)
+    )
+
+
 def deletion_candidates(
     t: Tables, as_of: clock.Instant, protected: Collection[int], grace_days: int = GRACE_DAYS
 ) -> DataFrame:
     """Scheduled trials, past their grace, of users neither paying nor protected."""
-    deadline = clock.instant(as_of) - clock.days(grace_days)
-    due = t.user_trials.filter(
-        (C("trial_status") == "scheduled_for_deletion")
-        & (C("trial_end_date") < deadline)
-        & ~is_protected(C("user_id"), protected)
-    ).select("user_id", "trial_end_date")
+    due = t.user_trials.filter(_deletable(clock.instant(as_of), protected, grace_days))
     return (
-        due.join(paying_users(t), "user_id", "left_anti")
+        due.select("user_id", "trial_end_date")
+        .join(paying_users(t), "user_id", "left_anti")
         .join(t.users.select("user_id", "email"), "user_id")
         .select("user_id", "email", "trial_end_date")
     )
 
 
 def deletion_run(
-    t: Tables, as_of: clock.Instant, protected: Collection[int], grace_days: int = GRACE_DAYS
+    t: Tables,
+    as_of: clock.Instant,
+    protected: Collection[int],
+    grace_days: int = GRACE_DAYS,
+    recheck: Tables | None = None,
 ) -> DataFrame:
-    """The scheduled cleanup: sync, list the candidates, check each once more."""
-    synced = t.replace(user_trials=check_expired_trials(t, as_of, protected, grace_days))
-    candidates = deletion_candidates(synced, as_of, protected, grace_days)
-    held = billing_where_live(t).filter(C("subscription_status").isin(*PAYING_STATUSES))
-    held = held.select("user_id", F.lit(True).alias("pays"))
-    blocked = C("pays").isNotNull() | is_protected(C("user_id"), protected)
-    return candidates.join(held, "user_id", "left").select(
-        "user_id",
-        "email",
-        "trial_end_date",
-        F.when(blocked, F.lit("protected")).otherwise(F.lit("delete")).alias("decision"),
+    """The scheduled cleanup: sync, list the candidates, check each once more.
+
+    The sync and the list share one join with the payers. The second check is
+    against ``recheck``, the tables as they are when the deletion starts; on
+    the tables of the list itself it could not find anything new.
+    """
+    now = clock.instant(as_of)
+    synced = transition(with_paying(t), now, *_check_rules(now, protected, grace_days))
+    due = synced.filter(_deletable(now, protected, grace_days) & ~_paying())
+    listed = due.select("user_id", "trial_end_date").join(
+        t.users.select("user_id", "email"), "user_id"
     )
+    decision = F.lit("delete")
+    if recheck is not None:
+        payers = paying_users(recheck).withColumn("_pays_now", F.lit(True))
+        listed = listed.join(payers, "user_id", "left")
+        decision = F.when(C("_pays_now"), F.lit("protected")).otherwise(decision)
+    return listed.select("user_id", "email", "trial_end_date", decision.alias("decision"))
 
 
-def deletion_run_report(
-    t: Tables, as_of: clock.Instant, protected: Collection[int], grace_days: int = GRACE_DAYS
-) -> DataFrame:
-    return deletion_run(t, as_of, protected, grace_days).agg(
+def deletion_run_report(run: DataFrame) -> DataFrame:
+    """The counters of a ``deletion_run``."""
+    return run.agg(
         F.count(F.lit(1)).alias("total_candidates"),
         F.count_if(C("decision") == "protected").alias("protected_users"),
         F.count_if(C("decision") == "delete").alias("processed"),
@@ -232,19 +256,13 @@ def purge_report(t: Tables, user_ids: DataFrame) -> DataFrame:
         )
     gone = user_ids.select("user_id").distinct()
     removed = reduce(DataFrame.unionByName, owned).join(gone, "user_id", "left_semi")
-    totals = [
-        getattr(t, name).agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(name).alias("table_name"), F.lit(0).cast("long").alias("removed"), "n"
-        )
+    none = F.lit(0).cast("long")
+    held = [
+        getattr(t, name).select(F.lit(name).alias("table_name"), none.alias("removed"), one)
         for name in (*_OWNED_BY_USER, *_OWNED_BY_CUSTOMER)
     ]
-    counted = reduce(
-        DataFrame.unionByName,
-        [
-            removed.select("table_name", C("n").alias("removed"), F.lit(0).cast("long").alias("n")),
-            *totals,
-        ],
-    )
+    taken = removed.select("table_name", C("n").alias("removed"), none.alias("n"))
+    counted = reduce(DataFrame.unionByName, [taken, *held])
     return counted.groupBy("table_name").agg(
         F.sum("removed").alias("removed"), (F.sum("n") - F.sum("removed")).alias("remaining")
     )

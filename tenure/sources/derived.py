@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -492,13 +493,22 @@ def recipes(ts: str) -> dict[str, list[Recipe]]:
     }
 
 
-def _derive(recipe: Recipe, source: DataFrame) -> DataFrame:
+def _columns(name: str, recipe: Recipe) -> list[str]:
+    """The projection as SQL, cast to the declared types where there are any."""
+    types = {f.name: f.dataType.simpleString() for f in SCHEMAS.get(name, ())}
+    return [
+        f"cast({sql} as {types[column]}) as {column}" if column in types else f"{sql} as {column}"
+        for column, sql in recipe.columns.items()
+    ]
+
+
+def _derive(name: str, recipe: Recipe, source: DataFrame) -> DataFrame:
     df = source.filter(recipe.where) if recipe.where else source
     if recipe.pick:
         pick = recipe.pick
         df = df.selectExpr(f"{pick.key_sql} as {pick.key}", *recipe.keep)
         df = extreme_per_key(df, [pick.key], pick.order, pick.newest)
-    return df.selectExpr(*[f"{sql} as {name}" for name, sql in recipe.columns.items()])
+    return df.selectExpr(*_columns(name, recipe))
 
 
 def derived_stream(
@@ -518,8 +528,7 @@ def derived_stream(
         files_per_batch=files_per_batch,
     )
     df = df.filter(recipe.where) if recipe.where else df
-    columns = [f"{sql} as {c}" for c, sql in recipe.columns.items()]
-    return df.selectExpr(*columns, *recipe.keep)
+    return df.selectExpr(*_columns(name, recipe), *recipe.keep)
 
 
 def derived_tables(spark: SparkSession, sf_dir: str) -> Tables:
@@ -535,13 +544,8 @@ def derived_tables(spark: SparkSession, sf_dir: str) -> Tables:
         return raw[name]
 
     def load(name: str) -> DataFrame:
-        parts = [_derive(r, source(r.source)) for r in book[name]]
-        df = parts[0]
-        for part in parts[1:]:
-            df = df.unionByName(part)
-        if name in SCHEMAS:
-            df = df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in SCHEMAS[name]])
-        return df
+        parts = [_derive(name, r, source(r.source)) for r in book[name]]
+        return reduce(DataFrame.unionByName, parts)
 
     tables = Tables(load, names=tuple(book))
     return tables

@@ -1,11 +1,12 @@
-from hand import AS_OF, DAY, by, frame, history, profile, state, tables, trial
+from pyspark.sql import functions as F
+
+from hand import by, frame, history, profile, state, tables, trial
 
 from tenure.functions.text import as_json_rows, first_filled, label, spaced_once
 from tenure.model import SCHEMAS, struct
 from tenure.operators import quality
 from tenure.operators.keyed import change_feed, extreme_per_key, insert_if_absent
 from tenure.sources.tables import append_rows, read_table, read_tables, write_snapshot
-from pyspark.sql import functions as F
 
 PAIR = struct(k="long", v="string", n="long")
 
@@ -102,9 +103,8 @@ def test_violations_are_found(spark):
 
 
 def test_health(spark):
-    empty = quality.health_score(tables(spark), AS_OF).collect()[0]
+    empty = quality.health_score(tables(spark)).collect()[0]
     assert not empty.healthy and empty.score == 8 and empty.grade == "poor"
     grades = spark.createDataFrame([(10,), (9,), (8,), (7,), (6,), (5,)], "s int")
     rows = grades.select(quality.grade(F.col("s"), F.lit(10))).collect()
     assert [r[0] for r in rows] == ["excellent", "good", "good", "fair", "fair", "poor"]
-    assert DAY.days == 1

@@ -63,10 +63,27 @@ def test_nobody_paying_or_protected_is_deleted(mixed):
     listed = {r.user_id for r in run.collect()}
     payers = {r.user_id for r in trials.paying_users(mixed).collect()}
     assert listed and not listed & payers and not listed & set(SAFE)
-    report = trials.deletion_run_report(mixed, AS_OF, SAFE).collect()[0]
+    synced = mixed.replace(user_trials=trials.check_expired_trials(mixed, AS_OF, SAFE))
+    assert listed == set(by(trials.deletion_candidates(synced, AS_OF, SAFE)))
+    report = trials.deletion_run_report(run).collect()[0]
     assert tuple(report) == (len(listed), 0, len(listed))
 
 
+def test_who_pays_before_the_deletion_starts_is_spared(spark, mixed):
+    listed = sorted(r.user_id for r in trials.deletion_run(mixed, AS_OF, SAFE).collect())
+    paid = listed[:3]
+    newer = tables(
+        spark,
+        stripe_customers=[customer(i) for i in paid],
+        stripe_subscriptions=[subscription(i) for i in paid],
+    )
+    run = trials.deletion_run(mixed, AS_OF, SAFE, recheck=newer)
+    spared = {r.user_id for r in run.filter("decision = 'protected'").collect()}
+    assert spared == set(paid)
+    report = trials.deletion_run_report(run).collect()[0]
+    assert tuple(report) == (len(listed), 3, len(listed) - 3)
+
+
 def test_boundaries(spark):
     t = tables(
         spark,
