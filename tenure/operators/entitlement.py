@@ -55,7 +55,9 @@ def entitled_rows(t: Tables, viewers: DataFrame, admins: Collection[int]) -> Dat
         seen = t.deleted_account_history.select(F.explode(every).alias("viewer_id"), "email")
         parts.append(tagged(seen, "deleted_account_history", "email"))
     visible = reduce(DataFrame.unionByName, parts)
-    return visible.join(viewers.select("viewer_id").distinct(), "viewer_id", "left_semi")
+    # The viewers are distinct, so an inner join keeps each row once; a semi join
+    # would be pushed into every part of the union.
+    return visible.join(viewers.select("viewer_id").distinct(), "viewer_id")
 
 
 def rows_of(df: DataFrame, viewer_id: int, owner: str = "user_id") -> DataFrame:

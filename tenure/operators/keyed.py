@@ -73,12 +73,16 @@ def upsert(
     return joined.select(*out)
 
 
-def insert_if_absent(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
+def insert_if_absent(
+    target: DataFrame, source: DataFrame, key: str, repeated: bool = False
+) -> DataFrame:
     """Add the source rows whose key is unknown; known rows stay untouched.
 
-    Only the target's keys are shuffled, never its full rows.
+    Only the target's keys are shuffled, never its full rows. Where the target
+    may hold a key many times (``repeated``), keys are reduced before that.
     """
-    fresh = source.join(target.select(key), key, "left_anti")
+    keys = target.select(key)
+    fresh = source.join(keys.distinct() if repeated else keys, key, "left_anti")
     return target.unionByName(conform(fresh, target.schema))
 
 

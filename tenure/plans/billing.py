@@ -187,7 +187,7 @@ def insert_orders(t: Tables, first: DataFrame) -> DataFrame:
         C("created").alias("created_at"),
         C("created").alias("updated_at"),
     )
-    return insert_if_absent(t.stripe_orders, rows, "checkout_session_id")
+    return insert_if_absent(t.stripe_orders, rows, "checkout_session_id", repeated=True)
 
 
 def orders_after(t: Tables, events: DataFrame) -> DataFrame:

@@ -255,7 +255,7 @@ def purge_report(t: Tables, user_ids: DataFrame) -> DataFrame:
             )
         )
     gone = user_ids.select("user_id").distinct()
-    removed = reduce(DataFrame.unionByName, owned).join(gone, "user_id", "left_semi")
+    removed = reduce(DataFrame.unionByName, owned).join(gone, "user_id")
     none = F.lit(0).cast("long")
     held = [
         getattr(t, name).select(F.lit(name).alias("table_name"), none.alias("removed"), one)

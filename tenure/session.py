@@ -21,6 +21,24 @@ SETTINGS = {
 }
 
 
+PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def sized_for(input_bytes: int) -> dict[str, str]:
+    """Shuffle settings for an input of the given size.
+
+    Shuffles start with a partition per 128 MB of input, which fits an
+    executor core's memory at any scale; adaptive execution merges those that
+    turn out small.
+    """
+    count = max(8, -(-input_bytes // PARTITION_BYTES))
+    return {
+        "spark.sql.shuffle.partitions": str(count),
+        "spark.sql.files.maxPartitionBytes": str(PARTITION_BYTES),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(PARTITION_BYTES),
+    }
+
+
 def build_session(app: str = "tenure", **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     for key, value in {**SETTINGS, **extra}.items():

@@ -1,4 +1,4 @@
-"""Trial expiry by event-time timers, one small state per running trial."""
+"""Trial expiry by event-time timers, the only state kept per running trial."""
 
 from __future__ import annotations
 
@@ -18,42 +18,46 @@ C = F.col
 _PROVIDER_KEY = "spark.sql.streaming.stateStore.providerClass"
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _EPOCH = "1970-01-01 00:00:00"
+_KEY = ("user_id", "end_us")
+_NO_END = -1
 _OUT = struct(user_id="long", trial_status="string", due_us="long")
 
 
+def _to_ms(us: int) -> int:
+    """The first millisecond not before a time in microseconds."""
+    return -(-us // 1000)
+
+
 class TrialTimers(StatefulProcessor):
-    """Sets one timer for a trial's end and one for the end of the grace."""
+    """Sets one timer for a trial's end and one for the end of the grace.
+
+    The key holds user and end, so timers are the only state; setting them
+    again for a repeated row changes nothing.
+    """
 
     def __init__(self, grace_us: int):
         self._grace_us = grace_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._end = handle.getValueState("end", "end_us long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            ends = frame["end_us"].dropna()
-            if len(ends) and not self._end.exists():
-                end_us = int(ends.iloc[0])
-                self._end.update((end_us,))
-                for due in (end_us, end_us + self._grace_us):
-                    self._handle.registerTimer(-(-due // 1000))
+        for _ in rows:
+            pass
+        _, end_us = key
+        if end_us != _NO_END:
+            self._handle.registerTimer(_to_ms(end_us))
+            self._handle.registerTimer(_to_ms(end_us + self._grace_us))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        (end_us,) = self._end.get()
+        user_id, end_us = key
         final_us = end_us + self._grace_us
-        last = expiredTimerInfo.getExpiryTimeInMs() * 1000 >= final_us
-        if last:
-            self._end.clear()
-        yield pd.DataFrame(
-            {
-                "user_id": [key[0]],
-                "trial_status": ["scheduled_for_deletion" if last else "expired"],
-                "due_us": [final_us if last else end_us],
-            }
-        )
+        if expiredTimerInfo.getExpiryTimeInMs() < _to_ms(final_us):
+            row = (user_id, "expired", end_us)
+        else:
+            row = (user_id, "scheduled_for_deletion", final_us)
+        yield pd.DataFrame([row], columns=_OUT.names)
 
     def close(self) -> None:
         pass
@@ -75,25 +79,25 @@ def run_trial_timers(
     time on when no trial does. A trial row may come up to ``lateness`` after
     the newest event; that much later the timers fire.
     """
-    start, epoch = C("trial_start_date"), clock.instant(_EPOCH)
+    epoch = clock.instant(_EPOCH)
     running = (
         trials.filter((C("trial_status") == "active") & ~is_protected(C("user_id"), protected))
         .join(paying_users(t), "user_id", "left_anti")
         .select(
             "user_id",
             clock.micros_until(C("trial_end_date"), epoch).alias("end_us"),
-            start.cast("timestamp").alias("event_time"),
+            C("trial_start_date").cast("timestamp").alias("event_time"),
         )
     )
     ticks = clock_ticks.select(
         F.lit(-1).cast("long").alias("user_id"),
-        F.lit(None).cast("long").alias("end_us"),
+        F.lit(_NO_END).cast("long").alias("end_us"),
         C("at").cast("timestamp").alias("event_time"),
     )
     due = (
         running.unionByName(ticks)
         .withWatermark("event_time", lateness)
-        .groupBy("user_id")
+        .groupBy(*_KEY)
         .transformWithStateInPandas(
             statefulProcessor=TrialTimers(grace_days * clock.MICROS_PER_DAY),
             outputStructType=_OUT,
@@ -119,6 +123,5 @@ def run_trial_timers(
         else:
             spark.conf.set(_PROVIDER_KEY, before)
     micros = F.make_dt_interval(secs=(C("due_us") / F.lit(clock.MICROS_PER_SECOND)))
-    return spark.read.schema(_OUT).parquet(f"{root}/due").select(
-        "user_id", "trial_status", (epoch + micros).alias("due_at")
-    )
+    fired = spark.read.schema(_OUT).parquet(f"{root}/due").distinct()
+    return fired.select("user_id", "trial_status", (epoch + micros).alias("due_at"))

@@ -1,10 +1,18 @@
 """What the physical plans may and may not contain."""
 
 import re
+from collections import Counter
 
 import pytest
+from hand import customer, tables
+from pyspark.sql import functions as F
 
 from tenure.catalog import BATCH
+from tenure.model import SCHEMAS
+from tenure.operators.entitlement import rows_of
+from tenure.operators.keyed import conform
+from tenure.plans import access
+from tenure.session import sized_for
 from tenure.sources.derived import derived_tables
 
 
@@ -63,3 +71,44 @@ def test_one_shuffle_for_the_newest_subscription(large, sf_dir):
     text = plan(BATCH["paying_users"](derived_tables(large, sf_dir)))
     assert text.count("Exchange hashpartitioning(customer_id") == 2  # one per side
     assert "partial_max" in text
+
+
+def test_a_point_read_reaches_the_scan(spark, sf_dir):
+    t = derived_tables(spark, sf_dir)
+    text = plan(rows_of(BATCH["access_status"](t), 7))
+    assert len(re.findall(r"EqualTo\(c_custkey,7\)", text)) == 2
+
+
+def test_a_hot_customer_is_split_between_tasks(large):
+    """One customer holds a third of all orders: the join splits its partition."""
+    thresholds = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: large.conf.get(k, None) for k in thresholds}
+    for key, value in thresholds.items():
+        large.conf.set(key, value)
+    try:
+        owner = F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id") % 999)
+        orders = large.range(300_000, numPartitions=12).select(
+            "id", F.concat(F.lit("cus_"), owner.cast("string")).alias("customer_id")
+        )
+        t = tables(large, stripe_customers=[customer(i) for i in range(1_000)])
+        t = t.replace(stripe_orders=conform(orders, SCHEMAS["stripe_orders"]))
+        df = access.user_orders(t)
+        rows = df.collect()
+        text = plan(df)
+    finally:
+        for key, value in before.items():
+            large.conf.unset(key) if value is None else large.conf.set(key, value)
+    assert "skew=true" in text
+    expected = Counter(1 if i % 3 == 0 else i % 999 for i in range(300_000))
+    expected += Counter({i: 1 for i in range(1_000) if i not in expected})  # empty rows
+    assert Counter(int(r.customer_id[4:]) for r in rows) == expected
+
+
+def test_settings_grow_with_the_input():
+    assert sized_for(0)["spark.sql.shuffle.partitions"] == "8"
+    assert sized_for(100 * 2**40)["spark.sql.shuffle.partitions"] == "819200"
