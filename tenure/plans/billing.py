@@ -245,45 +245,62 @@ def checkout_body_validation(bodies: DataFrame) -> DataFrame:
     return parsed.select("event_id", reason.alias("reason"))
 
 
-def _judged(t: Tables, requests: DataFrame) -> DataFrame:
-    """Sound requests with the customer and subscription found for the user.
+def _customers_with_subscription(t: Tables) -> DataFrame:
+    """All customers, deleted ones too, and whether they have any subscription.
 
-    Customers meet their subscriptions before the requests join, so that a
-    user with very many requests is spread out by a single, splittable join.
+    Customers meet their subscriptions before the requests join, so that the
+    requests join once, on the user alone.
     """
     held = t.stripe_subscriptions.select("customer_id", F.lit(True).alias("_subscribed"))
-    customers = (
+    return (
         t.stripe_customers.select("user_id", "customer_id", "deleted_at")
         .join(held, "customer_id", "left")
         .withColumn("_exists", F.lit(True))
     )
-    sound = requests.filter(checkout_reason().isNull()).select("event_id", "user_id", "mode")
-    wants = C("mode") == "subscription"
-    action = (
-        F.when(C("_exists").isNull() & wants, F.lit("create_customer_and_subscription"))
+
+
+def _action(wants_subscription: Column) -> Column:
+    return (
+        F.when(
+            C("_exists").isNull() & wants_subscription,
+            F.lit("create_customer_and_subscription"),
+        )
         .when(C("_exists").isNull(), F.lit("create_customer"))
         .when(C("deleted_at").isNotNull(), F.lit("conflict_soft_deleted"))
-        .when(wants & C("_subscribed").isNull(), F.lit("create_subscription"))
+        .when(wants_subscription & C("_subscribed").isNull(), F.lit("create_subscription"))
         .otherwise(F.lit("ready"))
     )
-    return sound.join(customers, "user_id", "left").withColumn("action", action)
 
 
 def checkout_provisioning(t: Tables, requests: DataFrame) -> DataFrame:
     """What each sound request needs before its checkout, by today's tables."""
-    return _judged(t, requests).select("event_id", "user_id", "action")
+    sound = requests.filter(checkout_reason().isNull()).select("event_id", "user_id", "mode")
+    joined = sound.join(_customers_with_subscription(t), "user_id", "left")
+    return joined.select(
+        "event_id", "user_id", _action(C("mode") == "subscription").alias("action")
+    )
 
 
 def checkout_inserts(t: Tables, requests: DataFrame) -> DataFrame:
-    """The rows to insert for a batch of requests, once per user."""
-    judged = _judged(t, requests).filter(C("action").startswith("create"))
-    return judged.groupBy("user_id").agg(
-        F.max(
-            F.coalesce("customer_id", F.concat(F.lit("cus_new_"), C("user_id").cast("string")))
-        ).alias("customer_id"),
-        F.bool_or(C("action").startswith("create_customer")).alias("insert_customer"),
-        F.bool_or(C("action").endswith("subscription")).alias("insert_subscription"),
-        F.lit("not_started").alias("subscription_status"),
+    """The rows to insert for a batch of requests, once per user.
+
+    Requests are reduced to one row per user before they are shuffled, so a
+    user with very many requests is no burden to the join.
+    """
+    sound = requests.filter(checkout_reason().isNull())
+    users = sound.groupBy("user_id").agg(F.bool_or(C("mode") == "subscription").alias("_wants"))
+    joined = users.join(_customers_with_subscription(t), "user_id", "left")
+    made = F.concat(F.lit("cus_new_"), C("user_id").cast("string"))
+    return (
+        joined.withColumn("action", _action(C("_wants")))
+        .filter(C("action").startswith("create"))
+        .select(
+            "user_id",
+            F.coalesce("customer_id", made).alias("customer_id"),
+            C("action").startswith("create_customer").alias("insert_customer"),
+            C("action").endswith("subscription").alias("insert_subscription"),
+            F.lit("not_started").alias("subscription_status"),
+        )
     )
 
 
