@@ -67,6 +67,13 @@ def sync_candidates(events: DataFrame) -> DataFrame:
     )
 
 
+def newest_candidate(candidates: DataFrame) -> Column:
+    """The aggregate that picks a customer's newest subscription."""
+    rest = [c for c in candidates.columns if c != "customer_id"]
+    order = F.when(C("event_at").isNotNull(), F.struct("event_at", "event_id"))
+    return F.max_by(F.struct(*rest), order)
+
+
 def newest_candidates(candidates: DataFrame) -> DataFrame:
     """Per customer, the newest subscription among the candidates.
 
@@ -75,9 +82,7 @@ def newest_candidates(candidates: DataFrame) -> DataFrame:
     take part in the choice. Newest of newest is newest, so the results of
     several batches can be reduced again.
     """
-    rest = [c for c in candidates.columns if c != "customer_id"]
-    order = F.when(C("event_at").isNotNull(), F.struct("event_at", "event_id"))
-    newest = F.max_by(F.struct(*rest), order).alias("sub")
+    newest = newest_candidate(candidates).alias("sub")
     return candidates.groupBy("customer_id").agg(newest).select("customer_id", "sub.*")
 
 

@@ -2,19 +2,40 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_PROVIDER_KEY = "spark.sql.streaming.stateStore.providerClass"
+_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Let the queries started within keep their state in RocksDB, which may
+    outgrow the executors' memory."""
+    before = spark.conf.get(_PROVIDER_KEY, None)
+    spark.conf.set(_PROVIDER_KEY, _PROVIDER)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_PROVIDER_KEY)
+        else:
+            spark.conf.set(_PROVIDER_KEY, before)
 
 
 def drain(
     stream: DataFrame,
     on_batch: Callable[[DataFrame, int], None],
     checkpoint: str,
+    mode: str = "append",
 ) -> None:
     """Process all that the source holds, then stop."""
     query = (
         stream.writeStream.foreachBatch(on_batch)
+        .outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

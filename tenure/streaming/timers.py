@@ -12,11 +12,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tenure.functions import clock
 from tenure.model import GRACE_DAYS, Tables, struct
 from tenure.plans.access import is_protected, paying_users
+from tenure.streaming.run import state_on_disk
 
 C = F.col
 
-_PROVIDER_KEY = "spark.sql.streaming.stateStore.providerClass"
-_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _EPOCH = "1970-01-01 00:00:00"
 _KEY = ("user_id", "end_us")
 _NO_END = -1
@@ -105,9 +104,7 @@ def run_trial_timers(
             timeMode="EventTime",
         )
     )
-    before = spark.conf.get(_PROVIDER_KEY, None)
-    spark.conf.set(_PROVIDER_KEY, _PROVIDER)
-    try:
+    with state_on_disk(spark):
         query = (
             due.writeStream.format("parquet")
             .option("path", f"{root}/due")
@@ -117,11 +114,6 @@ def run_trial_timers(
             .start()
         )
         query.awaitTermination()
-    finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER_KEY)
-        else:
-            spark.conf.set(_PROVIDER_KEY, before)
     micros = F.make_dt_interval(secs=(C("due_us") / F.lit(clock.MICROS_PER_SECOND)))
     fired = spark.read.schema(_OUT).parquet(f"{root}/due").distinct()
     return fired.select("user_id", "trial_status", (epoch + micros).alias("due_at"))

@@ -6,17 +6,15 @@ and the first event per checkout session win, whatever batch brings them.
 
 from __future__ import annotations
 
-from typing import Self
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenure.functions import clock
-from tenure.model import Tables, struct
+from tenure.model import PAYING_STATUSES, Tables, struct
 from tenure.operators.keyed import extreme_per_key
 from tenure.plans import access, billing, trials
 from tenure.sources.tables import ChangeLog
-from tenure.streaming.run import drain, once_per_event
+from tenure.streaming.run import drain, once_per_event, state_on_disk
 
 C = F.col
 
@@ -70,7 +68,7 @@ class WebhookStream:
         finally:
             batch.unpersist()
 
-    def run(self, events: DataFrame, dedupe_within: str | None = None) -> Self:
+    def run(self, events: DataFrame, dedupe_within: str | None = None) -> "WebhookStream":
         events = once_per_event(events, "event_id", "created", dedupe_within)
         drain(events, self._take, f"{self.root}/checkpoint")
         return self
@@ -99,38 +97,54 @@ class WebhookStream:
         return trials.sync_trials(now, self.as_of, protected)
 
 
-class AccessUpdates(WebhookStream):
-    """Also keeps the access rows of the users that each batch touches."""
+class AccessUpdates:
+    """The access rows of the users that each batch of events touches.
+
+    A stateful aggregate keeps one row per customer: the newest subscription
+    and whether any event made the customer a payer. In update mode each batch
+    brings only the customers it changed, so its work follows the events and
+    not the history.
+    """
 
     def __init__(self, spark: SparkSession, t: Tables, as_of: clock.Instant, root: str):
-        super().__init__(spark, t, as_of, root)
+        self.spark, self.t, self.as_of, self.root = spark, t, as_of, root
         self._access = ChangeLog(spark, f"{root}/access", _ACCESS_LOG)
 
     def _take(self, batch: DataFrame, batch_id: int) -> None:
-        super()._take(batch, batch_id)
-        log = self._subscriptions.read()
-        touched = log.filter(C("batch_id") == batch_id).select("customer_id")
-
-        def known(rows: DataFrame) -> DataFrame:
-            """What is known so far about the touched customers, and no others."""
-            past = rows.filter(C("batch_id") <= batch_id).drop("batch_id")
-            return past.join(touched, "customer_id", "left_semi")
+        batch.persist()
+        try:
+            self._access.write(self._refresh(batch), batch_id)
+        finally:
+            batch.unpersist()
 
+    def _refresh(self, batch: DataFrame) -> DataFrame:
+        touched = batch.select("customer_id")
         customers = self.t.stripe_customers.join(touched, "customer_id", "left_semi")
         before = self.t.stripe_subscriptions.join(touched, "customer_id", "left_semi")
+        newest = batch.select("customer_id", "sub.*")
         users = access.live(customers).select("user_id")
         now = self.t.replace(
             stripe_customers=customers,
-            stripe_subscriptions=billing.merge_subscriptions(
-                before, billing.newest_candidates(known(log)), self.as_of
-            ),
+            stripe_subscriptions=billing.merge_subscriptions(before, newest, self.as_of),
             user_trials=self.t.user_trials.join(users, "user_id", "left_semi"),
         )
-        payers = known(self._payers.read()).withColumn("status", F.lit("active"))
+        payers = batch.filter("ever_paid").select("customer_id", F.lit("active").alias("status"))
         now = now.replace(
             user_trials=billing.subscription_change_effects(now, payers, self.as_of)
         )
-        self._access.write(access.access_status(now, self.as_of), batch_id)
+        return access.access_status(now, self.as_of)
+
+    def run(self, events: DataFrame, dedupe_within: str | None = None) -> "AccessUpdates":
+        events = once_per_event(events, "event_id", "created", dedupe_within)
+        candidates = billing.sync_candidates(events)
+        paid = C("status").isin(*PAYING_STATUSES)
+        newest = candidates.groupBy("customer_id").agg(
+            billing.newest_candidate(candidates).alias("sub"),
+            F.coalesce(F.bool_or(paid), F.lit(False)).alias("ever_paid"),
+        )
+        with state_on_disk(self.spark):
+            drain(newest, self._take, f"{self.root}/checkpoint", mode="update")
+        return self
 
     def latest(self) -> DataFrame:
         """Each touched user's access as last updated."""
