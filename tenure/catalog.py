@@ -302,12 +302,7 @@ def stream_signups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_trial_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = derived_tables(spark, sf_dir)
     root = shared_dir(spark, "timers")
-    # The last tick stands a lateness after the as-of time, so that every
-    # timer up to then fires.
-    lateness = "30 days"
-    tick = spark.range(1).select(
-        (clock.instant(AS_OF) + F.expr(f"INTERVAL '{lateness.split()[0]}' DAY")).alias("at")
-    )
+    tick = spark.range(1).select(clock.instant(AS_OF).alias("at"))
     tick.write.parquet(f"{root}/ticks")
     ticks = read_stream(spark, f"{root}/ticks", struct(at="ts"))
     due = run_trial_timers(
@@ -317,7 +312,6 @@ def stream_trial_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
         t,
         PROTECTED_IDS,
         root,
-        lateness,
     )
     return due.filter(C("due_at") < clock.instant(AS_OF))
 

@@ -1,7 +1,7 @@
 """Integrity rules as data checks, and the health score built on them.
 
-The reference model declares keys, references and value lists; files enforce
-none of them, so they are counted here. Each rule reports how many keys or
+The data model declares keys, references and value lists; files enforce none
+of them, so they are counted here. Each rule reports how many keys or
 rows break it.
 """
 

@@ -69,14 +69,13 @@ def run_trial_timers(
     t: Tables,
     protected: Collection[int],
     root: str,
-    lateness: str,
     grace_days: int = GRACE_DAYS,
 ) -> DataFrame:
     """Status changes (user_id, trial_status, due_at) that have fallen due.
 
     ``trials`` streams trial rows, ``clock_ticks`` rows (``at``) that move the
-    time on when no trial does. A trial row may come up to ``lateness`` after
-    the newest event; that much later the timers fire.
+    time on. Trial rows have no event time of their own, so none is ever late:
+    a trial that comes after its end fires at once.
     """
     epoch = clock.instant(_EPOCH)
     running = (
@@ -85,7 +84,7 @@ def run_trial_timers(
         .select(
             "user_id",
             clock.micros_until(C("trial_end_date"), epoch).alias("end_us"),
-            C("trial_start_date").cast("timestamp").alias("event_time"),
+            F.lit(None).cast("timestamp").alias("event_time"),
         )
     )
     ticks = clock_ticks.select(
@@ -95,7 +94,7 @@ def run_trial_timers(
     )
     due = (
         running.unionByName(ticks)
-        .withWatermark("event_time", lateness)
+        .withWatermark("event_time", "0 seconds")
         .groupBy(*_KEY)
         .transformWithStateInPandas(
             statefulProcessor=TrialTimers(grace_days * clock.MICROS_PER_DAY),

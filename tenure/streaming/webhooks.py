@@ -134,8 +134,7 @@ class AccessUpdates:
         )
         return access.access_status(now, self.as_of)
 
-    def run(self, events: DataFrame, dedupe_within: str | None = None) -> "AccessUpdates":
-        events = once_per_event(events, "event_id", "created", dedupe_within)
+    def run(self, events: DataFrame) -> "AccessUpdates":
         candidates = billing.sync_candidates(events)
         paid = C("status").isin(*PAYING_STATUSES)
         newest = candidates.groupBy("customer_id").agg(

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tenure.model import struct
 from tenure.plans import billing
+from tenure.session import shared_dir
 from tenure.sources.webhooks import parse_events
+from tenure.streaming.webhooks import WebhookStream
 
 
 def event(event_id, kind="customer.subscription.updated", customer="cus_1", **more):
@@ -225,7 +227,7 @@ def test_directory_with_repeated_emails(spark):
     )
 
 
-def test_raw_events(spark, tmp_path):
+def raw_lines():
     method = {"card": {"brand": "visa", "last4": "4242"}}
     sub = {
         "id": "sub_1",
@@ -251,8 +253,12 @@ def test_raw_events(spark, tmp_path):
         line(4, "customer.subscription.created", {**sub, "customer": {"id": "cus_3"}}),
         line(5, "product.created", {"id": "prod_1"}),
     ]
+    return "\n".join(lines)
+
+
+def test_raw_events(spark, tmp_path):
     path = tmp_path / "events.jsonl"
-    path.write_text("\n".join(lines))
+    path.write_text(raw_lines())
     parsed = parse_events(spark.read.text(str(path)))
     rows = parsed.orderBy("created").collect()
     assert [r.customer for r in rows] == ["cus_1", "cus_1", "cus_2", None, None]
@@ -263,3 +269,17 @@ def test_raw_events(spark, tmp_path):
     newest = by(billing.newest_subscriptions(parsed), "customer_id")
     assert newest["cus_1"].status == "active"
     assert billing.order_inserts(parsed).count() == 1
+
+
+def test_raw_events_as_a_stream(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text(raw_lines())
+    (tmp_path / "b.jsonl").write_text(raw_lines())
+    t = tables(spark, user_trials=[trial(1)], stripe_customers=[customer(1)])
+    events = parse_events(
+        spark.readStream.option("maxFilesPerTrigger", 1).text(str(tmp_path))
+    )
+    run = WebhookStream(spark, t, AS_OF, shared_dir(spark, "test")).run(events)
+    rows = by(run.subscriptions(), "customer_id")
+    assert rows["cus_1"].status == "active" and rows["cus_1"].price_id == "price_pro"
+    assert by(run.trials())[1].trial_status == "converted_to_paid"
+    assert run.new_orders().count() == 1

@@ -14,6 +14,7 @@ from tenure.operators.keyed import conform
 from tenure.plans import access
 from tenure.session import sized_for
 from tenure.sources.derived import derived_tables
+from tenure.sources.tables import bucketed_tables, save_bucketed
 
 
 def plan(df) -> str:
@@ -112,3 +113,27 @@ def test_a_hot_customer_is_split_between_tasks(large):
 def test_settings_grow_with_the_input():
     assert sized_for(0)["spark.sql.shuffle.partitions"] == "8"
     assert sized_for(100 * 2**40)["spark.sql.shuffle.partitions"] == "819200"
+
+
+def test_bucketed_tables_are_not_shuffled_again(large, sf_dir, tmp_path):
+    t = derived_tables(large, sf_dir)
+    names = (
+        "stripe_customers",
+        "stripe_subscriptions",
+        "user_trials",
+        "user_profiles",
+        "linked_accounts",
+        "user_account_state",
+    )
+    save_bucketed(t, str(tmp_path), "kept_", 4, names)
+    stored = bucketed_tables(large, "kept_", names)
+    try:
+        df = access.user_overview(stored)
+        text = plan(df)
+        # Only the billing rows move, from the customer key to the user key.
+        assert text.count("Exchange hashpartitioning") == 1
+        view = access.user_overview(t)
+        assert sorted(map(str, df.collect())) == sorted(map(str, view.collect()))
+    finally:
+        for name in names:
+            large.sql(f"DROP TABLE kept_{name}")

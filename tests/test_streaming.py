@@ -6,10 +6,14 @@ import pytest
 from compare import spark_rows
 
 from tenure.catalog import SUBSCRIPTION_VIEW
+from tenure.functions import clock
+from tenure.model import struct
 from tenure.plans import access, accounts, billing, trials
 from tenure.session import shared_dir
 from tenure.sources.derived import AS_OF, PROTECTED_IDS, derived_stream, derived_tables
+from tenure.sources.tables import read_stream
 from tenure.streaming.signups import SignupStream
+from tenure.streaming.timers import run_trial_timers
 from tenure.streaming.webhooks import AccessUpdates, WebhookStream
 
 
@@ -99,3 +103,41 @@ def test_signups(spark, t, shuffled):
     assert spark_rows(run.provisioned()) == spark_rows(batch)
     made = run.tables().user_trials
     assert made.count() == t.user_trials.count() + t.signups.count()
+
+
+def test_trial_timers_fire_once_and_late_trials_too(spark, t, sf_dir, tmp_path):
+    """Ticks move the time in steps; half of the trials come after the end."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table(f"{sf_dir}/customer.parquet").to_pylist()
+    schema = pq.read_schema(f"{sf_dir}/customer.parquet").remove_metadata()
+    root, files, ticks = shared_dir(spark, "test"), tmp_path / "trials", f"{tmp_path}/ticks"
+    files.mkdir()
+
+    def step(i, at, part):
+        pq.write_table(pa.Table.from_pylist(part, schema), files / f"customer-{i}.parquet")
+        spark.range(1).select(clock.instant(at).alias("at")).write.mode("append").parquet(ticks)
+        return run_trial_timers(
+            spark,
+            derived_stream(spark, str(files), "user_trials"),
+            read_stream(spark, ticks, struct(at="ts")),
+            t,
+            PROTECTED_IDS,
+            root,
+        )
+
+    early = step(0, "2024-01-20 00:00:00", rows[::2])
+    assert early.filter("due_at > timestamp_ntz'2024-01-20 00:00:00'").count() == 0
+    before = early.count()
+    assert 0 < before
+    late = step(1, AS_OF, [*rows[1::2], *rows[:20:2]])
+    expected = trials.timed_transitions(t, AS_OF, PROTECTED_IDS)
+    assert late.count() > before
+    assert spark_rows(late.filter(late.due_at < clock.instant(AS_OF))) == spark_rows(expected)
+
+
+def test_no_events_leave_the_tables_as_they_are(spark, t):
+    run = WebhookStream(spark, t, AS_OF, shared_dir(spark, "test"))
+    assert run.subscriptions().count() == t.stripe_subscriptions.count()
+    assert run.new_orders().count() == 0
