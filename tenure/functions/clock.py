@@ -84,9 +84,21 @@ def countdown_parts(end: Column, as_of: Column) -> dict[str, Column]:
     }
 
 
+def _epoch() -> Column:
+    return instant("1970-01-01 00:00:00")
+
+
 def from_epoch(seconds: Column) -> Column:
     """Epoch seconds to a UTC timestamp, whatever the session time zone."""
-    return F.timestamp_add("SECOND", seconds, instant("1970-01-01 00:00:00"))
+    return F.timestamp_add("SECOND", seconds, _epoch())
+
+
+def from_epoch_micros(micros: Column) -> Column:
+    return F.timestamp_add("MICROSECOND", micros, _epoch())
+
+
+def epoch_micros(ts: Column) -> Column:
+    return micros_until(ts, _epoch())
 
 
 def date_text(ts: Column) -> Column:

@@ -12,11 +12,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tenure.functions import clock
 from tenure.model import GRACE_DAYS, Tables, struct
 from tenure.plans.access import is_protected, paying_users
-from tenure.streaming.run import state_on_disk
+from tenure.sources.tables import ChangeLog
+from tenure.streaming.run import drain, state_on_disk
 
 C = F.col
 
-_EPOCH = "1970-01-01 00:00:00"
 _KEY = ("user_id", "end_us")
 _NO_END = -1
 _OUT = struct(user_id="long", trial_status="string", due_us="long")
@@ -75,22 +75,21 @@ def run_trial_timers(
 
     ``trials`` streams trial rows, ``clock_ticks`` rows (``at``) that move the
     time on. Trial rows have no event time of their own, so none is ever late:
-    a trial that comes after its end fires at once.
+    a trial that comes after its end fires at once. Who pays by the time a
+    timer fires is left alone.
     """
-    epoch = clock.instant(_EPOCH)
-    running = (
-        trials.filter((C("trial_status") == "active") & ~is_protected(C("user_id"), protected))
-        .join(paying_users(t), "user_id", "left_anti")
-        .select(
-            "user_id",
-            clock.micros_until(C("trial_end_date"), epoch).alias("end_us"),
-            F.lit(None).cast("timestamp").alias("event_time"),
-        )
+    log = ChangeLog(spark, f"{root}/due", _OUT)
+    running = trials.filter(
+        (C("trial_status") == "active") & ~is_protected(C("user_id"), protected)
+    ).select(
+        "user_id",
+        clock.epoch_micros(C("trial_end_date")).alias("end_us"),
+        F.lit(None).cast("timestamp").alias("event_time"),
     )
     ticks = clock_ticks.select(
         F.lit(-1).cast("long").alias("user_id"),
         F.lit(_NO_END).cast("long").alias("end_us"),
-        C("at").cast("timestamp").alias("event_time"),
+        F.timestamp_micros(clock.epoch_micros(C("at"))).alias("event_time"),
     )
     due = (
         running.unionByName(ticks)
@@ -103,16 +102,12 @@ def run_trial_timers(
             timeMode="EventTime",
         )
     )
+
+    def record(batch: DataFrame, batch_id: int) -> None:
+        log.write(batch.join(paying_users(t), "user_id", "left_anti"), batch_id)
+
     with state_on_disk(spark):
-        query = (
-            due.writeStream.format("parquet")
-            .option("path", f"{root}/due")
-            .option("checkpointLocation", f"{root}/checkpoint")
-            .outputMode("append")
-            .trigger(availableNow=True)
-            .start()
-        )
-        query.awaitTermination()
-    micros = F.make_dt_interval(secs=(C("due_us") / F.lit(clock.MICROS_PER_SECOND)))
-    fired = spark.read.schema(_OUT).parquet(f"{root}/due").distinct()
-    return fired.select("user_id", "trial_status", (epoch + micros).alias("due_at"))
+        drain(due, record, f"{root}/checkpoint")
+    fired = log.read().select(*_OUT.names).distinct()
+    due_at = clock.from_epoch_micros(C("due_us")).alias("due_at")
+    return fired.select("user_id", "trial_status", due_at)

@@ -5,7 +5,7 @@ import random
 import pytest
 from compare import spark_rows
 
-from tenure.catalog import SUBSCRIPTION_VIEW
+from tenure.catalog import STREAMS, SUBSCRIPTION_VIEW
 from tenure.functions import clock
 from tenure.model import struct
 from tenure.plans import access, accounts, billing, trials
@@ -137,6 +137,17 @@ def test_trial_timers_fire_once_and_late_trials_too(spark, t, sf_dir, tmp_path):
     assert spark_rows(late.filter(late.due_at < clock.instant(AS_OF))) == spark_rows(expected)
 
 
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Kolkata"])
+def test_trial_timers_in_any_zone(spark, sf_dir, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        got = spark_rows(STREAMS["stream_trial_timers"](spark, sf_dir))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    t = derived_tables(spark, sf_dir)
+    assert got == spark_rows(trials.timed_transitions(t, AS_OF, PROTECTED_IDS))
+
+
 def test_no_events_leave_the_tables_as_they_are(spark, t):
     run = WebhookStream(spark, t, AS_OF, shared_dir(spark, "test"))
     assert run.subscriptions().count() == t.stripe_subscriptions.count()
