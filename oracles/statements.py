@@ -461,6 +461,9 @@ STATEMENTS = {
     " count(*) FILTER (user_id IN (SELECT user_id FROM payers_after)) AS protected_users,"
     " count(*) FILTER (user_id NOT IN (SELECT user_id FROM payers_after)) AS processed"
     " FROM run",
+    "deletion_results": "SELECT user_id, email, email IN (SELECT username FROM"
+    " external_directory) AS has_external_account FROM run"
+    " WHERE user_id NOT IN (SELECT user_id FROM payers_after)",
     "purge_users": " UNION ALL ".join(
         f"SELECT '{table}' AS table_name, count(*) FILTER (gone) AS removed,"
         f" count(*) FILTER (NOT gone) AS remaining FROM (SELECT {test} AS gone FROM {table})"
@@ -647,5 +650,11 @@ STATEMENTS = {
 }
 
 
+for _name in ("state_sync_report", "health_score"):
+    STATEMENTS[f"{_name}_json"] = (
+        f"SELECT cast(to_json(m) AS VARCHAR) AS json FROM ({STATEMENTS[_name]}) m"
+    )
+
+
 def oracle_statements() -> dict[str, str]:
     return {name: with_fixtures(sql, SHARED) for name, sql in STATEMENTS.items()}

@@ -157,6 +157,9 @@ BATCH: dict[str, Callable[[Tables], DataFrame]] = {
     "deletion_candidates": lambda t: trials.deletion_candidates(t, AS_OF, PROTECTED_IDS),
     "deletion_run": lambda t: _deletion_run(t),
     "deletion_run_report": lambda t: trials.deletion_run_report(_deletion_run(t)),
+    "deletion_results": lambda t: trials.deletion_results(
+        _deletion_run(t), t.external_directory
+    ),
     "purge_users": lambda t: trials.purge_report(t, _to_delete(t)),
     "deletion_history_record": lambda t: accounts.deletion_history_record(
         t, _to_delete(t), AS_OF
@@ -173,6 +176,7 @@ BATCH: dict[str, Callable[[Tables], DataFrame]] = {
     # account state and provisioning
     "account_state_sync": lambda t: accounts.account_state_sync(t, AS_OF).select(*_STATE_VIEW),
     "state_sync_report": lambda t: accounts.state_sync_report(t, AS_OF),
+    "state_sync_report_json": lambda t: as_json_rows(accounts.state_sync_report(t, AS_OF)),
     "system_metrics": lambda t: accounts.system_metrics(t, AS_OF),
     "system_metrics_json": lambda t: as_json_rows(
         accounts.system_metrics(t, AS_OF).drop("generated_at")
@@ -245,6 +249,7 @@ BATCH: dict[str, Callable[[Tables], DataFrame]] = {
     # integrity
     "constraint_violations": quality.constraint_violations,
     "health_score": quality.health_score,
+    "health_score_json": lambda t: as_json_rows(quality.health_score(t)),
 }
 
 

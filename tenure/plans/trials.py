@@ -207,6 +207,17 @@ def deletion_run_report(run: DataFrame) -> DataFrame:
     )
 
 
+def deletion_results(run: DataFrame, directory: DataFrame) -> DataFrame:
+    """Per deleted user, whether the external directory has an account to
+    delete as well; a missing one does not stop the deletion."""
+    accounts = directory.select(C("username").alias("email")).distinct()
+    listed = accounts.withColumn("_found", F.lit(True))
+    gone = run.filter(C("decision") == "delete").select("user_id", "email")
+    return gone.join(listed, "email", "left").select(
+        "user_id", "email", C("_found").isNotNull().alias("has_external_account")
+    )
+
+
 # Where a deleted user's rows live: by user, or through the user's customer.
 _OWNED_BY_USER = {
     "users": "user_id",
