@@ -646,6 +646,8 @@ STATEMENTS = {
     f" trial_status = 'expired' AND coalesce(deletion_scheduled_at < {NOW}, false) AS late"
     " FROM judged_after)",
     "stream_access_updates": _ACCESS_UPDATES,
+    "stream_trial_access": "SELECT user_id, has_access, access_type, days_remaining"
+    " FROM typed_access",
     "stream_trial_timers": _TIMED,
 }
 

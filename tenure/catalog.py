@@ -17,9 +17,10 @@ from tenure.plans import access, accounts, billing, trials
 from tenure.session import shared_dir
 from tenure.sources.derived import AS_OF, PROTECTED_IDS, derived_stream, derived_tables
 from tenure.sources.tables import read_stream
+from tenure.streaming.access import AccessUpdates, TrialAccessUpdates
 from tenure.streaming.signups import SignupStream
 from tenure.streaming.timers import run_trial_timers
-from tenure.streaming.webhooks import AccessUpdates, WebhookStream
+from tenure.streaming.webhooks import WebhookStream
 
 C = F.col
 
@@ -293,8 +294,13 @@ def stream_synced_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_access_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = derived_tables(spark, sf_dir)
     updates = AccessUpdates(spark, t, AS_OF, shared_dir(spark, "access"))
-    latest = updates.run(_events(spark, sf_dir)).latest()
-    return latest.select("user_id", "has_access", "access_type", "days_remaining")
+    return updates.run(_events(spark, sf_dir)).latest()
+
+
+def stream_trial_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = derived_tables(spark, sf_dir)
+    updates = TrialAccessUpdates(spark, t, AS_OF, shared_dir(spark, "trial-access"))
+    return updates.run(derived_stream(spark, sf_dir, "user_trials")).latest()
 
 
 def stream_signups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,6 +333,7 @@ STREAMS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_subscription_effects": stream_subscription_effects,
     "stream_synced_trials": stream_synced_trials,
     "stream_access_updates": stream_access_updates,
+    "stream_trial_access": stream_trial_access,
     "stream_signups": stream_signups,
     "stream_trial_timers": stream_trial_timers,
 }

@@ -1,4 +1,4 @@
-"""Billing events as a stream: subscriptions, orders, trials and access.
+"""Billing events as a stream: subscriptions, orders and trials.
 
 Events may come repeated and in any order: the newest subscription per customer
 and the first event per checkout session win, whatever batch brings them.
@@ -10,15 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenure.functions import clock
-from tenure.model import PAYING_STATUSES, Tables, struct
-from tenure.operators.keyed import extreme_per_key
-from tenure.plans import access, billing, trials
+from tenure.model import Tables, struct
+from tenure.plans import billing, trials
 from tenure.sources.tables import ChangeLog
-from tenure.streaming.run import drain, once_per_event, state_on_disk
+from tenure.streaming.run import drain, once_per_event
 
-C = F.col
-
-_SUBSCRIPTION_LOG = struct(
+SUBSCRIPTION_LOG = struct(
     customer_id="string",
     status="string",
     subscription_id="string",
@@ -43,9 +40,6 @@ _ORDER_LOG = struct(
     created="ts",
     event_id="long",
 )
-_ACCESS_LOG = struct(
-    user_id="long", has_access="boolean", access_type="string", days_remaining="int"
-)
 
 
 class WebhookStream:
@@ -53,7 +47,7 @@ class WebhookStream:
 
     def __init__(self, spark: SparkSession, t: Tables, as_of: clock.Instant, root: str):
         self.t, self.as_of, self.root = t, as_of, root
-        self._subscriptions = ChangeLog(spark, f"{root}/subscriptions", _SUBSCRIPTION_LOG)
+        self._subscriptions = ChangeLog(spark, f"{root}/subscriptions", SUBSCRIPTION_LOG)
         self._payers = ChangeLog(spark, f"{root}/payers", struct(customer_id="string"))
         self._orders = ChangeLog(spark, f"{root}/orders", _ORDER_LOG)
 
@@ -95,57 +89,3 @@ class WebhookStream:
             stripe_subscriptions=self.subscriptions(), user_trials=self.trials()
         )
         return trials.sync_trials(now, self.as_of, protected)
-
-
-class AccessUpdates:
-    """The access rows of the users that each batch of events touches.
-
-    A stateful aggregate keeps one row per customer: the newest subscription
-    and whether any event made the customer a payer. In update mode each batch
-    brings only the customers it changed, so its work follows the events and
-    not the history.
-    """
-
-    def __init__(self, spark: SparkSession, t: Tables, as_of: clock.Instant, root: str):
-        self.spark, self.t, self.as_of, self.root = spark, t, as_of, root
-        self._access = ChangeLog(spark, f"{root}/access", _ACCESS_LOG)
-
-    def _take(self, batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            self._access.write(self._refresh(batch), batch_id)
-        finally:
-            batch.unpersist()
-
-    def _refresh(self, batch: DataFrame) -> DataFrame:
-        touched = batch.select("customer_id")
-        customers = self.t.stripe_customers.join(touched, "customer_id", "left_semi")
-        before = self.t.stripe_subscriptions.join(touched, "customer_id", "left_semi")
-        newest = batch.select("customer_id", "sub.*")
-        users = access.live(customers).select("user_id")
-        now = self.t.replace(
-            stripe_customers=customers,
-            stripe_subscriptions=billing.merge_subscriptions(before, newest, self.as_of),
-            user_trials=self.t.user_trials.join(users, "user_id", "left_semi"),
-        )
-        payers = batch.filter("ever_paid").select("customer_id", F.lit("active").alias("status"))
-        now = now.replace(
-            user_trials=billing.subscription_change_effects(now, payers, self.as_of)
-        )
-        return access.access_status(now, self.as_of)
-
-    def run(self, events: DataFrame) -> "AccessUpdates":
-        candidates = billing.sync_candidates(events)
-        paid = C("status").isin(*PAYING_STATUSES)
-        newest = candidates.groupBy("customer_id").agg(
-            billing.newest_candidate(candidates).alias("sub"),
-            F.coalesce(F.bool_or(paid), F.lit(False)).alias("ever_paid"),
-        )
-        with state_on_disk(self.spark):
-            drain(newest, self._take, f"{self.root}/checkpoint", mode="update")
-        return self
-
-    def latest(self) -> DataFrame:
-        """Each touched user's access as last updated."""
-        rows = extreme_per_key(self._access.read(), ["user_id"], ["batch_id"])
-        return rows.drop("batch_id")

@@ -7,14 +7,15 @@ from compare import spark_rows
 
 from tenure.catalog import STREAMS, SUBSCRIPTION_VIEW
 from tenure.functions import clock
-from tenure.model import struct
+from tenure.model import SCHEMAS, struct
 from tenure.plans import access, accounts, billing, trials
 from tenure.session import shared_dir
 from tenure.sources.derived import AS_OF, PROTECTED_IDS, derived_stream, derived_tables
 from tenure.sources.tables import read_stream
+from tenure.streaming.access import AccessUpdates, TrialAccessUpdates
 from tenure.streaming.signups import SignupStream
 from tenure.streaming.timers import run_trial_timers
-from tenure.streaming.webhooks import AccessUpdates, WebhookStream
+from tenure.streaming.webhooks import WebhookStream
 
 
 @pytest.fixture(scope="module")
@@ -96,6 +97,24 @@ def test_access_updates(spark, t, shuffled):
     assert spark_rows(latest) == spark_rows(batch.select(*latest.columns))
 
 
+def test_access_follows_the_trial_row_updated_last(spark, tmp_path):
+    from hand import DAY, by, frame, tables, trial
+    from hand import AS_OF as NOW
+
+    t = tables(spark)
+    changes = [
+        [trial(1, updated_at=NOW), trial(2, updated_at=NOW - DAY)],
+        [trial(1, "expired", updated_at=NOW - DAY), trial(2, "expired", updated_at=NOW)],
+    ]
+    root, files = shared_dir(spark, "test"), str(tmp_path)
+    for rows in changes:
+        frame(spark, "user_trials", rows).coalesce(1).write.mode("append").parquet(files)
+        updates = TrialAccessUpdates(spark, t, NOW, root)
+        updates.run(read_stream(spark, files, SCHEMAS["user_trials"]))
+    rows = by(updates.latest())
+    assert rows[1].access_type == "free_trial" and not rows[2].has_access
+
+
 def test_signups(spark, t, shuffled):
     run = SignupStream(spark, t, shared_dir(spark, "test"))
     run.run(stream(spark, shuffled, "signups"))
