@@ -53,6 +53,24 @@ def saved(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+#: A table of up to so many narrow rows is sent to every executor (some 10 MB).
+BROADCAST_ROWS = 100_000
+_SALTS = 32
+
+
+def attach(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """Inner join of rows with one saved row per key, also where a key is hot.
+
+    Up to BROADCAST_ROWS keys are broadcast. Beyond that each key is repeated per
+    salt, so that a hot key's rows spread over as many tasks.
+    """
+    if small.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(small), key)
+    salted = small.withColumn("_salt", F.explode(F.array(*(F.lit(i) for i in range(_SALTS)))))
+    spread = rows.withColumn("_salt", F.floor(F.rand(1) * _SALTS).cast("int"))
+    return spread.join(salted, [key, "_salt"]).drop("_salt")
+
+
 def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
     """The strings of a column, null as the empty one."""
     return [t or "" for t in batch.column(name).to_pylist()]

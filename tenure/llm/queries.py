@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenure.llm import chat_format, quality_rules, url_filter
+from tenure.llm import chat_format, mixing, quality_classifier, quality_rules, url_filter
 from tenure.llm.columns import table
 
 #: The control-string conversation that the formatting query adds.
@@ -23,6 +23,19 @@ RULES = [
 ]
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality_classifier.classify(documents, table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "log_weight", "gumbel_score", "kept")
+
+
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix_sources(documents).select(
+        "doc_id", "size", "source_size", "target", "taken", "source", "copies"
+    )
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(
@@ -63,6 +76,8 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality_classifier": op2_quality_classifier,
+        "op4_source_mix": op4_source_mix,
         "op5_chat_format": op5_chat_format,
         "op6_quality_rules": op6_quality_rules,
         "op9_url_filter": op9_url_filter,
