@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenure.llm import chat_format, mixing, quality_classifier, quality_rules, url_filter
+from tenure.llm import (
+    chat_format,
+    mixing,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    token_counts,
+    url_filter,
+)
 from tenure.llm.columns import table
 
 #: The control-string conversation that the formatting query adds.
@@ -23,12 +32,24 @@ RULES = [
 ]
 
 
+#: The vocabulary whose tokens are counted.
+VOCABULARY = os.environ.get("TENURE_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = quality_classifier.classify(documents, table(spark, sf_dir, "labels"))
     return found.select("doc_id", "log_weight", "gumbel_score", "kept")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix_sources(documents).select(
@@ -76,7 +97,9 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": op1_token_counts,
         "op2_quality_classifier": op2_quality_classifier,
+        "op3_secret_scan": op3_secret_scan,
         "op4_source_mix": op4_source_mix,
         "op5_chat_format": op5_chat_format,
         "op6_quality_rules": op6_quality_rules,
