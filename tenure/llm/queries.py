@@ -14,6 +14,7 @@ from tenure.llm import (
     quality_classifier,
     quality_rules,
     secret_scan,
+    simhash,
     token_counts,
     url_filter,
 )
@@ -88,6 +89,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks, besides by rule, the canonical URLs of the pages whose id 100 divides."""
     pages = table(spark, sf_dir, "pages")
@@ -103,5 +111,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_source_mix": op4_source_mix,
         "op5_chat_format": op5_chat_format,
         "op6_quality_rules": op6_quality_rules,
+        "op7_simhash_dedup": op7_simhash_dedup,
         "op9_url_filter": op9_url_filter,
     }
