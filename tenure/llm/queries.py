@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tenure.llm import (
     chat_format,
+    decontamination,
+    html_extract,
     mixing,
     quality_classifier,
     quality_rules,
@@ -96,6 +98,11 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return decontamination.decontaminate(documents, table(spark, sf_dir, "benchmark"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks, besides by rule, the canonical URLs of the pages whose id 100 divides."""
     pages = table(spark, sf_dir, "pages")
@@ -103,6 +110,13 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages.select("page_id", "url"), blocked, RULES)
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", F.col("main_text").alias("text")).withColumn(
+        "n_chars", F.length("text").cast("long")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -112,5 +126,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_chat_format": op5_chat_format,
         "op6_quality_rules": op6_quality_rules,
         "op7_simhash_dedup": op7_simhash_dedup,
+        "op8_decontamination": op8_decontamination,
         "op9_url_filter": op9_url_filter,
+        "op10_html_extract": op10_html_extract,
     }
