@@ -99,18 +99,21 @@ SHARED = {
     "newest": "SELECT c.customer AS customer_id, e.* FROM"
     " (SELECT DISTINCT customer FROM routed WHERE route = 'subscription_sync') c LEFT JOIN"
     " (SELECT * FROM routed WHERE route = 'subscription_sync' AND subscription_id IS NOT NULL"
-    " QUALIFY row_number() OVER (PARTITION BY customer ORDER BY created DESC, event_id DESC)"
-    " = 1) e ON e.customer = c.customer",
+    " QUALIFY row_number() OVER (PARTITION BY customer ORDER BY subscription_created DESC,"
+    " created DESC, event_id DESC) = 1) e ON e.customer = c.customer",
     "merged": "SELECT coalesce(o.customer_id, n.customer_id) AS customer_id,"
     " coalesce(n.subscription_id, o.subscription_id) AS subscription_id,"
     " coalesce(n.price_id, o.price_id) AS price_id,"
     " coalesce(n.current_period_start, o.current_period_start) AS current_period_start,"
     " coalesce(n.current_period_end, o.current_period_end) AS current_period_end,"
     " coalesce(n.cancel_at_period_end, o.cancel_at_period_end, false) AS cancel_at_period_end,"
-    " coalesce(n.payment_method_brand, o.payment_method_brand) AS payment_method_brand,"
-    " coalesce(n.payment_method_last4, o.payment_method_last4) AS payment_method_last4,"
-    " CASE WHEN n.customer_id IS NULL THEN o.status"
-    " ELSE coalesce(n.subscription_status, 'not_started') END AS status,"
+    " CASE WHEN n.payment_method_given THEN n.payment_method_brand"
+    " ELSE o.payment_method_brand END AS payment_method_brand,"
+    " CASE WHEN n.payment_method_given THEN n.payment_method_last4"
+    " ELSE o.payment_method_last4 END AS payment_method_last4,"
+    # Only a customer who has no subscription row yet gets the default.
+    " CASE WHEN o.customer_id IS NULL THEN coalesce(n.subscription_status, 'not_started')"
+    " WHEN n.subscription_id IS NULL THEN o.status ELSE n.subscription_status END AS status,"
     f" coalesce(o.created_at, {NOW}) AS created_at, o.deleted_at"
     " FROM stripe_subscriptions o FULL JOIN newest n ON n.customer_id = o.customer_id",
     # Trials after the events: converted for good, then expired and scheduled.
@@ -119,6 +122,9 @@ SHARED = {
     f" AND e.subscription_status IN {PAYS}",
     "payers_after": "SELECT user_id FROM live_customers WHERE customer_id IN"
     f" (SELECT customer_id FROM merged WHERE deleted_at IS NULL AND status IN {PAYS})",
+    # Who pays when the deletion starts is not deleted.
+    "doomed": "SELECT user_id, email FROM run"
+    " WHERE user_id NOT IN (SELECT user_id FROM payers_after)",
     "judged_after": "SELECT *, converts OR (pays_after AND trial_status <>"
     " 'converted_to_paid') AS paid, NOT converts AND NOT pays_after AND NOT safe AS open"
     " FROM (SELECT f.*, user_id IN (SELECT user_id FROM event_payers) AS converts,"
@@ -468,16 +474,16 @@ STATEMENTS = {
         f"SELECT '{table}' AS table_name, count(*) FILTER (gone) AS removed,"
         f" count(*) FILTER (NOT gone) AS remaining FROM (SELECT {test} AS gone FROM {table})"
         for table, test in {
-            "users": "user_id IN (SELECT user_id FROM run)",
-            "stripe_customers": "user_id IN (SELECT user_id FROM run)",
-            "user_trials": "user_id IN (SELECT user_id FROM run)",
-            "user_profiles": "id IN (SELECT user_id FROM run)",
-            "linked_accounts": "user_id IN (SELECT user_id FROM run)",
-            "user_account_state": "user_id IN (SELECT user_id FROM run)",
+            "users": "user_id IN (SELECT user_id FROM doomed)",
+            "stripe_customers": "user_id IN (SELECT user_id FROM doomed)",
+            "user_trials": "user_id IN (SELECT user_id FROM doomed)",
+            "user_profiles": "id IN (SELECT user_id FROM doomed)",
+            "linked_accounts": "user_id IN (SELECT user_id FROM doomed)",
+            "user_account_state": "user_id IN (SELECT user_id FROM doomed)",
             "stripe_subscriptions": "customer_id IN (SELECT customer_id FROM"
-            " stripe_customers WHERE user_id IN (SELECT user_id FROM run))",
+            " stripe_customers WHERE user_id IN (SELECT user_id FROM doomed))",
             "stripe_orders": "customer_id IN (SELECT customer_id FROM"
-            " stripe_customers WHERE user_id IN (SELECT user_id FROM run))",
+            " stripe_customers WHERE user_id IN (SELECT user_id FROM doomed))",
         }.items()
     ),
     "timed_transitions": _TIMED,
@@ -548,7 +554,7 @@ STATEMENTS = {
     " THEN 'Welcome! You''re eligible for a 7-day free trial.' ELSE"
     " 'You''ve already used your free trial. Please subscribe to continue using our service.'"
     " END AS message FROM signups s LEFT JOIN known h ON h.email = s.email",
-    "deletion_history_record": _history_after("SELECT user_id, email FROM run"),
+    "deletion_history_record": _history_after("SELECT user_id, email FROM doomed"),
     "deletion_history_listing": "SELECT original_user_id, email, account_deleted_at,"
     " deletion_reason, ever_subscribed FROM deleted_account_history"
     " ORDER BY account_deleted_at DESC, email",

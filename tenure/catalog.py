@@ -94,8 +94,7 @@ SIGNUP_VIEW = (
 
 
 def _to_delete(t: Tables) -> DataFrame:
-    run = trials.deletion_run(t, AS_OF, PROTECTED_IDS)
-    return run.filter(C("decision") == "delete").select("user_id", "email")
+    return trials.to_delete(_deletion_run(t))
 
 
 def _deletion_run(t: Tables) -> DataFrame:

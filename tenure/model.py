@@ -189,10 +189,12 @@ SCHEMAS: dict[str, T.StructType] = {
         currency="string",
         subscription_id="string",
         subscription_status="string",
+        subscription_created="ts",
         price_id="string",
         current_period_start="long",
         current_period_end="long",
         cancel_at_period_end="boolean",
+        payment_method_given="boolean",
         payment_method_brand="string",
         payment_method_last4="string",
     ),

@@ -43,6 +43,19 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     )
 
 
+def one_per_key(source: DataFrame, key: str) -> DataFrame:
+    """One row per key: of rows that repeat a key, the one with the largest values.
+
+    A batch that brings a key twice, as a repeated call does, then counts once.
+    Map tasks reduce their rows first, so repeats are not shuffled.
+    """
+    rest = [c for c in source.columns if c != key]
+    if not rest:
+        return source.distinct()
+    best = source.groupBy(key).agg(F.max(F.struct(*rest)).alias("_one"))
+    return best.select(key, "_one.*").select(*source.columns)
+
+
 def upsert(
     target: DataFrame,
     source: DataFrame,
@@ -52,13 +65,13 @@ def upsert(
 ) -> DataFrame:
     """Insert new keys and change given columns of known ones.
 
-    ``source`` has at most one row per key (see ``extreme_per_key``). One full
-    outer join reads and shuffles each side once, whatever the two sizes.
+    Repeated keys of ``source`` count once (see ``one_per_key``). One full outer
+    join reads and shuffles each side once, whatever the two sizes.
     Columns absent from ``update`` keep their old value; columns absent from
     ``insert`` are null in new rows.
     """
     old = target.withColumn("_known", F.lit(True)).alias("old")
-    new = source.withColumn("_given", F.lit(True)).alias("new")
+    new = one_per_key(source, key).withColumn("_given", F.lit(True)).alias("new")
     joined = old.join(new, F.col(f"old.{key}") == F.col(f"new.{key}"), "full_outer")
     known, given = F.col("old._known").isNotNull(), F.col("new._given").isNotNull()
     out = []
@@ -76,22 +89,22 @@ def upsert(
 def insert_if_absent(
     target: DataFrame, source: DataFrame, key: str, repeated: bool = False
 ) -> DataFrame:
-    """Add the source rows whose key is unknown; known rows stay untouched.
+    """Add the source rows whose key is unknown, once each; known rows stay untouched.
 
     Only the target's keys are shuffled, never its full rows. Where the target
     may hold a key many times (``repeated``), keys are reduced before that.
     """
     keys = target.select(key)
-    fresh = source.join(keys.distinct() if repeated else keys, key, "left_anti")
+    fresh = one_per_key(source, key).join(keys.distinct() if repeated else keys, key, "left_anti")
     return target.unionByName(conform(fresh, target.schema))
 
 
 def apply_update(
     target: DataFrame, source: DataFrame, key: str, sets: Mapping[str, Column]
 ) -> DataFrame:
-    """Change columns of the rows whose key is in ``source`` (unique by key)."""
+    """Change columns of the rows whose key is in ``source``; repeated keys count once."""
     old = target.alias("old")
-    new = source.withColumn("_given", F.lit(True)).alias("new")
+    new = one_per_key(source, key).withColumn("_given", F.lit(True)).alias("new")
     joined = old.join(new, F.col(f"old.{key}") == F.col(f"new.{key}"), "left")
     given = F.col("new._given").isNotNull()
     return joined.select(

@@ -30,22 +30,31 @@ SUBSCRIPTION_COLUMNS = (
     "payment_method_last4",
 )
 
-MAX_LITERAL_IDS = 10_000
+#: A list of up to so many ids becomes part of the plan; a longer one is joined.
+INLINE_IDS = 100
+
+Protected = Collection | DataFrame
 
 
 def live(df: DataFrame) -> DataFrame:
     return df.filter(C("deleted_at").isNull())
 
 
-def is_protected(user_id: Column, protected_user_ids: Collection[int]) -> Column:
-    """Whether an account is on the short list that no rule may touch.
+def flag_protected(df: DataFrame, protected: Protected, key: str = "user_id") -> DataFrame:
+    """Adds ``_safe``: whether the row's account is one that no rule may touch.
 
-    The list is an argument of the job, not data, and becomes part of the
-    plan; the check keeps it from growing into one.
+    The accounts are a list, or a DataFrame of any size with the ids in its first
+    column. Repeated ids count once.
     """
-    if len(protected_user_ids) > MAX_LITERAL_IDS:
-        raise ValueError("too many protected accounts for a literal list")
-    return user_id.isin(list(protected_user_ids)) if protected_user_ids else F.lit(False)
+    if not isinstance(protected, DataFrame):
+        ids = list(protected)
+        if len(ids) <= INLINE_IDS:
+            return df.withColumn("_safe", C(key).isin(ids) if ids else F.lit(False))
+        kind = df.schema[key].dataType.simpleString()
+        protected = df.sparkSession.createDataFrame([(i,) for i in ids], f"id {kind}")
+    safe = protected.select(C(protected.columns[0]).alias("_id")).distinct()
+    joined = df.join(safe, C(key) == C("_id"), "left")
+    return joined.withColumn("_safe", C("_id").isNotNull()).drop("_id")
 
 
 # Billing --------------------------------------------------------------------
@@ -336,7 +345,7 @@ def access_flags(t: Tables, as_of: clock.Instant) -> DataFrame:
 
 
 def trial_countdown(
-    t: Tables, as_of: clock.Instant, protected_user_ids: Collection[int]
+    t: Tables, as_of: clock.Instant, protected_user_ids: Protected
 ) -> DataFrame:
     """Countdown to the end of the trial and the banners shown with it."""
     now = clock.instant(as_of)
@@ -372,14 +381,14 @@ def trial_countdown(
     deletes_in = clock.countdown_parts(deletes_at, now)["days"]
     counting = (C("account_status") == "trial_active") & (C("trial_days_remaining") > 0)
     deletion = (
-        F.when(is_protected(C("user_id"), protected_user_ids), F.lit("exempt"))
+        F.when(C("_safe"), F.lit("exempt"))
         .when(~F.coalesce(counting, F.lit(False)), F.lit("none"))
         .when(deletes_at <= now, F.lit("expired"))
         .when(deletes_in == 0, F.lit("urgent"))
         .when(deletes_in == 1, F.lit("soon"))
         .otherwise(F.lit("counting"))
     )
-    return base.withColumns(left).select(
+    return flag_protected(base, protected_user_ids).withColumns(left).select(
         "user_id",
         *left,
         clock_text.alias("text"),

@@ -6,7 +6,6 @@ Batches given to the keyed jobs have one row per key; see
 
 from __future__ import annotations
 
-from collections.abc import Collection
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from tenure.functions import clock, text
 from tenure.model import SCHEMAS, TRIAL_DAYS, Tables
 from tenure.operators.keyed import apply_update, insert_if_absent, upsert
-from tenure.plans.access import billing_where_live, is_protected
+from tenure.plans.access import Protected, billing_where_live, flag_protected
 
 C = F.col
 
@@ -359,21 +358,22 @@ def deletion_history_listing(t: Tables) -> DataFrame:
 
 
 def safe_delete_outcomes(
-    t: Tables, requests: DataFrame, protected: Collection[int]
+    t: Tables, requests: DataFrame, protected: Protected
 ) -> DataFrame:
     """What becomes of each deletion request: protected, not_found or recorded."""
     asked = requests.select("user_id").distinct()
     users = t.users.select("user_id", "email")
     outcome = (
-        F.when(is_protected(C("user_id"), protected), F.lit("protected"))
+        F.when(C("_safe"), F.lit("protected"))
         .when(C("email").isNull(), F.lit("not_found"))
         .otherwise(F.lit("recorded"))
     )
-    return asked.join(users, "user_id", "left").select("user_id", "email", outcome.alias("outcome"))
+    judged = flag_protected(asked.join(users, "user_id", "left"), protected)
+    return judged.select("user_id", "email", outcome.alias("outcome"))
 
 
 def safe_deletes(
-    t: Tables, requests: DataFrame, as_of: clock.Instant, protected: Collection[int]
+    t: Tables, requests: DataFrame, as_of: clock.Instant, protected: Protected
 ) -> DataFrame:
     """The next history after the requests that pass the safety checks."""
     passed = safe_delete_outcomes(t, requests, protected).filter(C("outcome") == "recorded")

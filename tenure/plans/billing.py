@@ -62,15 +62,21 @@ def sync_candidates(events: DataFrame) -> DataFrame:
         C("subscription_status").alias("status"),
         *_CARRIED,
         *_METHOD,
+        C("payment_method_given").alias("method_given"),
+        F.when(carries, C("subscription_created")).alias("subscription_created"),
         F.when(carries, C("created")).alias("event_at"),
         F.when(carries, C("event_id")).alias("event_id"),
     )
 
 
 def newest_candidate(candidates: DataFrame) -> Column:
-    """The aggregate that picks a customer's newest subscription."""
+    """The aggregate that picks a customer's newest subscription: the one made
+    last, as its own newest event has it. An old subscription's late event does
+    not win over a newer subscription."""
     rest = [c for c in candidates.columns if c != "customer_id"]
-    order = F.when(C("event_at").isNotNull(), F.struct("event_at", "event_id"))
+    order = F.when(
+        C("event_at").isNotNull(), F.struct("subscription_created", "event_at", "event_id")
+    )
     return F.max_by(F.struct(*rest), order)
 
 
@@ -95,13 +101,15 @@ def merge_subscriptions(
 ) -> DataFrame:
     """The next subscriptions, given the newest one per customer.
 
-    The payment method changes only when the newest subscription has one, and
-    a customer without any subscription only gets a status.
+    Events that carry no subscription say nothing about a stored one; they only
+    give an unknown customer a first status. A payment method that came with the
+    subscription replaces the old one, also with empty columns if it is no card;
+    a bare reference to one changes nothing.
     """
     now = clock.instant(as_of)
     found = C("new.subscription_id").isNotNull()
-    has_method = C("new.payment_method_brand").isNotNull()
-    status = F.coalesce("new.status", F.lit("not_started"))
+    has_method = F.coalesce(C("new.method_given"), F.lit(False))
+    has_method = found & (has_method | C("new.payment_method_brand").isNotNull())
     update = {c: F.when(found, C(f"new.{c}")).otherwise(C(f"old.{c}")) for c in _CARRIED}
     update |= {c: F.when(has_method, C(f"new.{c}")).otherwise(C(f"old.{c}")) for c in _METHOD}
     insert = {c: C(f"new.{c}") for c in (*_CARRIED, *_METHOD)}
@@ -115,8 +123,8 @@ def merge_subscriptions(
         subscriptions,
         newest,
         "customer_id",
-        update={**update, "status": status},
-        insert={**insert, "status": status},
+        update={**update, "status": F.when(found, C("new.status")).otherwise(C("old.status"))},
+        insert={**insert, "status": F.coalesce("new.status", F.lit("not_started"))},
     )
 
 

@@ -8,7 +8,6 @@ would give, with a single join and a single write.
 
 from __future__ import annotations
 
-from collections.abc import Collection
 from functools import reduce
 from typing import NamedTuple
 
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from tenure.functions import clock
 from tenure.model import GRACE_DAYS, Tables
 from tenure.operators.keyed import apply_update
-from tenure.plans.access import is_protected, paying_users
+from tenure.plans.access import Protected, flag_protected, paying_users
 
 C = F.col
 
@@ -45,28 +44,29 @@ def protect_rule() -> Rule:
     return _convert(C("trial_status").isin("expired", "scheduled_for_deletion"))
 
 
-def _untouched(protected: Collection[int]) -> Column:
-    return ~_paying() & ~is_protected(C("user_id"), protected)
+def _untouched() -> Column:
+    return ~_paying() & ~C("_safe")
 
 
-def expire_rule(now: Column, protected: Collection[int], grace_days: int) -> Rule:
+def expire_rule(now: Column, grace_days: int) -> Rule:
     due = (C("trial_status") == "active") & (C("trial_end_date") < now)
-    return Rule(due & _untouched(protected), "expired", now + clock.days(grace_days))
+    return Rule(due & _untouched(), "expired", now + clock.days(grace_days))
 
 
-def schedule_rule(now: Column, protected: Collection[int]) -> Rule:
+def schedule_rule(now: Column) -> Rule:
     # A missing schedule never passes the comparison.
     due = (C("trial_status") == "expired") & (C("deletion_scheduled_at") < now)
     return Rule(
-        due & _untouched(protected), "scheduled_for_deletion", C("deletion_scheduled_at")
+        due & _untouched(), "scheduled_for_deletion", C("deletion_scheduled_at")
     )
 
 
-def with_paying(t: Tables) -> DataFrame:
-    """The trials with a ``_paying`` flag; the one join that all rules share."""
+def with_paying(t: Tables, protected: Protected = ()) -> DataFrame:
+    """The trials with ``_paying`` and ``_safe``; the join with payers that all rules share."""
     payers = paying_users(t).withColumn("_payer", F.lit(True))
     joined = t.user_trials.join(payers, "user_id", "left")
-    return joined.withColumn("_paying", C("_payer").isNotNull()).drop("_payer")
+    flagged = joined.withColumn("_paying", C("_payer").isNotNull()).drop("_payer")
+    return flag_protected(flagged, protected)
 
 
 def transition(trials: DataFrame, now: Column, *rules: Rule) -> DataFrame:
@@ -85,8 +85,10 @@ def transition(trials: DataFrame, now: Column, *rules: Rule) -> DataFrame:
     return trials.select(*[new.get(c, C(c)).alias(c) for c in trials.columns])
 
 
-def _next_trials(t: Tables, now: Column, *rules: Rule) -> DataFrame:
-    return transition(with_paying(t), now, *rules).drop("_paying")
+def _next_trials(
+    t: Tables, now: Column, *rules: Rule, protected: Protected = ()
+) -> DataFrame:
+    return transition(with_paying(t, protected), now, *rules).drop("_paying", "_safe")
 
 
 def convert_paying_trials(t: Tables, as_of: clock.Instant) -> DataFrame:
@@ -94,47 +96,47 @@ def convert_paying_trials(t: Tables, as_of: clock.Instant) -> DataFrame:
 
 
 def expire_trials(
-    t: Tables, as_of: clock.Instant, protected: Collection[int], grace_days: int = GRACE_DAYS
+    t: Tables, as_of: clock.Instant, protected: Protected, grace_days: int = GRACE_DAYS
 ) -> DataFrame:
     now = clock.instant(as_of)
-    return _next_trials(t, now, expire_rule(now, protected, grace_days))
+    return _next_trials(t, now, expire_rule(now, grace_days), protected=protected)
 
 
-def schedule_deletions(t: Tables, as_of: clock.Instant, protected: Collection[int]) -> DataFrame:
+def schedule_deletions(t: Tables, as_of: clock.Instant, protected: Protected) -> DataFrame:
     now = clock.instant(as_of)
-    return _next_trials(t, now, schedule_rule(now, protected))
+    return _next_trials(t, now, schedule_rule(now), protected=protected)
 
 
 def protect_paying(t: Tables, as_of: clock.Instant) -> DataFrame:
     return _next_trials(t, clock.instant(as_of), protect_rule())
 
 
-def _sync_rules(now: Column, protected: Collection[int], grace_days: int) -> tuple[Rule, ...]:
+def _sync_rules(now: Column, grace_days: int) -> tuple[Rule, ...]:
     return (
         convert_rule(),
-        expire_rule(now, protected, grace_days),
-        schedule_rule(now, protected),
+        expire_rule(now, grace_days),
+        schedule_rule(now),
     )
 
 
 def sync_trials(
-    t: Tables, as_of: clock.Instant, protected: Collection[int], grace_days: int = GRACE_DAYS
+    t: Tables, as_of: clock.Instant, protected: Protected, grace_days: int = GRACE_DAYS
 ) -> DataFrame:
     """Convert, expire and schedule, in this order, in one pass."""
     now = clock.instant(as_of)
-    return _next_trials(t, now, *_sync_rules(now, protected, grace_days))
+    return _next_trials(t, now, *_sync_rules(now, grace_days), protected=protected)
 
 
-def _check_rules(now: Column, protected: Collection[int], grace_days: int) -> tuple[Rule, ...]:
-    return (protect_rule(), *_sync_rules(now, protected, grace_days))
+def _check_rules(now: Column, grace_days: int) -> tuple[Rule, ...]:
+    return (protect_rule(), *_sync_rules(now, grace_days))
 
 
 def check_expired_trials(
-    t: Tables, as_of: clock.Instant, protected: Collection[int], grace_days: int = GRACE_DAYS
+    t: Tables, as_of: clock.Instant, protected: Protected, grace_days: int = GRACE_DAYS
 ) -> DataFrame:
     """Protect payers first, then sync, in one pass."""
     now = clock.instant(as_of)
-    return _next_trials(t, now, *_check_rules(now, protected, grace_days))
+    return _next_trials(t, now, *_check_rules(now, grace_days), protected=protected)
 
 
 def mark_converted(t: Tables, user_ids: DataFrame, as_of: clock.Instant) -> DataFrame:
@@ -150,19 +152,20 @@ def mark_converted(t: Tables, user_ids: DataFrame, as_of: clock.Instant) -> Data
 # Deletion -------------------------------------------------------------------
 
 
-def _deletable(now: Column, protected: Collection[int], grace_days: int) -> Column:
+def _deletable(now: Column, grace_days: int) -> Column:
     return (
         (C("trial_status") == "scheduled_for_deletion")
         & (C("trial_end_date") < now - clock.days(grace_days))
-        & ~is_protected(C("user_id"), protected)
+        & ~C("_safe")
     )
 
 
 def deletion_candidates(
-    t: Tables, as_of: clock.Instant, protected: Collection[int], grace_days: int = GRACE_DAYS
+    t: Tables, as_of: clock.Instant, protected: Protected, grace_days: int = GRACE_DAYS
 ) -> DataFrame:
     """Scheduled trials, past their grace, of users neither paying nor protected."""
-    due = t.user_trials.filter(_deletable(clock.instant(as_of), protected, grace_days))
+    flagged = flag_protected(t.user_trials, protected)
+    due = flagged.filter(_deletable(clock.instant(as_of), grace_days))
     return (
         due.select("user_id", "trial_end_date")
         .join(paying_users(t), "user_id", "left_anti")
@@ -174,7 +177,7 @@ def deletion_candidates(
 def deletion_run(
     t: Tables,
     as_of: clock.Instant,
-    protected: Collection[int],
+    protected: Protected,
     grace_days: int = GRACE_DAYS,
     recheck: Tables | None = None,
 ) -> DataFrame:
@@ -185,8 +188,8 @@ def deletion_run(
     the tables of the list itself it could not find anything new.
     """
     now = clock.instant(as_of)
-    synced = transition(with_paying(t), now, *_check_rules(now, protected, grace_days))
-    due = synced.filter(_deletable(now, protected, grace_days) & ~_paying())
+    synced = transition(with_paying(t, protected), now, *_check_rules(now, grace_days))
+    due = synced.filter(_deletable(now, grace_days) & ~_paying())
     listed = due.select("user_id", "trial_end_date").join(
         t.users.select("user_id", "email"), "user_id"
     )
@@ -198,6 +201,11 @@ def deletion_run(
     return listed.select("user_id", "email", "trial_end_date", decision.alias("decision"))
 
 
+def to_delete(run: DataFrame) -> DataFrame:
+    """The users whom the second check leaves for deletion."""
+    return run.filter(C("decision") == "delete").select("user_id", "email")
+
+
 def deletion_run_report(run: DataFrame) -> DataFrame:
     """The counters of a ``deletion_run``."""
     return run.agg(
@@ -212,8 +220,7 @@ def deletion_results(run: DataFrame, directory: DataFrame) -> DataFrame:
     delete as well; a missing one does not stop the deletion."""
     accounts = directory.select(C("username").alias("email")).distinct()
     listed = accounts.withColumn("_found", F.lit(True))
-    gone = run.filter(C("decision") == "delete").select("user_id", "email")
-    return gone.join(listed, "email", "left").select(
+    return to_delete(run).join(listed, "email", "left").select(
         "user_id", "email", C("_found").isNotNull().alias("has_external_account")
     )
 
@@ -280,7 +287,7 @@ def purge_report(t: Tables, user_ids: DataFrame) -> DataFrame:
 
 
 def timed_transitions(
-    t: Tables, as_of: clock.Instant, protected: Collection[int], grace_days: int = GRACE_DAYS
+    t: Tables, as_of: clock.Instant, protected: Protected, grace_days: int = GRACE_DAYS
 ) -> DataFrame:
     """Each expiry and scheduling that falls due by ``as_of``, at its own time.
 
@@ -290,9 +297,8 @@ def timed_transitions(
     """
     now = clock.instant(as_of)
     running = (
-        t.user_trials.filter(
-            (C("trial_status") == "active") & ~is_protected(C("user_id"), protected)
-        )
+        flag_protected(t.user_trials, protected)
+        .filter((C("trial_status") == "active") & ~C("_safe"))
         .select("user_id", "trial_end_date")
         .join(paying_users(t), "user_id", "left_anti")
     )

@@ -21,27 +21,35 @@ SETTINGS = {
 }
 
 
-PARTITION_BYTES = 128 * 1024 * 1024
+SHUFFLE_INPUT_BYTES = 1 << 30
+SCAN_BYTES = 512 << 20
+MERGED_BYTES = 128 << 20
 
 
 def sized_for(input_bytes: int) -> dict[str, str]:
-    """Shuffle settings for an input of the given size.
+    """Shuffle and scan settings for an input of the given size.
 
-    Shuffles start with a partition per 128 MB of input, which fits an
-    executor core's memory at any scale; adaptive execution merges those that
-    turn out small.
+    The jobs shuffle a few narrow columns of what they read, so a reducer per GB
+    of input gets well below that. The number of map and reduce tasks is what the
+    driver's bookkeeping grows with: 100 TB make some 200,000 map tasks and
+    100,000 reducers. Adaptive execution merges reducers that turn out small.
     """
-    count = max(8, -(-input_bytes // PARTITION_BYTES))
+    count = max(8, -(-input_bytes // SHUFFLE_INPUT_BYTES))
+    scan = SCAN_BYTES if input_bytes >= 1 << 40 else MERGED_BYTES
     return {
         "spark.sql.shuffle.partitions": str(count),
-        "spark.sql.files.maxPartitionBytes": str(PARTITION_BYTES),
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(PARTITION_BYTES),
+        "spark.sql.files.maxPartitionBytes": str(scan),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(MERGED_BYTES),
     }
 
 
-def build_session(app: str = "tenure", **extra: str) -> SparkSession:
+def build_session(
+    app: str = "tenure", input_bytes: int | None = None, **extra: str
+) -> SparkSession:
+    """A session with the library's settings, sized for the input where its size is known."""
+    sized = sized_for(input_bytes) if input_bytes is not None else {}
     builder = SparkSession.builder.appName(app)
-    for key, value in {**SETTINGS, **extra}.items():
+    for key, value in {**SETTINGS, **sized, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

@@ -354,6 +354,14 @@ def recipes(ts: str) -> dict[str, list[Recipe]]:
                         carries_subscription, "1704067200 + (event_id % 30) * 86400 + 2592000"
                     ),
                     "cancel_at_period_end": when(carries_subscription, "event_id % 10 = 0"),
+                    # An older subscription's event may come after a newer one's.
+                    "subscription_created": when(
+                        carries_subscription, "ts - INTERVAL '1' DAY * (event_id % 13)"
+                    ),
+                    # Every eighth brings a payment method that is no card.
+                    "payment_method_given": when(
+                        carries_subscription, "event_id % 4 <> 0 or event_id % 8 = 0"
+                    ),
                     "payment_method_brand": when(
                         f"{carries_subscription} and event_id % 4 <> 0", "'mastercard'"
                     ),

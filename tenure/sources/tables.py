@@ -101,6 +101,10 @@ class ChangeLog:
             f"{self.root}/batch_id={batch_id}"
         )
 
+    def read_batch(self, batch_id: int) -> DataFrame:
+        """The rows of one batch, from its own folder alone."""
+        return self.spark.read.schema(self.schema).parquet(f"{self.root}/batch_id={batch_id}")
+
     def read(self) -> DataFrame:
         """All rows so far, with the ``batch_id`` that wrote them."""
         schema = T.StructType([*self.schema.fields, T.StructField("batch_id", T.LongType())])

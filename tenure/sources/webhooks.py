@@ -15,7 +15,7 @@ C = F.col
 PAYLOAD = """
     id string, type string, created bigint,
     data struct<object: struct<
-        id: string, customer: string, invoice: string, mode: string,
+        id: string, created: bigint, customer: string, invoice: string, mode: string,
         payment_status: string, payment_intent: string,
         amount_subtotal: bigint, amount_total: bigint, currency: string,
         status: string, current_period_start: bigint, current_period_end: bigint,
@@ -41,15 +41,18 @@ def parse_events(lines: DataFrame) -> DataFrame:
     obj = C("event.data.object")
     is_subscription = C("event.type").startswith("customer.subscription.")
     is_checkout = C("event.type") == "checkout.session.completed"
+    given = F.coalesce(obj["default_payment_method"].startswith("{"), F.lit(False))
     card = F.from_json(obj["default_payment_method"], _CARD)["card"]
     price = F.get(obj["items"]["data"], F.lit(0))["price"]["id"]
     carried = {
         "subscription_id": obj["id"],
         "subscription_status": obj["status"],
+        "subscription_created": clock.from_epoch(obj["created"]),
         "price_id": price,
         "current_period_start": obj["current_period_start"],
         "current_period_end": obj["current_period_end"],
         "cancel_at_period_end": obj["cancel_at_period_end"],
+        "payment_method_given": given,
         "payment_method_brand": card["brand"],
         "payment_method_last4": card["last4"],
     }

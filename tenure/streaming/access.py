@@ -39,7 +39,7 @@ class _AccessLog:
 
     def _take(self, batch: DataFrame, batch_id: int) -> None:
         self._changes.write(batch, batch_id)
-        changed = self._changes.read().filter(C("batch_id") == batch_id).drop("batch_id")
+        changed = self._changes.read_batch(batch_id)
         self._log.write(access.access_status(self._refresh(changed), self.as_of), batch_id)
 
     def _drain(self, changed: DataFrame) -> None:

@@ -1,65 +1,21 @@
-"""Trial expiry by event-time timers, the only state kept per running trial."""
+"""Trial expiry as the time moves on, from the trial rows as they are by then."""
 
 from __future__ import annotations
 
-from collections.abc import Collection, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tenure.functions import clock
-from tenure.model import GRACE_DAYS, Tables, struct
-from tenure.plans.access import is_protected, paying_users
+from tenure.model import GRACE_DAYS, SCHEMAS, Tables, struct
+from tenure.operators.keyed import extreme_per_key
+from tenure.plans.access import Protected
+from tenure.plans.trials import timed_transitions
 from tenure.sources.tables import ChangeLog
-from tenure.streaming.run import drain, state_on_disk
+from tenure.streaming.run import drain
 
 C = F.col
 
-_KEY = ("user_id", "end_us")
-_NO_END = -1
-_OUT = struct(user_id="long", trial_status="string", due_us="long")
-
-
-def _to_ms(us: int) -> int:
-    """The first millisecond not before a time in microseconds."""
-    return -(-us // 1000)
-
-
-class TrialTimers(StatefulProcessor):
-    """Sets one timer for a trial's end and one for the end of the grace.
-
-    The key holds user and end, so timers are the only state; setting them
-    again for a repeated row changes nothing.
-    """
-
-    def __init__(self, grace_us: int):
-        self._grace_us = grace_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for _ in rows:
-            pass
-        _, end_us = key
-        if end_us != _NO_END:
-            self._handle.registerTimer(_to_ms(end_us))
-            self._handle.registerTimer(_to_ms(end_us + self._grace_us))
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        user_id, end_us = key
-        final_us = end_us + self._grace_us
-        if expiredTimerInfo.getExpiryTimeInMs() < _to_ms(final_us):
-            row = (user_id, "expired", end_us)
-        else:
-            row = (user_id, "scheduled_for_deletion", final_us)
-        yield pd.DataFrame([row], columns=_OUT.names)
-
-    def close(self) -> None:
-        pass
+_DUE = struct(user_id="long", trial_status="string", due_at="ts")
 
 
 def run_trial_timers(
@@ -67,47 +23,29 @@ def run_trial_timers(
     trials: DataFrame,
     clock_ticks: DataFrame,
     t: Tables,
-    protected: Collection[int],
+    protected: Protected,
     root: str,
     grace_days: int = GRACE_DAYS,
 ) -> DataFrame:
     """Status changes (user_id, trial_status, due_at) that have fallen due.
 
     ``trials`` streams trial rows, ``clock_ticks`` rows (``at``) that move the
-    time on. Trial rows have no event time of their own, so none is ever late:
-    a trial that comes after its end fires at once. Who pays by the time a
-    timer fires is left alone.
+    time on. A user's row is the one updated last, so an extended trial falls due
+    at its new end and a converted one never does. No row is late: a trial that
+    comes after its end is due at the next tick. Who pays by then is left alone.
     """
-    log = ChangeLog(spark, f"{root}/due", _OUT)
-    running = trials.filter(
-        (C("trial_status") == "active") & ~is_protected(C("user_id"), protected)
-    ).select(
-        "user_id",
-        clock.epoch_micros(C("trial_end_date")).alias("end_us"),
-        F.lit(None).cast("timestamp").alias("event_time"),
-    )
-    ticks = clock_ticks.select(
-        F.lit(-1).cast("long").alias("user_id"),
-        F.lit(_NO_END).cast("long").alias("end_us"),
-        F.timestamp_micros(clock.epoch_micros(C("at"))).alias("event_time"),
-    )
-    due = (
-        running.unionByName(ticks)
-        .withWatermark("event_time", "0 seconds")
-        .groupBy(*_KEY)
-        .transformWithStateInPandas(
-            statefulProcessor=TrialTimers(grace_days * clock.MICROS_PER_DAY),
-            outputStructType=_OUT,
-            outputMode="Append",
-            timeMode="EventTime",
-        )
-    )
-
-    def record(batch: DataFrame, batch_id: int) -> None:
-        log.write(batch.join(paying_users(t), "user_id", "left_anti"), batch_id)
-
-    with state_on_disk(spark):
-        drain(due, record, f"{root}/checkpoint")
-    fired = log.read().select(*_OUT.names).distinct()
-    due_at = clock.from_epoch_micros(C("due_us")).alias("due_at")
-    return fired.select("user_id", "trial_status", due_at)
+    rows = ChangeLog(spark, f"{root}/trials", SCHEMAS["user_trials"])
+    due = ChangeLog(spark, f"{root}/due", _DUE)
+    drain(trials, rows.write, f"{root}/trials-checkpoint")
+
+    def tick(batch: DataFrame, batch_id: int) -> None:
+        at = batch.agg(F.max("at")).first()[0]
+        if at is None:
+            return
+        # The log's place in the stream breaks ties between rows of one update.
+        newest = extreme_per_key(rows.read(), ["user_id"], ["updated_at", "batch_id", "id"])
+        now = t.replace(user_trials=newest.drop("batch_id"))
+        due.write(timed_transitions(now, at, protected, grace_days), batch_id)
+
+    drain(clock_ticks, tick, f"{root}/checkpoint")
+    return due.read().select(*_DUE.names).distinct()

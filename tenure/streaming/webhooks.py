@@ -25,6 +25,8 @@ SUBSCRIPTION_LOG = struct(
     cancel_at_period_end="boolean",
     payment_method_brand="string",
     payment_method_last4="string",
+    method_given="boolean",
+    subscription_created="ts",
     event_at="ts",
     event_id="long",
 )

@@ -1,3 +1,4 @@
+from compare import spark_rows
 from hand import (
     AS_OF,
     DAY,
@@ -219,3 +220,17 @@ def test_links(spark):
     assert (rows[2].stripe_customer_email, rows[3].stripe_customer_email) == ("x", None)
     states = by(accounts.customer_link_state(t, asked, AS_OF))
     assert states[3].stripe_customer_id == "cus_other"
+
+
+def test_a_doubled_batch_changes_nothing_more(spark, sf_dir):
+    from tenure.sources.derived import derived_tables
+
+    t = derived_tables(spark, sf_dir)
+    twice = lambda df: df.union(df)
+    restored = accounts.apply_restores(t, twice(t.restore_batch), AS_OF)
+    once = accounts.apply_restores(t, t.restore_batch, AS_OF)
+    for name in ("user_trials", "user_account_state", "deleted_account_history"):
+        assert spark_rows(getattr(restored, name)) == spark_rows(getattr(once, name))
+    for job in (accounts.profile_upsert, accounts.state_provisioning):
+        doubled = job(t, twice(t.profile_batch), AS_OF)
+        assert spark_rows(doubled) == spark_rows(job(t, t.profile_batch, AS_OF))

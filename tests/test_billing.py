@@ -1,5 +1,6 @@
 import json
 from collections import Counter
+from datetime import datetime
 
 from hand import AS_OF, DAY, by, customer, frame, subscription, tables, trial
 from pyspark.sql import functions as F
@@ -86,13 +87,39 @@ def test_newest_subscription_wins_and_method_is_kept(spark):
         "visa",
         "1111",
     )
-    assert (rows["cus_2"].status, rows["cus_2"].subscription_id) == ("not_started", "sub_2")
+    assert (rows["cus_2"].status, rows["cus_2"].subscription_id) == ("active", "sub_2")
     assert (rows["cus_3"].status, rows["cus_3"].payment_method_brand) == ("trialing", "amex")
     assert rows["cus_9"].status == "paused"
     again = billing.subscription_upsert(t.replace(stripe_subscriptions=merged), batch, AS_OF)
     assert sorted(again.collect()) == sorted(merged.collect())
 
 
+def test_an_old_subscriptions_late_event_does_not_win(spark):
+    """Old and newer subscription take turns; the newer one's last event decides."""
+    old, new = datetime(2024, 1, 1), datetime(2024, 1, 5)
+    t = tables(spark, stripe_subscriptions=[subscription(1, "active")])
+    batch = events(
+        spark,
+        event(1, subscription_status="active", subscription_id="A", subscription_created=old),
+        event(2, subscription_status="active", subscription_id="B", subscription_created=new),
+        event(3, subscription_status="canceled", subscription_id="A", subscription_created=old),
+    )
+    row = by(billing.subscription_upsert(t, batch, AS_OF), "customer_id")["cus_1"]
+    assert (row.subscription_id, row.status) == ("B", "active")
+
+
+def test_a_method_that_is_no_card_clears_the_old_one(spark):
+    t = tables(
+        spark,
+        stripe_subscriptions=[
+            subscription(1, "active", payment_method_brand="visa", payment_method_last4="1111")
+        ],
+    )
+    batch = events(spark, event(1, subscription_status="active", payment_method_given=True))
+    row = by(billing.subscription_upsert(t, batch, AS_OF), "customer_id")["cus_1"]
+    assert (row.payment_method_brand, row.payment_method_last4) == (None, None)
+
+
 def test_repeated_checkout_gives_one_order(spark):
     batch = events(spark, checkout(2, "cs_1", amount_total=7), checkout(1, "cs_1", amount_total=5))
     assert [r.amount_total for r in billing.order_inserts(batch).collect()] == [5]

@@ -112,7 +112,7 @@ def test_a_hot_customer_is_split_between_tasks(large):
 
 def test_settings_grow_with_the_input():
     assert sized_for(0)["spark.sql.shuffle.partitions"] == "8"
-    assert sized_for(100 * 2**40)["spark.sql.shuffle.partitions"] == "819200"
+    assert sized_for(100 * 2**40)["spark.sql.shuffle.partitions"] == "102400"
 
 
 def test_bucketed_tables_are_not_shuffled_again(large, sf_dir, tmp_path):

@@ -4,8 +4,11 @@ import __spark_entry__ as entry
 import pytest
 from compare import duck, duck_rows, duck_types, spark_rows, spark_types
 
-QUERIES = entry.queries()
-STATEMENTS = entry.oracle_sql()
+from oracles.statements import oracle_statements
+from tenure.catalog import all_queries
+
+QUERIES = all_queries()
+STATEMENTS = oracle_statements()
 
 
 @pytest.fixture(scope="module")
@@ -15,6 +18,8 @@ def con(sf_dir):
 
 def test_every_query_has_a_statement():
     assert set(QUERIES) == set(STATEMENTS)
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(STATEMENTS) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

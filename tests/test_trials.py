@@ -1,6 +1,9 @@
 from itertools import product
 
 import pytest
+from compare import spark_rows
+
+from tenure.sources.derived import derived_tables
 from hand import AS_OF, DAY, by, customer, subscription, tables, trial, user
 
 from tenure.model import TRIAL_STATUSES
@@ -148,8 +151,23 @@ def test_purge_removes_dependants_and_reports_them(spark):
     assert (report["stripe_orders"].removed, report["stripe_orders"].remaining) == (60, 30)
 
 
-def test_protected_list_stays_a_list():
-    from tenure.plans.access import is_protected
+def test_protected_accounts_may_be_a_table_of_any_size(spark, sf_dir):
+    t = derived_tables(spark, sf_dir)
+    whole = trials.sync_trials(t, AS_OF, spark.range(0, 1_000_000))
+    joined = trials.sync_trials(t, AS_OF, range(1_000_000, 1_001_000))
+    none = trials.sync_trials(t, AS_OF, ())
+    converted = trials.convert_paying_trials(t, AS_OF)
+    view = ("user_id", "trial_status", "deletion_scheduled_at")
+    assert spark_rows(whole.select(*view)) == spark_rows(converted.select(*view))
+    assert spark_rows(joined.select(*view)) == spark_rows(none.select(*view))
+
+
+def test_no_protected_payer_is_purged_or_recorded(spark, sf_dir):
+    t = derived_tables(spark, sf_dir)
+    from tenure.catalog import _deletion_run
 
-    with pytest.raises(ValueError):
-        is_protected(None, range(10_001))
+    run = _deletion_run(t).cache()
+    gone = trials.to_delete(run)
+    saved = run.filter("decision = 'protected'").select("user_id")
+    assert gone.join(saved, "user_id", "left_semi").isEmpty()
+    assert gone.count() + saved.count() == run.count()
