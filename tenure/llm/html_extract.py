@@ -8,7 +8,8 @@ with enough stop words good, and the rest stay undecided: headings, short blocks
 and long ones without stop words. In the second pass an undecided block takes the
 label of the nearest decided neighbour. The edges of an article or main element
 count as good neighbours, those of the page as bad ones; between a good and a bad
-neighbour at the same distance, stop words decide.
+neighbour at the same distance, stop words decide. An undecided heading goes with
+the next decided block.
 
 Good blocks are joined in page order. Character references are decoded, white space
 in a block becomes one space, nothing is cut.
@@ -208,8 +209,8 @@ def labels(blocks: list[Block]) -> list[bool]:
     before, after = nearest(range(n)), nearest(range(n - 1, -1, -1))
     out = []
     for block, label, (left, a), (right, b) in zip(blocks, decided, before, after, strict=True):
-        if label is None and a == b:
-            label = a
+        if label is None and (a == b or block.heading):
+            label = b  # a heading goes with what follows it
         elif label is None and left != right:
             label = a if left < right else b
         elif label is None:

@@ -2,7 +2,8 @@
 
 Two generative models of hashed n-grams are counted: the target's over a bounded
 sample of documents labelled good, the raw text's over all documents. A document's
-log importance weight is the sum of log(target / raw) over its n-grams. Gumbel
+log importance weight is the sum of log(target / raw) over its n-grams, brought to
+one common length, as the sums of long and short texts do not compare. Gumbel
 top-k draws the share of documents that the labels call good, without replacement
 and in proportion to the weights: each weight gets Gumbel noise, made from the
 document's id, and the k largest stay.
@@ -35,10 +36,13 @@ from pyspark.sql.types import DoubleType
 from tenure.llm.columns import arrow_batch, bytes_of, saved, uniform
 from tenure.llm.selection import cut_points
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 14
 #: Good documents the target model is fitted on, at most.
 TARGET_SAMPLE = 20_000
 SMOOTHING = 1.0
+#: A text's weight is that of so many n-grams of its kind; a text counts as so many more
+#: n-grams of no weight, which holds very short ones near zero.
+COMMON_LENGTH, PRIOR_LENGTH = 100.0, 30.0
 SEED = 11
 
 _PAIR, _SHAPE, _REPEAT = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0x2545F491)
@@ -126,10 +130,14 @@ def scorer(ratios: np.ndarray):
     """A column function: the log importance weight of a text."""
     sent = ratios
 
+    def one(text: bytes | None) -> float:
+        found = sent[ngram_buckets(text or b"")]
+        return COMMON_LENGTH * float(found.sum()) / (len(found) + PRIOR_LENGTH)
+
     @F.arrow_udf(DoubleType())
     def weight(texts: pa.Array) -> pa.Array:
         plain = texts.cast(pa.large_binary()).to_pylist()
-        return pa.array([float(sent[ngram_buckets(t)].sum()) if t else 0.0 for t in plain], pa.float64())
+        return pa.array(map(one, plain), pa.float64())
 
     return weight
 

@@ -46,7 +46,8 @@ _RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
 _ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _SIZE = len(_ALPHABET) + 1
 PAIRS = _SIZE * _SIZE
-SMOOTHING, EVEN_SHARE = 0.5, 0.5
+#: Weight of the single characters' shares beside a pair's own count, and of the even model.
+BACKOFF, EVEN_SHARE = 2.0, 0.5
 
 _CODES = np.zeros(256, np.uint16)
 _CODES[list(_ALPHABET)] = np.arange(1, _SIZE)
@@ -124,7 +125,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _chances(counts: np.ndarray) -> np.ndarray:
-    square = counts.reshape(_SIZE, _SIZE) + SMOOTHING
+    square = counts.reshape(_SIZE, _SIZE)
+    single = square.sum(axis=0) + 0.5
+    square = square + BACKOFF * single / single.sum()
     return square / square.sum(axis=1, keepdims=True)
 
 

@@ -1,0 +1,482 @@
+"""Operators against brute force, statements and hand-made edge cases."""
+
+import hashlib
+import random
+import re
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tenure.llm import (
+    chat_format,
+    decontamination,
+    html_extract,
+    mixing,
+    quality_classifier,
+    quality_rules,
+    queries,
+    secret_scan,
+    selection,
+    simhash,
+    statements,
+    token_counts,
+    url_filter,
+)
+from tenure.llm.columns import saved
+
+DOCS = "doc_id long, text string, source string, _row string, kept string"
+
+
+def docs(spark, texts, sources=None):
+    """Documents whose extra columns are named like inner ones."""
+    sources = sources or ["a"] * len(texts)
+    rows = [(i, t, s, "x", "y") for i, (t, s) in enumerate(zip(texts, sources, strict=True))]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def values(frame, *names):
+    return sorted(tuple(r[n] for n in names) for r in frame.select(*names).collect())
+
+
+@pytest.fixture(scope="module")
+def con(sf_dir):
+    con = duckdb.connect()
+    for name in ("documents", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+    return con
+
+
+def texts_of(sf_dir, name="documents", key="doc_id", text="text"):
+    return dict(duckdb.sql(f"SELECT {key}, {text} FROM '{sf_dir}/{name}.parquet'").fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(statements.oracle_statements()))
+def test_query_equals_statement(spark, con, sf_dir, name):
+    got = queries.queries()[name](spark, sf_dir)
+    found = con.execute(statements.oracle_statements()[name])
+    names = [d[0] for d in found.description]
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(map(repr, found.fetchall())) == sorted(
+        repr(tuple(r[n] for n in names)) for r in got.collect()
+    )
+
+
+# Token counts ---------------------------------------------------------------
+
+SCORES = {token_counts.MARK: -1, "a": -3, "b": -4, "ab": -5, "▁a": -2, "aba": -6, "é": -7}
+
+
+def slow_count(word):
+    text = token_counts.MARK + word
+    floor = min(SCORES.values()) - token_counts.BYTE_PENALTY
+    best = [(0, 0)]
+    for end in range(1, len(text) + 1):
+        size = len(text[end - 1].encode())
+        found = (best[-1][0] + floor * size, best[-1][1] - size)
+        for start in range(end):
+            if text[start:end] in SCORES:
+                way = (best[start][0] + SCORES[text[start:end]], best[start][1] - 1)
+                found = max(found, way)
+        best.append(found)
+    return -best[-1][1]
+
+
+def test_trie_equals_plain_segmentation():
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choices("abxé語🙂", k=rng.randint(1, 12))) for _ in range(800)})
+    pieces = token_counts.Pieces(SCORES)
+    assert token_counts.trie_counts(words, pieces).tolist() == [slow_count(w) for w in words]
+
+
+def test_token_counts_of_odd_texts(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "read_scores", lambda path: SCORES)
+    rows = docs(spark, [None, "", " \t\n", "ab ab  x", "a b", "ab " * 3000])
+    found = token_counts.token_counts(rows.union(rows.limit(1)), "any")
+    one = slow_count
+    assert values(found, "doc_id", "n_words", "n_tokens") == [
+        (0, 0, 0), (0, 0, 0), (1, 0, 0), (2, 0, 0), (3, 3, 2 * one("ab") + one("x")),
+        (4, 1, one("a b")), (5, 3000, 3000 * one("ab")),
+    ]
+    assert token_counts.token_counts(rows.limit(0), "any").count() == 0
+
+
+# Quality classifier ---------------------------------------------------------
+
+
+def test_classifier_on_held_out_labels(spark, sf_dir):
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = quality_classifier.classify(documents, labels.filter("doc_id % 2 = 0"))
+    held = found.join(labels.filter("doc_id % 2 = 1"), "doc_id")
+    right = held.filter("kept = (quality = 1)").count()
+    assert right >= 0.9 * held.count()
+    assert held.filter("quality = 1 AND NOT kept").count() <= 0.05 * held.count()
+    share = labels.filter("doc_id % 2 = 0").agg(F.avg("quality")).first()[0]
+    assert found.filter("kept").count() == int(np.ceil(share * documents.count()))
+
+
+def test_classifier_without_labels_keeps_all(spark):
+    rows = docs(spark, [None, "", "good words here", "good words here"])
+    none = spark.createDataFrame([(7, None), (None, 1)], "doc_id long, quality int")
+    assert quality_classifier.classify(rows, none).filter("kept").count() == 4
+    assert quality_classifier.classify(rows.limit(0), none).count() == 0
+
+
+def test_cut_is_the_kth_smallest(spark):
+    rng = random.Random(1)
+    data = [(g, rng.random() ** 5 if rng.random() < 0.9 else 0.5, rng.randint(1, 9)) for g in (1, 2) for _ in range(3000)]
+    rows = saved(spark.createDataFrame(data, "g int, k double, w int"))
+    budgets = spark.createDataFrame([(1, 5000.0), (2, 1e9)], "g int, budget double")
+    found = {r["g"]: r for r in selection.cut_points(rows, "g", "k", "w", budgets).collect()}
+    total, cut = 0, None
+    sums = {}
+    for g, k, w in data:
+        if g == 1:
+            sums[k] = sums.get(k, 0) + w
+    for k in sorted(sums):
+        if total + sums[k] > 5000:
+            cut = k
+            break
+        total += sums[k]
+    assert (found[1]["cut"], found[1]["before"]) == (cut, total)
+    assert found[2]["cut"] == float("inf")
+
+
+# Secrets --------------------------------------------------------------------
+
+ASSIGN = re.compile(
+    r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A
+)
+
+
+def slow_spans(text):
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(found)
+
+
+def test_pattern_spans_equal_the_patterns():
+    rng = random.Random(5)
+    parts = ["password", "PassWd", "secret", "toKen", "token", "api_key", "APIKEY", "'", '"', " ", "  ",
+             ":", "=", "==", "abcdefgh12", "short", "AKIA", "AKIAABCDEFGH1234", "ABCDEFGH", "é", "\n",
+             "0123456789abcdef" * 2, "deadbeef"]
+    for _ in range(4000):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 9)))
+        got = [(s, k, e) for s, k, e, _ in secret_scan.pattern_spans(text)]
+        assert got == slow_spans(text), text
+
+
+def test_model_adds_random_strings_and_redacts(spark):
+    rng = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    prose = "the international communication of responsibilities and understandings "
+    key = "".join(rng.choices(letters, k=40))
+    hexes = ["password=" + "".join(rng.choices("0123456789abcdef", k=24)) for _ in range(30)]
+    rows = docs(spark, [prose * 40 + h for h in hexes] + [prose + key + " end", None, "", prose * 30])
+    found = values(
+        secret_scan.scan_secrets(rows).select("doc_id", "found.*", "text"), "doc_id", "n_assign", "n_markov", "spans", "redacted"
+    )
+    start = len(prose)
+    assert found[30] == (30, 0, 1, f"markov:{start}:{start + 40}", prose + "[secret] end")
+    assert all(r[1:3] == (1, 0) and r[4] == prose * 40 + "[secret]" for r in found[:30])
+    assert all(r[1:] == (0, 0, "", None) for r in found[31:])
+    none = hashlib.sha256(b"").hexdigest()
+    assert values(secret_scan.find_secrets(rows.filter("doc_id = 31")), "base_sha256") == [(none,)]
+    assert secret_scan.find_secrets(rows.limit(0)).count() == 0
+
+
+def test_secret_query_equals_the_patterns(spark, sf_dir):
+    got = {r["doc_id"]: r for r in queries.op3_secret_scan(spark, sf_dir).collect()}
+    for doc_id, text in texts_of(sf_dir).items():
+        base = slow_spans(text or "")
+        written = ",".join(f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in base)
+        assert got[doc_id]["base_sha256"] == hashlib.sha256(written.encode()).hexdigest()
+
+
+# Mixing ---------------------------------------------------------------------
+
+
+def slow_targets(sizes, mix):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: mix.weights[i % len(mix.weights)] for i, s in enumerate(order)}
+    target, open_, left = dict.fromkeys(order, 0.0), set(order), mix.share * sum(sizes.values())
+    while left > 1e-9 and open_:
+        total = sum(weight[s] for s in open_)
+        for s in list(open_):
+            target[s] += left * weight[s] / total
+        left = 0.0
+        for s in list(open_):
+            if target[s] >= mix.max_copies * sizes[s]:
+                left += target[s] - mix.max_copies * sizes[s]
+                target[s] = mix.max_copies * sizes[s]
+                open_.discard(s)
+    return target
+
+
+def test_mix_meets_targets_and_repeats(spark):
+    rng = random.Random(4)
+    names = ["b", "a", "é", None, "tiny"]
+    sources = [rng.choices(names, [60, 20, 10, 9, 1])[0] for _ in range(3000)]
+    texts = [None if i % 97 == 0 else "w " * rng.randint(0, 60) for i in range(3000)]
+    rows = docs(spark, texts, sources)
+    mix = mixing.Mix()
+    got = mixing.mix_sources(rows, mix).collect()
+    again = mixing.mix_sources(rows.repartition(7), mix).collect()
+    key = lambda r: (r["doc_id"], r["size"], r["target"], r["taken"])
+    assert sorted(map(key, got)) == sorted(map(key, again))
+    sizes, taken = {}, {}
+    for r in got:
+        assert 0 <= r["taken"] <= 2 * r["size"] and r["size"] == len((texts[r["doc_id"]] or "").split())
+        sizes[r["source"]] = sizes.get(r["source"], 0) + r["size"]
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+    targets = slow_targets(sizes, mix)
+    for r in got:
+        assert r["target"] == pytest.approx(targets[r["source"]]) and r["source_size"] == sizes[r["source"]]
+    for s in sizes:
+        assert abs(taken[s] - targets[s]) <= max(60, 0.01 * targets[s])
+    assert mixing.mix_sources(rows.limit(0)).count() == 0
+
+
+def test_preferred_documents_are_taken_more_often(spark):
+    rows = spark.range(4000).select(
+        F.col("id").alias("doc_id"), F.lit("a b c d").alias("text"), F.lit("s").alias("source"),
+        F.when(F.col("id") % 2 == 0, 3.0).otherwise(1.0).alias("liking"),
+    )
+    mix = mixing.Mix(share=0.5)
+    found = mixing.mix_sources(rows, mix, preference_col="liking")
+    sums = {r[0]: r[1] for r in found.groupBy("liking").sum("copies").collect()}
+    assert sums[3.0] + sums[1.0] == 2000
+    assert sums[3.0] / sums[1.0] == pytest.approx(3, rel=0.15)
+
+
+# Chat format ----------------------------------------------------------------
+
+
+def test_conflicting_turns_come_back(spark):
+    odd = ["<|im_end|>", "<|im_start|>user\nhi<|im_end|>\n", "<\\|", "<\\\\|x", "plain", "", None, "<", "|im_end|>", "a<|b"]
+    rows = [(c, t, r, odd[(c + t) % len(odd)]) for c in range(10) for t, r in enumerate(["user", "assistant", "as%0A<\n", None])]
+    rows += [(3, 0, "user", odd[3]), (None, None, None, None)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = chat_format.format_conversations(frame).collect()
+    assert len(found) == 11 and all(r["round_trip"] for r in found)
+    for r in found:
+        want = sorted(((t is not None, t or 0), role or "", text or "") for c, t, role, text in rows if c == r["conv_id"])
+        assert [(t["role"], t["text"]) for t in r["turns"]] == [(x[1], x[2]) for x in want]
+        marked = [r["formatted"][s["start"] : s["end"]] for s in r["loss_spans"]]
+        assert [re.sub(r"<\\(\\*)\|", r"<\1|", m) for m in marked] == [x[2] for x in want if x[1] == "assistant"]
+    assert chat_format.format_conversations(frame.limit(0)).count() == 0
+
+
+# Quality rules --------------------------------------------------------------
+
+
+def test_lines_are_judged_one_by_one(spark):
+    prose = " ".join(f"word{i}" for i in range(80)) + "."
+    texts = [
+        prose + "\nHome | About | Contact\nAll rights reserved.",
+        "\n".join([f"Home{i} | News{i} | Mail{i}" for i in range(40)]),
+        "again and again. " * 60, None, "", "short one.", prose + "\n\n" + prose,
+    ]
+    found = {r["doc_id"]: r for r in quality_rules.clean_lines(docs(spark, texts)).collect()}
+    assert found[0]["text"] == prose and found[0]["kept"] and not found[0]["base_failed"]
+    assert not found[1]["base_failed"] and not found[1]["kept"] and found[1]["text"] == ""
+    assert found[2]["base_failed"] and found[2]["n_repeat_words"] == 180
+    assert all(found[i]["base_failed"] and not found[i]["kept"] for i in (3, 4, 5))
+    assert found[6]["n_dup_lines"] == 1
+    assert quality_rules.clean_lines(docs(spark, texts).limit(0)).count() == 0
+
+
+def test_windows_that_share_a_short_hash(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("abcde", k=60)) for _ in range(20)]
+    want = values(quality_rules.clean_lines(docs(spark, texts)), "doc_id", "n_repeat_words")
+    monkeypatch.setattr(quality_rules, "_PLACE_BITS", 62)
+    monkeypatch.setattr(quality_rules, "_PLACES", (1 << 62) - 1)
+    assert values(quality_rules.clean_lines(docs(spark, texts)), "doc_id", "n_repeat_words") == want
+    for doc_id, count in want:
+        w = texts[doc_id].split()
+        tri = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        covered = {p for i, t in enumerate(tri) if tri.count(t) > 1 for p in (i, i + 1, i + 2)}
+        assert count == len(covered)
+
+
+# SimHash --------------------------------------------------------------------
+
+
+def slow_fingerprint(text):
+    words = (text or "").encode().lower().split()
+    shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def slow_classes(ids, prints):
+    root = list(range(len(ids)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(ids)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 3:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    groups = {}
+    for i in range(len(ids)):
+        groups.setdefault(find(i), []).append(ids[i])
+    return {i: min(g) for g in groups.values() for i in g}
+
+
+def test_anchors_bring_near_halves_together():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 1 << 32, 300, np.uint64)
+    b = a ^ (np.uint64(1) << rng.integers(0, 32, 300).astype(np.uint64))
+    row, anchor, home = simhash.anchors(np.concatenate([a, b]))
+    reached = {}
+    for r, x in zip(row.tolist(), anchor.tolist(), strict=True):
+        reached.setdefault(r, set()).add(x)
+    homes = dict(zip(row[home].tolist(), anchor[home].tolist(), strict=True))
+    assert max(map(len, reached.values())) <= 17
+    assert all(homes[i] in reached[300 + i] and homes[300 + i] in reached[i] for i in range(300))
+
+
+@pytest.mark.parametrize("small,hot", [(512, 50_000), (4, 50_000), (4, 8)])
+def test_components_equal_all_pairs(spark, monkeypatch, small, hot):
+    monkeypatch.setattr(simhash, "SMALL", small)
+    monkeypatch.setattr(simhash, "HOT", hot)
+    rng = random.Random(9)
+    centres = [rng.getrandbits(64) for _ in range(6)] + [0]
+    prints = []
+    for _ in range(240):
+        p = rng.choice(centres)
+        for _ in range(rng.randint(0, 4)):
+            p ^= 1 << rng.randrange(64)
+        prints.append(p)
+    prints += [rng.getrandbits(64) for _ in range(60)]
+    ids = list(range(len(prints)))
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    monkeypatch.setattr(simhash, "fingerprint_of", lambda c: c)
+    frame = spark.createDataFrame(list(zip(ids, signed, strict=True)), "doc_id long, text long")
+    found = dict(values(simhash.near_duplicates(frame), "doc_id", "component_id"))
+    assert found == slow_classes(ids, prints)
+
+
+def test_simhash_query_and_odd_texts(spark, sf_dir):
+    texts = texts_of(sf_dir)
+    prints = [slow_fingerprint(t) for t in texts.values()]
+    want = slow_classes(list(texts), prints)
+    got = queries.op7_simhash_dedup(spark, sf_dir).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert [int(r["fingerprint"], 16) for r in sorted(got, key=lambda r: r["doc_id"])] == [
+        p for _, p in sorted(zip(texts, prints, strict=True))
+    ]
+    rows = docs(spark, ["one two", None, "", "One TWO", "one two three four", "x " * 700])
+    twice = rows.union(rows)
+    found = simhash.near_duplicates(twice)
+    assert found.count() == 12
+    kept = simhash.one_of_each(twice)
+    assert kept.columns == rows.columns
+    assert values(kept, "doc_id") == [(0,), (1,), (4,), (5,)]
+    assert simhash.near_duplicates(rows.limit(0)).count() == 0
+
+
+# Decontamination ------------------------------------------------------------
+
+
+def edited(rng, text, edits):
+    chars = list(text)
+    for _ in range(edits):
+        i = rng.randrange(len(chars))
+        kind = rng.choice("sid")
+        if kind == "s":
+            chars[i] = rng.choice("qxz")
+        elif kind == "i":
+            chars.insert(i, rng.choice("qxz"))
+        elif len(chars) > 1:
+            del chars[i]
+    return "".join(chars)
+
+
+def test_edited_passages_are_found_and_others_not(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    items = [prose(rng.randint(8, 60)) for _ in range(25)] + [prose(4000), "tiny", None]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts, want = [], {}
+    for i, item in enumerate(items[:26]):
+        window = item[max(0, len(item) - 96) // 3 :][:96]
+        for edits in (0, len(window) // 20):
+            want[len(texts)] = i
+            inside = edited(rng, window, edits).upper().replace(" ", " \n ")
+            texts.append(prose(90) + " " + inside + " " + prose(50))
+        texts.append(prose(60) + " " + item[: min(len(item) // 2, 40)] + " " + prose(60))
+    texts += [None, "", prose(300)]
+    for block in (10_000_000, 400):
+        decontamination.BLOCK_CHARS, before = block, decontamination.BLOCK_CHARS
+        found = decontamination.decontaminate(docs(spark, texts), bench).collect()
+        decontamination.BLOCK_CHARS = before
+        assert {r["doc_id"]: r["items"][0] for r in found if r["contaminated"]} == want
+        assert len(found) == len(texts)
+    empty = docs(spark, texts).limit(0)
+    assert decontamination.decontaminate(empty, bench).count() == 0
+    assert decontamination.clean_documents(docs(spark, texts), bench.limit(0)).count() == len(texts)
+
+
+def test_banded_alignment_equals_edit_distance():
+    rng = random.Random(7)
+    for _ in range(60):
+        a = "".join(rng.choices("abc", k=30))
+        b = edited(rng, a, rng.randint(0, 3))
+        row = [0] * (len(b) + 1)
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        pattern, text = (np.array([ord(c) for c in s], np.uint32) for s in (a, b))
+        assert decontamination.aligned(pattern, text, -8, 17) <= min(row)
+
+
+# URLs -----------------------------------------------------------------------
+
+
+def test_bloom_passes_every_listed_url_and_the_join_the_rest(spark):
+    urls = [f"https://site{i}.example.org/{i % 7}/page.html?utm_source=x#top" for i in range(400)]
+    urls += [None, "", "no scheme", "HTTP://WWW.Site3.Example.ORG/3/page/", "http://x.net/es/1", "http://y.net"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    blocked = spark.createDataFrame([(u,) for u in urls[:100:3]] * 2 + [(None,), ("",)], "u string")
+    found = {r["page_id"]: r for r in url_filter.filter_urls(pages, blocked, queries.RULES).collect()}
+    assert len(found) == len(urls)
+    for i in range(400):
+        assert found[i]["verdict"] == ("block" if i < 100 and i % 3 == 0 else "allow")
+    assert [(found[i]["host"], found[i]["path"], found[i]["verdict"]) for i in (400, 401, 402)] == [("", "", "allow")] * 3
+    assert found[403]["host"] == "www.site3.example.org" and found[403]["verdict"] == "block"
+    assert (found[404]["rule"], found[404]["verdict"], found[405]["rule"]) == ("net/es/", "block", None)
+    assert url_filter.filter_urls(pages.limit(0), blocked, queries.RULES).count() == 0
+    assert url_filter.filter_urls(pages, blocked.limit(0), []).filter("verdict = 'block'").isEmpty()
+
+
+# HTML -----------------------------------------------------------------------
+
+
+def test_blocks_of_a_page(spark):
+    long = "This is the first paragraph of the article and it has enough of the words that are common."
+    page = f"""<html><head><title>T</title><style>p{{}}</style></head><body><header><h1>Site</h1></header>
+    <nav><a href=/>Home</a></nav><div class="cookie-notice">We use cookies on this site for you.</div>
+    <h2>Head &amp; line</h2><p>{long}</p><p>Short as <b>bit</b>ten&nbsp;one.</p><p><a href=x>Read all of this now</a></p>
+    <script>var a = "<p>no</p>";</script><!-- <p>hidden</p> --><form><p>{long}</p></form>
+    <section id="comments"><p>{long} I say.</p></section><p>&copy; all</p><footer>{long}</footer><p title="cut"""
+    assert html_extract.main_text(page) == f"Head & line\n\n{long}\n\nShort as bitten one."
+    bare = "<article><header><h1>Only</h1></header><p>a<br>b<br><br>c</p><aside>no</aside></article><p>out</p>"
+    assert html_extract.main_text(bare) == "Only\n\na b\n\nc"
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, "<p>"), (4, "a < b"), (5, bare)], "page_id long, html string")
+    found = values(html_extract.extract(rows), "page_id", "main_text")
+    assert found == [(1, ""), (2, ""), (3, ""), (4, ""), (5, "Only\n\na b\n\nc")]
+    assert html_extract.extract(rows.limit(0)).count() == 0
