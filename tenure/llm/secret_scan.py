@@ -6,7 +6,7 @@ over the whole corpus, from samples that the patterns label: the values they fin
 are random strings, all other runs of identifier characters are ordinary ones. A
 long run that no pattern covers is a secret if the log-likelihood ratio of the two
 models is high. The model of random strings is mixed with an even one, as the
-labelled values use few alphabets.
+labelled values use few alphabets. Runs long enough to be scored teach neither.
 
 Training and scanning read each text once. Tasks add up a matrix of fixed size
 (PAIRS cells a class); Spark adds the tasks' cells, and the driver gets the sum.
@@ -119,11 +119,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 plain.append(text[at:start])
                 at = max(at, end)
             plain.append(text[at:])
-            ordinary += transitions(" ".join(plain).encode())
+            ordinary += transitions(_without_long_runs(" ".join(plain)).encode())
     kept = np.flatnonzero(random + ordinary)
     yield arrow_batch({"cell": kept, "random": random[kept], "ordinary": ordinary[kept]}, _COUNTS)
 
 
+def _without_long_runs(text: str) -> str:
+    """A text without the runs that are scored, lest a secret teach the ordinary model."""
+    if b"r" * MIN_RUN not in text.encode().translate(_IS_RUN):
+        return text
+    return _RUN.sub(" ", text)
+
+
 def _chances(counts: np.ndarray) -> np.ndarray:
     square = counts.reshape(_SIZE, _SIZE)
     single = square.sum(axis=0) + 0.5
