@@ -163,7 +163,7 @@ def classify(
     # Loss rank: the best score first, so that rows below the cut are the ones kept.
     ranks = saved(scored.select(F.lit(0).alias("_all"), (-F.col("gumbel_score")).alias("_rank"), F.lit(1).alias("_one")))
     keep = math.ceil(share * ranks.count())
-    budget = ranks.sparkSession.range(1).select(F.lit(0).alias("_all"), F.lit(float(keep - 1)).alias("budget"))
+    budget = ranks.sparkSession.createDataFrame([(0, float(keep - 1))], "_all int, budget double")
     found = cut_points(ranks, "_all", "_rank", "_one", budget).first()
     cut = found["cut"] if found else math.inf
     return scored.withColumn("kept", -F.col("gumbel_score") <= F.lit(cut))
