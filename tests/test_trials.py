@@ -166,7 +166,7 @@ def test_no_protected_payer_is_purged_or_recorded(spark, sf_dir):
     t = derived_tables(spark, sf_dir)
     from tenure.catalog import _deletion_run
 
-    run = _deletion_run(t).cache()
+    run = _deletion_run(t)
     gone = trials.to_delete(run)
     saved = run.filter("decision = 'protected'").select("user_id")
     assert gone.join(saved, "user_id", "left_semi").isEmpty()
