@@ -17,7 +17,7 @@ from tenure.plans import access, accounts, billing, trials
 from tenure.session import shared_dir
 from tenure.sources.derived import AS_OF, PROTECTED_IDS, derived_stream, derived_tables
 from tenure.sources.tables import read_stream
-from tenure.streaming.access import AccessUpdates, TrialAccessUpdates
+from tenure.streaming.access import AccessFeed
 from tenure.streaming.signups import SignupStream
 from tenure.streaming.timers import run_trial_timers
 from tenure.streaming.webhooks import WebhookStream
@@ -292,14 +292,21 @@ def stream_synced_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_access_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = derived_tables(spark, sf_dir)
-    updates = AccessUpdates(spark, t, AS_OF, shared_dir(spark, "access"))
-    return updates.run(_events(spark, sf_dir)).latest()
+    feed = AccessFeed(spark, t, AS_OF, shared_dir(spark, "access"))
+    return feed.run(events=_events(spark, sf_dir)).latest()
 
 
 def stream_trial_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = derived_tables(spark, sf_dir)
-    updates = TrialAccessUpdates(spark, t, AS_OF, shared_dir(spark, "trial-access"))
-    return updates.run(derived_stream(spark, sf_dir, "user_trials")).latest()
+    feed = AccessFeed(spark, t, AS_OF, shared_dir(spark, "trial-access"))
+    return feed.run(trials=derived_stream(spark, sf_dir, "user_trials")).latest()
+
+
+def stream_access_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = derived_tables(spark, sf_dir)
+    feed = AccessFeed(spark, t, AS_OF, shared_dir(spark, "access-feed"))
+    trial_rows = derived_stream(spark, sf_dir, "user_trials")
+    return feed.run(_events(spark, sf_dir), trial_rows).latest()
 
 
 def stream_signups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,6 +340,7 @@ STREAMS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_synced_trials": stream_synced_trials,
     "stream_access_updates": stream_access_updates,
     "stream_trial_access": stream_trial_access,
+    "stream_access_feed": stream_access_feed,
     "stream_signups": stream_signups,
     "stream_trial_timers": stream_trial_timers,
 }

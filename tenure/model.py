@@ -175,9 +175,10 @@ SCHEMAS: dict[str, T.StructType] = {
         updated_at="ts",
     ),
     "webhook_events": struct(
-        event_id="long",
+        event_id="string",
         type="string",
         created="ts",
+        malformed="string",
         customer="string",
         mode="string",
         payment_status="string",
@@ -203,6 +204,25 @@ SCHEMAS: dict[str, T.StructType] = {
     ),
 }
 
+# Columns beside ``user_id`` that hold a user's id.
+_USER_IDS = {("user_profiles", "id"), ("deleted_account_history", "original_user_id")}
+
+
+def with_user_ids(schema: T.StructType, kind: T.DataType, name: str = "") -> T.StructType:
+    """The schema, of table ``name`` if it is one, with user ids of the given type.
+
+    The derived tables number their users; real tables identify them by text.
+    """
+    return T.StructType(
+        [
+            T.StructField(f.name, kind, f.nullable)
+            if f.name == "user_id" or (name, f.name) in _USER_IDS
+            else f
+            for f in schema.fields
+        ]
+    )
+
+
 # The tables that the rules guard; ``users`` belongs to the sign-in platform.
 CORE_TABLES = (
     "stripe_customers",

@@ -23,7 +23,7 @@ _OWNED = {
 _BILLED = {"stripe_subscriptions": "customer_id", "stripe_orders": "id"}
 
 
-def entitled_rows(t: Tables, viewers: DataFrame, admins: Collection[int]) -> DataFrame:
+def entitled_rows(t: Tables, viewers: DataFrame, admins: Collection) -> DataFrame:
     """(viewer_id, table_name, row_key) for every row a viewer may see.
 
     Owners see their own rows, and live billing rows through their own live
@@ -51,7 +51,8 @@ def entitled_rows(t: Tables, viewers: DataFrame, admins: Collection[int]) -> Dat
     if admins:
         # One row per admin and history row is the result itself; the admins
         # are a short literal list.
-        every = F.array(*[F.lit(a).cast("long") for a in admins])
+        kind = viewers.schema["viewer_id"].dataType
+        every = F.array(*[F.lit(a).cast(kind) for a in admins])
         seen = t.deleted_account_history.select(F.explode(every).alias("viewer_id"), "email")
         parts.append(tagged(seen, "deleted_account_history", "email"))
     visible = reduce(DataFrame.unionByName, parts)
@@ -60,6 +61,6 @@ def entitled_rows(t: Tables, viewers: DataFrame, admins: Collection[int]) -> Dat
     return visible.join(viewers.select("viewer_id").distinct(), "viewer_id")
 
 
-def rows_of(df: DataFrame, viewer_id: int, owner: str = "user_id") -> DataFrame:
+def rows_of(df: DataFrame, viewer_id: int | str, owner: str = "user_id") -> DataFrame:
     """One viewer's rows of a table or view; the filter reaches the scan."""
     return df.filter(C(owner) == viewer_id)

@@ -36,7 +36,8 @@ def route() -> Column:
     one_time = ~C("mode").eqNullSafe("subscription")
     paid = (C("mode") == "payment") & (C("payment_status") == "paid")
     return (
-        F.when(C("customer").isNull(), F.lit("skip_no_customer"))
+        F.when(C("malformed").isNotNull(), F.lit("malformed"))
+        .when(C("customer").isNull(), F.lit("skip_no_customer"))
         .when(
             (C("type") == "payment_intent.succeeded") & C("invoice").isNull(),
             F.lit("skip_one_time_intent"),
@@ -48,7 +49,8 @@ def route() -> Column:
 
 
 def webhook_routes(events: DataFrame) -> DataFrame:
-    return events.select("event_id", route().alias("route"))
+    """Where each event goes; of a line that is no event, also the line."""
+    return events.select("event_id", route().alias("route"), "malformed")
 
 
 # Subscriptions --------------------------------------------------------------

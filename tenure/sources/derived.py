@@ -313,6 +313,7 @@ def recipes(ts: str) -> dict[str, list[Recipe]]:
                 "events",
                 {
                     "event_id": "event_id",
+                    "malformed": "case when event_id % 97 = 0 then concat('{', event_type) end",
                     "type": "case event_type when 'signup' then 'customer.subscription.created'"
                     " when 'view' then 'customer.subscription.updated'"
                     " when 'error' then 'invoice.payment_failed'"

@@ -34,9 +34,27 @@ def products(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.inline(product_structs()))
 
 
+_FIELDS = ("product_id", "price_id", "product_name", "mode", "price")
+
+
+def product_field(value: Column, by: str = "price_id", field: str = "product_name") -> Column:
+    """A field of the product whose ``by`` equals the value; null if there is none."""
+    key, wanted = _FIELDS.index(by), _FIELDS.index(field)
+    kind = "decimal(10,2)" if field == "price" else "string"
+    found = F.lit(None).cast(kind)
+    for product in reversed(PRODUCTS):
+        known, result = product[key], F.lit(product[wanted]).cast(kind)
+        found = F.when(value == known, result).otherwise(found)
+    return found
+
+
 def product_name(price_id: Column) -> Column:
     """Look a price up in the fixed list; unknown and null prices give null."""
-    found = F.lit(None).cast("string")
-    for _, known, name, _, _ in reversed(PRODUCTS):
-        found = F.when(price_id == known, F.lit(name)).otherwise(found)
-    return found
+    return product_field(price_id)
+
+
+def product_by_id(product_id: Column) -> Column:
+    """The product of an id as a struct; unknown and null ids give null."""
+    fields = [product_field(product_id, "product_id", name).alias(name) for name in _FIELDS]
+    known = product_id.isin(*[product[0] for product in PRODUCTS])
+    return F.when(known, F.struct(*fields))

@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tenure.model import SCHEMAS, Tables
+from tenure.model import SCHEMAS, Tables, with_user_ids
 from tenure.operators.keyed import conform
 
 
@@ -16,9 +16,20 @@ def read_table(
     return spark.read.schema(schema).format(fmt).load(path)
 
 
-def read_tables(spark: SparkSession, root: str, fmt: str = "parquet") -> Tables:
-    """The tables below ``root``, one folder each, read when first used."""
-    return Tables(lambda name: read_table(spark, f"{root}/{name}", SCHEMAS[name], fmt))
+def read_tables(
+    spark: SparkSession, root: str, fmt: str = "parquet", user_ids: str = "string"
+) -> Tables:
+    """The tables below ``root``, one folder each, read when first used.
+
+    ``user_ids`` is the type of the user ids: text (uuids) or ``long``.
+    """
+    kind = T.LongType() if user_ids == "long" else T.StringType()
+
+    def load(name: str) -> DataFrame:
+        schema = with_user_ids(SCHEMAS[name], kind, name)
+        return read_table(spark, f"{root}/{name}", schema, fmt)
+
+    return Tables(load)
 
 
 def read_stream(

@@ -35,7 +35,8 @@ def parse_events(lines: DataFrame) -> DataFrame:
 
     Only ``customer.subscription.*`` events carry a subscription. An expanded
     payment method brings brand and last digits, a bare reference to one does
-    not.
+    not. A line that is no event, without an id or a type, keeps its whole text in
+    ``malformed``, and a hash of it as id; blank lines are no lines.
     """
     event = F.from_json("value", PAYLOAD)
     obj = C("event.data.object")
@@ -56,8 +57,13 @@ def parse_events(lines: DataFrame) -> DataFrame:
         "payment_method_brand": card["brand"],
         "payment_method_last4": card["last4"],
     }
-    rows = lines.select(event.alias("event")).select(
-        F.xxhash64("event.id").alias("event_id"),
+    unread = C("event.id").isNull() | C("event.type").isNull()
+    filled = lines.filter(F.length(F.trim("value")) > 0)
+    rows = filled.select(event.alias("event"), C("value").alias("line")).select(
+        F.when(~unread, C("event.id"))
+        .otherwise(F.concat(F.lit("malformed_"), F.sha2("line", 256)))
+        .alias("event_id"),
+        F.when(unread, C("line")).alias("malformed"),
         C("event.type").alias("type"),
         clock.from_epoch(C("event.created")).alias("created"),
         _plain(obj["customer"]).alias("customer"),

@@ -1,20 +1,25 @@
 """Access kept up to date while billing events and trial changes come in.
 
-A stateful aggregate holds the newest row per key. In update mode each batch
-brings only the keys it changed, so its work follows the changes and not the
-history. The changed rows are written out first and read back, since they are
-used more than once; the refreshed access rows go to a log of their own.
+Both kinds of change meet in one stateful aggregate that holds, per user, the
+newest subscription, whether an event made the user a payer, and the trial row
+updated last. So each refresh sees both, whichever has changed. In update mode a
+batch brings only the users it changed. The changed rows are written out first
+and read back, since they are used more than once; the refreshed access rows go
+to one log. Each refresh reads the touched users' rows of the base tables, whose
+scans bucketed tables spare the shuffle.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tenure.functions import clock
-from tenure.model import PAYING_STATUSES, SCHEMAS, Tables, struct
-from tenure.operators.keyed import extreme_per_key
+from tenure.model import PAYING_STATUSES, SCHEMAS, Tables, struct, with_user_ids
+from tenure.operators.keyed import conform, extreme_per_key
 from tenure.plans import access, billing
 from tenure.sources.tables import ChangeLog
 from tenure.streaming.run import drain, state_on_disk
@@ -25,86 +30,83 @@ C = F.col
 _LOG = struct(user_id="long", has_access="boolean", access_type="string", days_remaining="int")
 
 
-class _AccessLog:
-    _CHANGED: T.StructType
+class AccessFeed:
+    """The access of the users that billing events or trial changes touch.
+
+    A user has one live customer, as the tables declare. A trial row from the
+    stream stands in place of the stored one.
+    """
 
     def __init__(self, spark: SparkSession, t: Tables, as_of: clock.Instant, root: str):
         self.spark, self.t, self.as_of, self.root = spark, t, as_of, root
-        self._changes = ChangeLog(spark, f"{root}/changes", self._CHANGED)
-        self._log = ChangeLog(spark, f"{root}/access", _LOG)
-
-    def _refresh(self, changed: DataFrame) -> Tables:
-        """The tables, cut down to what the changed rows touch."""
-        raise NotImplementedError
+        kind = t.user_trials.schema["user_id"].dataType
+        trial = T.StructType([f for f in SCHEMAS["user_trials"] if f.name != "user_id"])
+        sub = T.StructType([f for f in SUBSCRIPTION_LOG if f.name != "customer_id"])
+        user = [T.StructField("user_id", kind), T.StructField("customer_id", T.StringType())]
+        self._change = T.StructType([*user, *sub, T.StructField("trial", trial)])
+        newest = [
+            *user,
+            T.StructField("sub", sub),
+            T.StructField("ever_paid", T.BooleanType()),
+            T.StructField("trial", trial),
+        ]
+        self._changes = ChangeLog(spark, f"{root}/changes", T.StructType(newest))
+        self._log = ChangeLog(spark, f"{root}/access", with_user_ids(_LOG, kind))
+
+    def run(
+        self, events: DataFrame | None = None, trials: DataFrame | None = None
+    ) -> "AccessFeed":
+        """Take all that the given streams hold, in one query."""
+        parts = []
+        if events is not None:
+            owners = access.live(self.t.stripe_customers).select("user_id", "customer_id")
+            parts.append(billing.sync_candidates(events).join(owners, "customer_id"))
+        if trials is not None:
+            rest = [c for c in SCHEMAS["user_trials"].names if c != "user_id"]
+            parts.append(trials.select("user_id", F.struct(*rest).alias("trial")))
+        changes = reduce(DataFrame.unionByName, [conform(p, self._change) for p in parts])
+        newest = changes.groupBy("user_id").agg(
+            F.max("customer_id").alias("customer_id"),
+            billing.newest_candidate(changes.drop("user_id", "trial")).alias("sub"),
+            F.coalesce(F.bool_or(C("status").isin(*PAYING_STATUSES)), F.lit(False)).alias(
+                "ever_paid"
+            ),
+            F.max_by(
+                "trial", F.when(C("trial").isNotNull(), F.struct("trial.updated_at", "trial.id"))
+            ).alias("trial"),
+        )
+        with state_on_disk(self.spark):
+            drain(newest, self._take, f"{self.root}/checkpoint", mode="update")
+        return self
 
     def _take(self, batch: DataFrame, batch_id: int) -> None:
         self._changes.write(batch, batch_id)
         changed = self._changes.read_batch(batch_id)
         self._log.write(access.access_status(self._refresh(changed), self.as_of), batch_id)
 
-    def _drain(self, changed: DataFrame) -> None:
-        with state_on_disk(self.spark):
-            drain(changed, self._take, f"{self.root}/checkpoint", mode="update")
-
-    def latest(self) -> DataFrame:
-        """Each touched user's access as last updated."""
-        rows = extreme_per_key(self._log.read(), ["user_id"], ["batch_id"])
-        return rows.drop("batch_id")
-
-
-class AccessUpdates(_AccessLog):
-    """The access of the users that billing events touch.
-
-    Kept per customer: the newest subscription, and whether any event made the
-    customer a payer.
-    """
-
-    _CHANGED = T.StructType([*SUBSCRIPTION_LOG, T.StructField("ever_paid", T.BooleanType())])
-
-    def run(self, events: DataFrame) -> "AccessUpdates":
-        candidates = billing.sync_candidates(events)
-        paid = C("status").isin(*PAYING_STATUSES)
-        newest = candidates.groupBy("customer_id").agg(
-            billing.newest_candidate(candidates).alias("sub"),
-            F.coalesce(F.bool_or(paid), F.lit(False)).alias("ever_paid"),
-        )
-        self._drain(newest.select("customer_id", "sub.*", "ever_paid"))
-        return self
-
     def _refresh(self, changed: DataFrame) -> Tables:
-        touched = changed.select("customer_id")
-        customers = self.t.stripe_customers.join(touched, "customer_id", "left_semi")
-        before = self.t.stripe_subscriptions.join(touched, "customer_id", "left_semi")
-        newest = changed.drop("ever_paid")
-        users = access.live(customers).select("user_id")
+        """The tables as they are by now, cut down to the changed users."""
+        users = changed.select("user_id")
+        customers = self.t.stripe_customers.join(users, "user_id", "left_semi")
+        billed = changed.filter("customer_id IS NOT NULL")
+        before = self.t.stripe_subscriptions.join(
+            customers.select("customer_id"), "customer_id", "left_semi"
+        )
+        stored = self.t.user_trials.join(changed.filter("trial IS NULL"), "user_id", "left_semi")
+        given = changed.filter("trial IS NOT NULL").select("user_id", "trial.*")
         now = self.t.replace(
             stripe_customers=customers,
-            stripe_subscriptions=billing.merge_subscriptions(before, newest, self.as_of),
-            user_trials=self.t.user_trials.join(users, "user_id", "left_semi"),
-        )
-        payers = changed.filter("ever_paid").select(
-            "customer_id", F.lit("active").alias("status")
+            stripe_subscriptions=billing.merge_subscriptions(
+                before, billed.select("customer_id", "sub.*"), self.as_of
+            ),
+            user_trials=stored.unionByName(given),
         )
+        payers = billed.filter("ever_paid").select("customer_id", F.lit("active").alias("status"))
         return now.replace(
             user_trials=billing.subscription_change_effects(now, payers, self.as_of)
         )
 
-
-class TrialAccessUpdates(_AccessLog):
-    """The access of the users whose trial rows change.
-
-    Kept per user: the trial row that was updated last.
-    """
-
-    _CHANGED = SCHEMAS["user_trials"]
-
-    def run(self, trials: DataFrame) -> "TrialAccessUpdates":
-        rest = [c for c in trials.columns if c != "user_id"]
-        newest = F.max_by(F.struct(*rest), F.struct("updated_at", "id")).alias("trial")
-        self._drain(trials.groupBy("user_id").agg(newest).select("user_id", "trial.*"))
-        return self
-
-    def _refresh(self, changed: DataFrame) -> Tables:
-        touched = changed.select("user_id")
-        customers = self.t.stripe_customers.join(touched, "user_id", "left_semi")
-        return self.t.replace(user_trials=changed, stripe_customers=customers)
+    def latest(self) -> DataFrame:
+        """Each touched user's access as last updated."""
+        rows = extreme_per_key(self._log.read(), ["user_id"], ["batch_id"])
+        return rows.drop("batch_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tenure.model import Tables, struct
+from tenure.model import Tables, struct, with_user_ids
 from tenure.operators.keyed import extreme_per_key
 from tenure.plans import accounts
 from tenure.sources.tables import ChangeLog
@@ -24,7 +24,8 @@ class SignupStream:
 
     def __init__(self, spark: SparkSession, t: Tables, root: str):
         self.t, self.root = t, root
-        self._signups = ChangeLog(spark, f"{root}/signups", _LOG)
+        kind = t.user_profiles.schema["id"].dataType
+        self._signups = ChangeLog(spark, f"{root}/signups", with_user_ids(_LOG, kind))
 
     def _take(self, batch: DataFrame, batch_id: int) -> None:
         first = extreme_per_key(

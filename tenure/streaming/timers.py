@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenure.functions import clock
-from tenure.model import GRACE_DAYS, SCHEMAS, Tables, struct
+from tenure.model import GRACE_DAYS, SCHEMAS, Tables, struct, with_user_ids
 from tenure.operators.keyed import extreme_per_key
 from tenure.plans.access import Protected
 from tenure.plans.trials import timed_transitions
@@ -34,8 +34,9 @@ def run_trial_timers(
     at its new end and a converted one never does. No row is late: a trial that
     comes after its end is due at the next tick. Who pays by then is left alone.
     """
-    rows = ChangeLog(spark, f"{root}/trials", SCHEMAS["user_trials"])
-    due = ChangeLog(spark, f"{root}/due", _DUE)
+    kind = t.user_trials.schema["user_id"].dataType
+    rows = ChangeLog(spark, f"{root}/trials", with_user_ids(SCHEMAS["user_trials"], kind))
+    due = ChangeLog(spark, f"{root}/due", with_user_ids(_DUE, kind))
     drain(trials, rows.write, f"{root}/trials-checkpoint")
 
     def tick(batch: DataFrame, batch_id: int) -> None:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tenure.functions import clock
 from tenure.model import Tables, struct
 from tenure.plans import billing, trials
+from tenure.plans.access import Protected
 from tenure.sources.tables import ChangeLog
 from tenure.streaming.run import drain, once_per_event
 
@@ -28,7 +29,7 @@ SUBSCRIPTION_LOG = struct(
     method_given="boolean",
     subscription_created="ts",
     event_at="ts",
-    event_id="long",
+    event_id="string",
 )
 _ORDER_LOG = struct(
     checkout_session_id="string",
@@ -40,7 +41,7 @@ _ORDER_LOG = struct(
     payment_status="string",
     status="string",
     created="ts",
-    event_id="long",
+    event_id="string",
 )
 
 
@@ -85,7 +86,7 @@ class WebhookStream:
         payers = self._payers.read().withColumn("status", F.lit("active"))
         return billing.subscription_change_effects(self.t, payers, self.as_of)
 
-    def synced_trials(self, protected: tuple[int, ...]) -> DataFrame:
+    def synced_trials(self, protected: Protected) -> DataFrame:
         """Trials after the sync that follows the events."""
         now = self.t.replace(
             stripe_subscriptions=self.subscriptions(), user_trials=self.trials()

@@ -14,7 +14,7 @@ from tenure.streaming.webhooks import WebhookStream
 
 def event(event_id, kind="customer.subscription.updated", customer="cus_1", **more):
     row = {
-        "event_id": event_id,
+        "event_id": f"evt_{event_id:03d}",
         "type": kind,
         "created": AS_OF - DAY + event_id * DAY / 86400,
         "customer": customer,
@@ -52,14 +52,14 @@ def test_routes_take_the_first_rule(spark):
         "event_id",
     )
     assert {i: r.route for i, r in rows.items()} == {
-        1: "skip_no_customer",
-        2: "skip_one_time_intent",
-        3: "subscription_sync",
-        4: "order_insert",
-        5: "ignored",
-        6: "subscription_sync",
-        7: "ignored",
-        8: "subscription_sync",
+        "evt_001": "skip_no_customer",
+        "evt_002": "skip_one_time_intent",
+        "evt_003": "subscription_sync",
+        "evt_004": "order_insert",
+        "evt_005": "ignored",
+        "evt_006": "subscription_sync",
+        "evt_007": "ignored",
+        "evt_008": "subscription_sync",
     }
 
 
@@ -133,7 +133,7 @@ def test_a_hot_customer_and_session(spark):
     spread = F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id") % 500)
     base = spark.range(30_000, numPartitions=6).withColumn("who", spread)
     batch = base.select(
-        F.col("id").alias("event_id"),
+        F.format_string("evt_%09d", "id").alias("event_id"),
         F.when(F.col("id") % 2 == 0, F.lit("customer.subscription.updated"))
         .otherwise(F.lit("checkout.session.completed"))
         .alias("type"),
@@ -254,6 +254,9 @@ def test_directory_with_repeated_emails(spark):
     )
 
 
+BAD_LINES = ["no json", "{\"type\": \"x\"}", "[1, 2]", "{\"id\": \"evt_9\""]
+
+
 def raw_lines():
     method = {"card": {"brand": "visa", "last4": "4242"}}
     sub = {
@@ -279,6 +282,8 @@ def raw_lines():
         ),
         line(4, "customer.subscription.created", {**sub, "customer": {"id": "cus_3"}}),
         line(5, "product.created", {"id": "prod_1"}),
+        *BAD_LINES,
+        "  ",
     ]
     return "\n".join(lines)
 
@@ -287,7 +292,11 @@ def test_raw_events(spark, tmp_path):
     path = tmp_path / "events.jsonl"
     path.write_text(raw_lines())
     parsed = parse_events(spark.read.text(str(path)))
-    rows = parsed.orderBy("created").collect()
+    routes = billing.webhook_routes(parsed).collect()
+    lost = {r.event_id: r.malformed for r in routes if r.route == "malformed"}
+    assert sorted(lost.values()) == sorted(BAD_LINES) and len(routes) == 9
+    assert {r.event_id for r in routes} - set(lost) == {f"evt_{i}" for i in range(1, 6)}
+    rows = parsed.filter("malformed IS NULL").orderBy("created").collect()
     assert [r.customer for r in rows] == ["cus_1", "cus_1", "cus_2", None, None]
     assert (rows[0].payment_method_brand, rows[0].payment_method_last4) == ("visa", "4242")
     assert rows[1].payment_method_brand is None and rows[1].price_id == "price_pro"
@@ -310,3 +319,12 @@ def test_raw_events_as_a_stream(spark, tmp_path):
     assert rows["cus_1"].status == "active" and rows["cus_1"].price_id == "price_pro"
     assert by(run.trials())[1].trial_status == "converted_to_paid"
     assert run.new_orders().count() == 1
+
+def test_products_by_id_and_by_price(spark):
+    from tenure.sources.products import product_by_id, product_name
+
+    keys = spark.createDataFrame([("pro_product",), ("trial_price",), ("x",), (None,)], "k string")
+    rows = keys.select(product_by_id(F.col("k")).alias("p"), product_name(F.col("k")).alias("n")).collect()
+    assert (rows[0].p.price_id, rows[0].p.product_name, str(rows[0].p.price)) == ("price_pro", "Go Pro", "45.00")
+    assert [r.p for r in rows[1:]] == [None] * 3
+    assert [r.n for r in rows] == [None, "7-Day Free Trial", None, None]

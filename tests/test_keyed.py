@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from hand import by, frame, history, profile, state, tables, trial
+from hand import by, customer, frame, history, profile, state, subscription, tables, trial
 
 from tenure.functions.text import as_json_rows, first_filled, label, spaced_once
 from tenure.model import SCHEMAS, struct
@@ -59,7 +59,7 @@ def test_tables_on_disk(spark, tmp_path):
         root = f"{tmp_path}/{fmt}"
         for name in ("user_trials", "user_profiles"):
             write_snapshot(getattr(t, name), f"{root}/{name}", fmt)
-        stored = read_tables(spark, root, fmt)
+        stored = read_tables(spark, root, fmt, user_ids="long")
         assert stored.user_trials.schema == SCHEMAS["user_trials"]
         assert stored.user_trials.collect() == t.user_trials.collect()
         append_rows(
@@ -98,6 +98,9 @@ def test_violations_are_found(spark):
         ("unique:email", "deleted_account_history"): 1,
         ("not_null:email", "deleted_account_history"): 1,
         ("not_null:status", "stripe_subscriptions"): 1,
+        ("not_null:id", "stripe_subscriptions"): 1,
+        ("unique:id", "user_trials"): 2,
+        ("unique:id", "deleted_account_history"): 1,
         ("reference:customer_id", "stripe_subscriptions"): 1,
     }
 
@@ -108,3 +111,18 @@ def test_health(spark):
     grades = spark.createDataFrame([(10,), (9,), (8,), (7,), (6,), (5,)], "s int")
     rows = grades.select(quality.grade(F.col("s"), F.lit(10))).collect()
     assert [r[0] for r in rows] == ["excellent", "good", "good", "fair", "fair", "poor"]
+
+
+def test_health_sees_which_customers_the_views_show(spark):
+    def shown(**rows):
+        checks = quality.health_checks(tables(spark, **rows)).collect()
+        return {r.name for r in checks if r.kind == "view" and r.ok}
+
+    gone, live = subscription(1, deleted=True), subscription(1)
+    assert shown(stripe_customers=[customer(1)]) == {"user_subscriptions", "user_orders"}
+    assert shown(stripe_customers=[customer(1)], stripe_subscriptions=[gone]) == {"user_orders"}
+    both = shown(stripe_customers=[customer(1)], stripe_subscriptions=[gone, live])
+    assert both == {"user_subscriptions", "user_orders"}
+    assert shown(stripe_customers=[customer(1, deleted=True)], stripe_subscriptions=[live]) == set()
+    unnamed = shown(stripe_customers=[customer(1, customer_id=None)], stripe_subscriptions=[gone])
+    assert unnamed == {"user_subscriptions", "user_orders"}

@@ -7,12 +7,12 @@ from compare import spark_rows
 
 from tenure.catalog import STREAMS, SUBSCRIPTION_VIEW
 from tenure.functions import clock
-from tenure.model import SCHEMAS, struct
+from tenure.model import SCHEMAS, struct, with_user_ids
 from tenure.plans import access, accounts, billing, trials
 from tenure.session import shared_dir
 from tenure.sources.derived import AS_OF, PROTECTED_IDS, derived_stream, derived_tables
 from tenure.sources.tables import read_stream
-from tenure.streaming.access import AccessUpdates, TrialAccessUpdates
+from tenure.streaming.access import AccessFeed
 from tenure.streaming.signups import SignupStream
 from tenure.streaming.timers import run_trial_timers
 from tenure.streaming.webhooks import WebhookStream
@@ -80,7 +80,7 @@ def test_a_replayed_batch_counts_once(spark, t):
 
 
 def test_access_updates(spark, t, shuffled):
-    run = AccessUpdates(spark, t, AS_OF, shared_dir(spark, "test"))
+    run = AccessFeed(spark, t, AS_OF, shared_dir(spark, "test"))
     run.run(stream(spark, shuffled, "webhook_events"))
     events = t.webhook_events
     effects = billing.subscription_change_effects(t, billing.subscription_changes(events), AS_OF)
@@ -109,12 +109,59 @@ def test_access_follows_the_trial_row_updated_last(spark, tmp_path):
     root, files = shared_dir(spark, "test"), str(tmp_path)
     for rows in changes:
         frame(spark, "user_trials", rows).coalesce(1).write.mode("append").parquet(files)
-        updates = TrialAccessUpdates(spark, t, NOW, root)
-        updates.run(read_stream(spark, files, SCHEMAS["user_trials"]))
+        updates = AccessFeed(spark, t, NOW, root)
+        updates.run(trials=read_stream(spark, files, SCHEMAS["user_trials"]))
     rows = by(updates.latest())
     assert rows[1].access_type == "free_trial" and not rows[2].has_access
 
 
+def test_one_feed_sees_both_changes_of_a_user(spark, tmp_path):
+    """Text ids; a payment and the trial's end come in either order, for one user each."""
+    from hand import AS_OF as NOW
+    from hand import DAY, by, customer, frame, tables, trial
+    from pyspark.sql import types as T
+
+    def typed(name):
+        return with_user_ids(SCHEMAS[name], T.StringType(), name)
+
+    users = ["uuid-a", "uuid-b", "uuid-c"]
+    given = {
+        "stripe_customers": [customer(u, id=i) for i, u in enumerate(users)],
+        "user_trials": [trial(u, id=i) for i, u in enumerate(users)],
+    }
+    stored = {n: frame(spark, n, rows, typed(n)) for n, rows in given.items()}
+    t = tables(spark).replace(**stored)
+
+    def ended(i):
+        return ("user_trials", trial(users[i], "expired", NOW - DAY, updated_at=NOW, id=i))
+
+    def paid(i):
+        event = {
+            "event_id": f"evt_{i}",
+            "type": "customer.subscription.updated",
+            "created": NOW,
+            "customer": f"cus_{users[i]}",
+            "subscription_id": f"sub_{i}",
+            "subscription_status": "active",
+        }
+        return ("webhook_events", event)
+
+    root, files = shared_dir(spark, "test"), str(tmp_path)
+    for step in ([paid(0), ended(1), ended(2)], [ended(0), paid(1)]):
+        for name in ("webhook_events", "user_trials"):
+            rows = [row for kind, row in step if kind == name]
+            batch = frame(spark, name, rows, typed(name))
+            batch.coalesce(1).write.mode("append").parquet(f"{files}/{name}")
+        feed = AccessFeed(spark, t, NOW, root)
+        feed.run(*(read_stream(spark, f"{files}/{n}", typed(n)) for n in ("webhook_events", "user_trials")))
+    rows = by(feed.latest())
+    assert {u: r.access_type for u, r in rows.items()} == {
+        "uuid-a": "paid_subscription",
+        "uuid-b": "paid_subscription",
+        "uuid-c": "no_access",
+    }
+
+
 def test_signups(spark, t, shuffled):
     run = SignupStream(spark, t, shared_dir(spark, "test"))
     run.run(stream(spark, shuffled, "signups"))
