@@ -8,7 +8,8 @@ lowest score of the vocabulary less a penalty.
 Distinct pre-tokens are put into a trie, kept as the sorted pre-tokens and the
 depth to which each shares its neighbour's prefix. A node's best score and piece
 count are worked out once from the nodes above it, all nodes of a depth together,
-and a pre-token's count is read off its last node. Each task builds the tries of
+and a pre-token's count is read off its last node. Where the trie has few branches
+left, each goes on by itself, so that one very long pre-token costs its own length. Each task builds the tries of
 its own pre-tokens and forgets the counts when it has MAX_WORDS of them, which
 bounds memory and changes no count. Nothing is shuffled.
 
@@ -32,16 +33,17 @@ from tenure.llm.columns import arrow_batch, texts_of
 
 MARK = "▁"
 BYTE_PENALTY = 10_000
-#: Pre-tokens a task remembers, those that one trie takes, and characters of one pre-token.
-MAX_WORDS, CHUNK, MAX_CHARS = 300_000, 100_000, 1_000_000
+#: Pre-tokens a task remembers, and those that one trie takes.
+MAX_WORDS, CHUNK = 300_000, 100_000
+#: Where so few words are left, or a depth is reached at which the numbers could outgrow 64
+#: bits, each branch goes on by itself.
+FEW, DEEP = 32, 100_000
 
 #: The value of a segmentation is its score times _UNIT less its pieces.
 _UNIT = 1 << 24
 _NO_PIECE, _UNKNOWN = -(1 << 62), -(1 << 63)
 _BASE = 0x9E3779B97F4A7C15
 _BASE64 = np.uint64(_BASE)
-#: Longest piece that is looked for.
-LONGEST = 16
 
 Scores = dict[str, int]
 
@@ -54,8 +56,7 @@ def read_scores(model_path: str) -> Scores:
     return {
         model.id_to_piece(i): -i
         for i in range(model.get_piece_size())
-        if len(model.id_to_piece(i)) <= LONGEST
-        and not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i))
+        if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i))
     }
 
 
@@ -81,8 +82,10 @@ class Pieces:
                 endings.setdefault(_hash(codes[i:]), _NO_PIECE)
         for piece, score in scores.items():
             endings[_hash(_codes(piece))] = score * _UNIT - 1
+        self.endings = endings
         self.hashes = np.array(sorted(endings), np.uint64)
         self.values = np.array([endings[h] for h in sorted(endings)], np.int64)
+        self.longest = max(map(len, scores), default=1)
         self.floor = min(scores.values(), default=0) - BYTE_PENALTY
 
     def values_of(self, hashes: np.ndarray) -> np.ndarray:
@@ -97,6 +100,33 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def _branch_count(codes: np.ndarray, path: list[tuple[int, int]], pieces: Pieces) -> int:
+    """Pieces at the end of a branch, given hash and best of the last nodes above it."""
+    whole, endings = (1 << 64) - 1, pieces.endings
+    powers = [pow(_BASE, back, 1 << 64) for back in range(pieces.longest + 1)]
+    hashes = [h for h, _ in path]
+    counts = [-best & (_UNIT - 1) for _, best in path]
+    scores = [(best + n) // _UNIT for (_, best), n in zip(path, counts, strict=True)]
+    for code in codes.tolist():
+        hashed = (hashes[-1] * _BASE + code + 1) & whole
+        size = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+        score, count = scores[-1] + pieces.floor * size, counts[-1] + size
+        for back in range(1, len(hashes) + 1):
+            worth = endings.get((hashed - hashes[-back] * powers[back]) & whole)
+            if worth is None:
+                break
+            if worth != _NO_PIECE:
+                way, more = scores[-back] + (worth + 1) // _UNIT, counts[-back] + 1
+                if way > score or (way == score and more < count):
+                    score, count = way, more
+        hashes.append(hashed)
+        scores.append(score)
+        counts.append(count)
+        if len(hashes) > pieces.longest:
+            del hashes[0], scores[0], counts[0]
+    return counts[-1]
+
+
 def trie_counts(words: list[str], pieces: Pieces) -> np.ndarray:
     """Pieces in the best segmentation of each pre-token; ``words`` are sorted and distinct.
 
@@ -109,13 +139,29 @@ def trie_counts(words: list[str], pieces: Pieces) -> np.ndarray:
     sizes = np.fromiter(map(len, words), np.int64, n) + 1
     starts = np.cumsum(sizes) - sizes
     counts = np.zeros(n, np.int64)
+    word = np.arange(n)
     shared = np.zeros(n, bool)  # with the word before, up to this depth
     shared[1:] = True
     alive = np.arange(n)
+    reach = pieces.longest
     hashes, bests = [np.zeros(n, np.uint64)], [np.zeros(n, np.int64)]
     for depth in range(1, int(sizes.max(initial=0)) + 1):
         if depth > 1:
             alive = alive[sizes[alive] >= depth]
+        if 2 * len(alive) < n:
+            # Few words are this long: go on with them alone. One whose neighbour has
+            # ended shares no further prefix with any word before it.
+            shared = shared[alive] & np.r_[False, np.diff(alive) == 1]
+            word, starts, sizes = word[alive], starts[alive], sizes[alive]
+            hashes, bests = [h[alive] for h in hashes], [b[alive] for b in bests]
+            n = len(alive)
+            alive = np.arange(n)
+        if n <= FEW or depth > DEEP:
+            for i in alive.tolist():
+                rest = codes[starts[i] + depth - 1 : starts[i] + sizes[i]]
+                path = [(int(h[i]), int(b[i])) for h, b in zip(hashes, bests, strict=True)]
+                counts[word[i]] = _branch_count(rest, path, pieces)
+            break
         here = codes[starts[alive] + depth - 1]
         before = np.maximum(alive - 1, 0)
         longer = sizes[before] >= depth
@@ -142,9 +188,9 @@ def trie_counts(words: list[str], pieces: Pieces) -> np.ndarray:
         full_hash, full_best = np.zeros(n, np.uint64), np.zeros(n, np.int64)
         place = np.cumsum(~same) - 1
         full_hash[alive], full_best[alive] = hashed[place[owner]], best[place[owner]]
-        hashes, bests = [*hashes, full_hash][-LONGEST:], [*bests, full_best][-LONGEST:]
+        hashes, bests = [*hashes, full_hash][-reach:], [*bests, full_best][-reach:]
         done = alive[sizes[alive] == depth]
-        counts[done] = -full_best[done] & (_UNIT - 1)
+        counts[word[done]] = -full_best[done] & (_UNIT - 1)
     return counts
 
 
@@ -199,11 +245,7 @@ def token_counts(
 
 
 def split_words(text: str) -> list[str]:
-    """The words between ASCII white space; longer ones than MAX_CHARS are cut."""
+    """The words between ASCII white space."""
     if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        words = text.split()
-    else:
-        words = [w.decode() for w in text.encode().split()]
-    if len(text) > MAX_CHARS:
-        words = [w[i : i + MAX_CHARS] for w in words for i in range(0, len(w), MAX_CHARS)]
-    return words
+        return text.split()
+    return [w.decode() for w in text.encode().split()]

@@ -91,6 +91,15 @@ def test_trie_equals_plain_segmentation():
     assert token_counts.trie_counts(words, pieces).tolist() == [slow_count(w) for w in words]
 
 
+@pytest.mark.parametrize("few, deep", [(0, 100_000), (0, 5), (32, 100_000)])
+def test_long_branches_and_few_of_them(monkeypatch, few, deep):
+    monkeypatch.setattr(token_counts, "FEW", few)
+    monkeypatch.setattr(token_counts, "DEEP", deep)
+    words = sorted({"ab" * 400 + "x", "ab" * 400 + "é", "a" * 700, "é漢" * 200, *("aba" * k for k in range(1, 40))})
+    pieces = token_counts.Pieces(SCORES)
+    assert token_counts.trie_counts(words, pieces).tolist() == [slow_count(w) for w in words]
+
+
 def test_token_counts_of_odd_texts(spark, monkeypatch):
     monkeypatch.setattr(token_counts, "read_scores", lambda path: SCORES)
     rows = docs(spark, [None, "", " \t\n", "ab ab  x", "a b", "ab " * 3000])
