@@ -30,6 +30,11 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def text_key(text: Column) -> Column:
+    """The same for equal texts, null and empty alike; with an id it names a row whose id is no key."""
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 

@@ -10,8 +10,9 @@ w + 1 - q (k + 1) q-grams with its match, on at most k + 1 neighbouring diagonal
 The first pass keeps the regions of a document in which so many of its q-grams are
 set in a bit map of all benchmark q-grams. The second looks the region's q-grams up
 in an index, counts them per benchmark text in diagonal bands that overlap by half,
-so that any k + 1 diagonals lie in one band, and aligns each window whose count
-meets the bound within the band.
+so that any k + 1 diagonals lie in one band, and aligns every window whose count
+meets the bound within the band. A window that aligns covers the document from its
+first shared q-gram to its last; those of one item that overlap make one span.
 
 The bit map has a fixed size bound whatever the benchmark's size. The index comes
 in blocks of about BLOCK_CHARS characters; only the regions, few and saved, meet
@@ -19,9 +20,10 @@ every block. Long benchmark texts are cut into overlapping pieces that no window
 can miss. Documents are read once and never shuffled.
 
 Defined results. A null or empty text is clean. Benchmark rows that are null or
-shorter than SHORTEST characters are no passages. Repeated benchmark rows give one
-match each. Documents that share an id share the result; repeated rows stay. Empty
-tables give clean documents or no rows. Only id and text are read.
+shorter than SHORTEST characters are no passages. Benchmark rows that share an id
+are one item. A row's result depends on its own text, also where ids are null or
+repeated; repeated rows stay. Empty tables give clean documents or no rows. Only id
+and text are read.
 """
 
 from __future__ import annotations
@@ -30,10 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenure.llm.columns import arrow_batch, saved, texts_of
+from tenure.llm.columns import arrow_batch, saved, text_key, texts_of
 
 Q, WINDOW, CHARS_PER_EDIT, SHORTEST = 8, 96, 20, 32
 BLOCK_CHARS, PIECE_CHARS = 1_000_000, 10_000
@@ -42,6 +44,7 @@ MAX_MAP_BITS = 26
 _CLASSES = ((32, 48), (48, 64), (64, 80), (80, WINDOW), (WINDOW, WINDOW + 1))
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_NO_CHAR = np.uint32(0xFFFFFFFF)
 
 
 def budget(window: int) -> int:
@@ -130,7 +133,7 @@ def suspect_regions(hits: np.ndarray) -> list[tuple[int, int]]:
 
 
 def regions(documents: DataFrame, table: np.ndarray) -> DataFrame:
-    """``id, start, text``: the parts of documents that could match, in place."""
+    """``id, key, start, text``: the parts of documents that could match, in place."""
     sent = documents.sparkSession.sparkContext.broadcast(table)
     size = (len(table) * 8).bit_length() - 1
     id_type = documents.schema["id"].dataType.simpleString()
@@ -151,11 +154,12 @@ def regions(documents: DataFrame, table: np.ndarray) -> DataFrame:
                     rows.append(row)
                     starts.append(first)
                     texts.append(text[first:last])
-            schema = pa.schema([batch.schema.field("id"), ("start", pa.int64()), ("text", pa.string())])
-            ids = batch.column("id").take(pa.array(rows, pa.int64()))
-            yield arrow_batch({"id": ids, "start": starts, "text": texts}, schema)
+            names = [batch.schema.field(n) for n in ("id", "key")]
+            schema = pa.schema([*names, ("start", pa.int64()), ("text", pa.string())])
+            of = {f.name: batch.column(f.name).take(pa.array(rows, pa.int64())) for f in names}
+            yield arrow_batch({**of, "start": starts, "text": texts}, schema)
 
-    return documents.mapInArrow(find, f"id {id_type}, start long, text string")
+    return documents.mapInArrow(find, f"id {id_type}, key string, start long, text string")
 
 
 class Index:
@@ -179,25 +183,44 @@ class Index:
         return np.repeat(np.arange(len(keys)), n), self.item[at], self.place[at]
 
 
-def aligned(pattern: np.ndarray, text: np.ndarray, start: int, width: int) -> int:
-    """Edits between a pattern and a part of the text, in ``width`` diagonals from ``start``."""
-    m = len(pattern)
-    padded = np.zeros(m + width, np.uint32)
-    a, b = max(0, start), min(len(text), start + m + width)
+def alignments(pattern: np.ndarray, text: np.ndarray, start: int, width: int, window: int) -> np.ndarray:
+    """Edits between each window of a pattern and a part of the text, in ``width`` diagonals from ``start``."""
+    m, n = len(pattern), len(pattern) - window + 1
+    padded = np.full(m + width - 1, _NO_CHAR)
+    a, b = max(0, start), min(len(text), start + len(padded))
     if b > a:
         padded[a - start : b - start] = text[a:b]
-    differs = np.lib.stride_tricks.sliding_window_view(padded, width)[:m] != pattern[:, None]
-    steps = np.arange(width)
-    row = np.zeros(width, np.int64)
-    for i in range(m):
-        new = row + differs[i]
-        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
-        row = np.minimum.accumulate(new - steps) + steps
-    return int(row.min())
+    differs = np.lib.stride_tricks.sliding_window_view(padded, m) != pattern
+    # A row per diagonal, less its number, so that an edit to the next one costs nothing more.
+    steps = np.arange(width, dtype=np.int8 if window + width < 128 else np.int64)[:, None]
+    row = np.repeat(-steps, n, axis=1)
+    for i in range(window):
+        new = row + differs[:, i : i + n]
+        new[:-1] = np.minimum(new[:-1], row[1:] + 2)
+        reach = 1
+        while reach < width:
+            new[reach:] = np.minimum(new[reach:], new[:-reach])
+            reach *= 2
+        row = new
+    return (row + steps).min(axis=0)
+
+
+def aligned(pattern: np.ndarray, text: np.ndarray, start: int, width: int) -> int:
+    """Edits between a whole pattern and a part of the text."""
+    return int(alignments(pattern, text, start, width, len(pattern))[0])
+
+
+def merged(start: np.ndarray, end: np.ndarray, edits: np.ndarray) -> list[tuple[int, int, int]]:
+    """The spans in order, overlapping ones as one with the fewest edits of any."""
+    order = np.argsort(start, kind="stable")
+    start, end, edits = start[order], end[order], edits[order]
+    cuts = np.flatnonzero(np.r_[True, start[1:] >= np.maximum.accumulate(end)[:-1]])
+    ends, least = np.maximum.reduceat(end, cuts), np.minimum.reduceat(edits, cuts)
+    return list(zip(start[cuts].tolist(), ends.tolist(), least.tolist(), strict=True))
 
 
 def matches(codes: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
-    """``item, start, end, edits`` of each benchmark piece that a region holds."""
+    """``item, start, end, edits`` of every span of each benchmark piece in a region."""
     place, item, at = index.hits(grams(codes))
     found = []
     order = np.argsort(item, kind="stable")
@@ -208,39 +231,44 @@ def matches(codes: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
         need, edits = least_shared(window), budget(window)
         if window < SHORTEST or len(part) < need:
             continue
-        best = _best_window(place[part], at[part], codes, index.items[which], window, need, edits)
-        if best:
-            found.append((which, *best))
+        spans = list(_windows(place[part], at[part], codes, index.items[which], window, need, edits))
+        if spans:
+            found += [(which, *m) for m in merged(*map(np.concatenate, zip(*spans, strict=True)))]
     return found
 
 
-def _best_window(place, at, codes, pattern, window, need, edits):
-    """``start, end, edits`` of the first window that aligns, the best counts first."""
+def _windows(place, at, codes, pattern, window, need, edits):
+    """``start, end, edits`` arrays of all windows that align, by band."""
     width = edits + 1
     band = (place - at) // width
-    for low in np.unique(np.r_[band, band - 1]).tolist():
-        inside = (band == low) | (band == low + 1)
-        if inside.sum() < need:
-            continue
-        hit_at = np.sort(at[inside])
+    # A pair of bands whose first one is empty has no hits that the next pair lacks.
+    names, sizes = np.unique(band, return_counts=True)
+    after = np.append(np.where(np.diff(names) == 1, sizes[1:], 0), 0)
+    for low in names[sizes + after >= need].tolist():
+        inside = np.flatnonzero((band == low) | (band == low + 1))
+        inside = inside[np.argsort(at[inside], kind="stable")]
+        hit_at, hit_place = at[inside], place[inside]
         earliest = max(0, int(hit_at[0]) + Q - window)
         starts = np.arange(earliest, min(int(hit_at[-1]), len(pattern) - window) + 1)
-        count = np.searchsorted(hit_at, starts + window - Q, "right") - np.searchsorted(hit_at, starts)
-        for i in np.argsort(-count, kind="stable").tolist():
-            if count[i] < need:
-                break
-            first = int(starts[i])
-            part = pattern[first : first + window]
+        from_, to = np.searchsorted(hit_at, starts), np.searchsorted(hit_at, starts + window - Q, "right")
+        tried = np.flatnonzero(to - from_ >= need)
+        if not len(tried):
+            continue
+        for part in np.split(tried, np.flatnonzero(np.diff(tried) > window) + 1):
+            first, last = int(starts[part[0]]), int(starts[part[-1]])
             at_text = first + low * width - edits
-            cost = aligned(part, codes, at_text, 2 * width + 2 * edits)
-            if cost <= edits:
-                mine = inside & (at >= first) & (at <= first + window - Q)
-                return int(place[mine].min()), int(place[mine].max()) + Q, cost
-    return None
+            stretch = pattern[first : last + window]
+            cost = alignments(stretch, codes, at_text, 2 * width + 2 * edits, window)[part - part[0]]
+            right = part[cost <= edits]
+            if len(right):
+                ranges = np.stack([from_[right], to[right]], axis=1).reshape(-1)
+                ended = np.append(hit_place, 0)
+                low_place = np.minimum.reduceat(ended, ranges)[::2]
+                yield low_place, np.maximum.reduceat(ended, ranges)[::2] + Q, cost[cost <= edits]
 
 
 def _found_type(id_type: str) -> str:
-    return f"id {id_type}, piece long, start long, end long, edits long"
+    return f"id {id_type}, key string, piece long, start long, end long, edits long"
 
 
 def verified(candidates: DataFrame, items: list[str]) -> DataFrame:
@@ -261,12 +289,28 @@ def verified(candidates: DataFrame, items: list[str]) -> DataFrame:
                     out["start"].append(offsets[row] + int(origin[start]))
                     out["end"].append(offsets[row] + int(origin[end - 1]) + 1)
                     out["edits"].append(edits)
-            schema = pa.schema([batch.schema.field("id"), *((k, pa.int64()) for k in out)])
-            yield arrow_batch({"id": batch.column("id").take(pa.array(rows, pa.int64())), **out}, schema)
+            names = [batch.schema.field(n) for n in ("id", "key")]
+            schema = pa.schema([*names, *((k, pa.int64()) for k in out)])
+            of = {f.name: batch.column(f.name).take(pa.array(rows, pa.int64())) for f in names}
+            yield arrow_batch({**of, **out}, schema)
 
     return candidates.mapInArrow(verify, _found_type(id_type))
 
 
+def maximal(found: DataFrame) -> DataFrame:
+    """The spans with overlapping ones of a row and item, from pieces or regions that overlap, as one."""
+    row = ["id", "key", "item"]
+    once = found.groupBy(*row, "start", "end").agg(F.min("edits").alias("edits"))
+    order = Window.partitionBy(*row).orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = once.withColumn("_new", F.coalesce(F.col("start") >= reach, F.lit(True)).cast("long"))
+    numbered = opens.withColumn("_number", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = numbered.groupBy(*row, "_number").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.min("edits").alias("edits")
+    )
+    return spans.drop("_number")
+
+
 def contaminated_spans(
     documents: DataFrame,
     benchmark: DataFrame,
@@ -275,16 +319,22 @@ def contaminated_spans(
     item_col: str = "item_id",
     item_text_col: str = "text",
 ) -> DataFrame:
-    """``id, item, start, end, edits`` of every match, saved; places in code points."""
+    """``id, key, item, start, end, edits`` of every match, saved; places in code points.
+
+    A match is a maximal span of overlapping windows of one item; its edits are the fewest
+    of any of them. ``key`` is the ``text_key`` of the document's text.
+    """
     spark = documents.sparkSession
-    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = documents.select(
+        F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text")
+    )
     parts = saved(pieces(benchmark, item_col, item_text_col))
     chars = int(parts.agg(F.sum(F.length("text"))).first()[0] or 0)
     candidates = saved(regions(rows, gram_map(parts, max(1, chars))))
     blocks = -(-chars // BLOCK_CHARS)
     block = F.pmod(F.xxhash64("item", "offset"), F.lit(max(1, blocks)))
     id_type, item_type = (f.dataType.simpleString() for f in (rows.schema["id"], parts.schema["item"]))
-    found = spark.createDataFrame([], f"id {id_type}, item {item_type}, start long, end long, edits long")
+    found = spark.createDataFrame([], f"id {id_type}, key string, item {item_type}, start long, end long, edits long")
     for number in range(blocks):
         items = parts.filter(block == number).collect()
         if not items:
@@ -294,7 +344,7 @@ def contaminated_spans(
         )
         hits = verified(candidates, [r["text"] for r in items]).join(names, "piece")
         found = found.unionByName(hits.drop("piece"))
-    return saved(found.withColumnRenamed("id", id_col).withColumnRenamed("item", item_col))
+    return saved(maximal(found))
 
 
 def decontaminate(
@@ -306,14 +356,14 @@ def decontaminate(
 ) -> DataFrame:
     """``id, contaminated, items, spans`` of every document row."""
     spans = contaminated_spans(documents, benchmark, id_col, text_col, item_col)
-    span = F.struct("start", "end", item_col, "edits")
-    per_document = spans.groupBy(F.col(id_col).alias("_hit")).agg(
-        F.sort_array(F.collect_set(item_col)).alias("items"),
+    span = F.struct("start", "end", "item", "edits")
+    per_document = spans.groupBy(F.col("id").alias("_hit"), F.col("key").alias("_hit_key")).agg(
+        F.sort_array(F.collect_set("item")).alias("items"),
         F.sort_array(F.collect_set(span)).alias("spans"),
     )
-    return documents.select(id_col).join(
-        per_document, F.col(id_col).eqNullSafe(F.col("_hit")), "left"
-    ).select(
+    rows = documents.select(F.col(id_col), text_key(F.col(text_col)).alias("_key"))
+    same = F.col(id_col).eqNullSafe(F.col("_hit")) & (F.col("_key") == F.col("_hit_key"))
+    return rows.join(per_document, same, "left").select(
         id_col,
         F.col("spans").isNotNull().alias("contaminated"),
         F.coalesce("items", F.array()).alias("items"),
@@ -326,5 +376,6 @@ def clean_documents(
 ) -> DataFrame:
     """The documents without the contaminated ones."""
     spans = contaminated_spans(documents, benchmark, id_col, text_col)
-    dropped = spans.select(F.col(id_col).alias("_drop")).distinct()
-    return documents.join(dropped, F.col(id_col).eqNullSafe(F.col("_drop")), "left_anti")
+    dropped = spans.select(F.col("id").alias("_drop"), F.col("key").alias("_drop_key")).distinct()
+    same = documents[id_col].eqNullSafe(dropped["_drop"]) & (text_key(documents[text_col]) == dropped["_drop_key"])
+    return documents.join(dropped, same, "left_anti")

@@ -438,6 +438,65 @@ def test_edited_passages_are_found_and_others_not(spark):
     assert decontamination.clean_documents(docs(spark, texts), bench.limit(0)).count() == len(texts)
 
 
+def slow_matches(text, item):
+    """Maximal spans of all item windows within the edit budget, by whole edit tables."""
+    size = min(decontamination.WINDOW, len(item))
+    limit = decontamination.budget(size)
+    spans = []
+    for first in range(len(item) - size + 1):
+        row = [(0, j) for j in range(len(text) + 1)]  # edits, and where the aligned part starts
+        for x in item[first : first + size]:
+            new = [(row[0][0] + 1, 0)]
+            for j, y in enumerate(text, 1):
+                new.append(min((row[j - 1][0] + (x != y), row[j - 1][1]), (row[j][0] + 1, row[j][1]), (new[-1][0] + 1, new[-1][1])))
+            row = new
+        spans += [(start, end) for end, (cost, start) in enumerate(row) if cost <= limit]
+    found = []
+    for start, end in sorted(spans):
+        if found and start < found[-1][1]:
+            found[-1][1] = max(found[-1][1], end)
+        else:
+            found.append([start, end])
+    return found
+
+
+def test_spans_of_long_and_repeated_passages_equal_brute_force():
+    rng = random.Random(12)
+    prose = lambda n: "".join(rng.choices("abcdefghijklmnop ", k=n))
+    coded = lambda t: np.array([ord(c) for c in t], np.uint32)
+    for size in (40, 96, 130):
+        item = prose(size)
+        near = edited(rng, item, size // 40)
+        # A gap of more than the edit budget, so that copies' windows cannot meet.
+        text = prose(30) + item + prose(12) + item + prose(15) + near + prose(25)
+        found = decontamination.matches(coded(text), decontamination.Index([coded(item)]))
+        want = slow_matches(text, item)
+        slack = decontamination.budget(min(96, size)) + decontamination.Q
+        assert len(found) == len(want) == 3
+        assert [(s, e, k) for _, s, e, k in found[:2]] == [
+            (30, 30 + size, 0), (42 + size, 42 + 2 * size, 0),
+        ]
+        for (_, start, end, _), (low, high) in zip(found, want, strict=True):
+            assert low <= start <= low + slack and high - slack <= end <= high
+
+
+def test_spans_across_pieces_and_rows_that_share_an_id(spark, monkeypatch):
+    rng = random.Random(13)
+    prose = lambda n: "".join(rng.choices("abcdefghijklmnop", k=n))
+    long, short = prose(1500), prose(300)
+    bench = spark.createDataFrame([(7, long), (8, short)], "item_id long, text string")
+    texts = [prose(40) + long + prose(50) + short + prose(9) + short + prose(70), prose(200), prose(10) + short]
+    want = [["40:1540", "1590:1890", "1899:2199"], [], ["10:310"]]
+    monkeypatch.setattr(decontamination, "PIECE_CHARS", 250)
+    monkeypatch.setattr(decontamination, "BLOCK_CHARS", 600)
+    for ids in ([0, 1, 2], [None] * 3, [5, 5, 5]):
+        rows = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+        found = decontamination.decontaminate(rows.union(rows), bench).collect()
+        assert sorted(r["spans"] for r in found) == sorted(want * 2)
+        assert all(r["contaminated"] == bool(r["spans"]) for r in found)
+        assert values(decontamination.clean_documents(rows, bench), "text") == [(texts[1],)]
+
+
 def test_banded_alignment_equals_edit_distance():
     rng = random.Random(7)
     for _ in range(60):
