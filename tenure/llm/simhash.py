@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tenure.llm.columns import arrow_batch, saved
+from tenure.llm.columns import arrow_batch, saved, text_key
 
 SHINGLE_WORDS, MAX_BITS, SEED = 3, 3, 42
 #: Fingerprints of an anchor that one task compares as one group, and at most.
@@ -300,20 +300,30 @@ def near_duplicates(
 
 
 def one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those whose group has one of a smaller id.
+    """One document row of each group.
 
-    Rows that repeat an id are one document, and one of them stays. A null id
-    stays only in a group without any other.
+    It is the one with the smallest id; a null id stays only in a group without any
+    other. Rows that share an id but not the text are documents of their own. Among
+    those of one id in a group the text's key decides, and of equal rows one stays.
     """
-    found = saved(near_duplicates(documents, id_col, text_col))
-    same = F.col(id_col).eqNullSafe(F.col("component_id"))
-    dropped = found.filter(~same).select(F.col(id_col).alias("_drop")).distinct()
-    kept = documents.join(dropped, F.col(id_col).eqNullSafe(F.col("_drop")), "left_anti")
-    repeated = saved(
-        found.filter(same).groupBy(id_col).count().filter("count > 1").select(F.col(id_col).alias("_twice"))
-    )
+    text = F.col(text_col)
+    name = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), text_key(text).alias("key"))
+    found = saved(near_duplicates(documents.select(name.alias("_name"), text), "_name", text_col))
+    first = F.col("_name") == F.col("component_id")
+
+    def named(rows: DataFrame) -> DataFrame:
+        return saved(rows.select(F.col("_name.id").alias("_named_id"), F.col("_name.key").alias("_named_key")))
+
+    def joined(rows: DataFrame, names: DataFrame, how: str) -> DataFrame:
+        same = rows[id_col].eqNullSafe(names["_named_id"]) & (text_key(rows[text_col]) == names["_named_key"])
+        return rows.join(names, same, how)
+
+    kept = joined(documents, named(found.filter(~first).select("_name").distinct()), "left_anti")
+    repeated = named(found.filter(first).groupBy("_name").count().filter("count > 1"))
     if repeated.isEmpty():
         return kept
-    twice = F.col(id_col).eqNullSafe(F.col("_twice"))
-    once = kept.join(repeated, twice, "left_semi").dropDuplicates([id_col])
-    return kept.join(repeated, twice, "left_anti").unionByName(once)
+    whole = F.struct(*(F.col(c) for c in documents.columns)).alias("_row")
+    twice = joined(kept, repeated, "left_semi").select(whole, F.col(id_col).alias("_id"), text_key(text).alias("_key"))
+    once = twice.dropDuplicates(["_id", "_key"])
+    once = once.select(*(F.col("_row").getField(c).alias(c) for c in documents.columns))
+    return joined(kept, repeated, "left_anti").unionByName(once)

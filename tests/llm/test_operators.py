@@ -395,6 +395,28 @@ def test_simhash_query_and_odd_texts(spark, sf_dir):
     assert simhash.near_duplicates(rows.limit(0)).count() == 0
 
 
+def test_one_row_of_each_group_where_ids_are_null_or_repeated(spark):
+    x, y, z, w = ("alpha beta gamma delta", "one two three four five", "red green blue", "an only text here")
+    rows = [(0, x), (1, x), (1, y), (5, y), (None, x), (None, z), (None, z), (None, w), (None, None), (7, z + " more"),
+            (8, "a far text"), (8, "another far one"), (8, "A FAR text"), (9, y), (9, y)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_row", F.lit("x"))
+    prints = [slow_fingerprint(t) for _, t in rows]
+    classes = slow_classes(list(range(len(rows))), prints)
+    for given in (frame, frame.repartition(5, "text")):
+        kept = simhash.one_of_each(given)
+        assert kept.columns == frame.columns
+        got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+        where = [classes[rows.index(r)] for r in got]
+        assert sorted(where) == sorted(set(classes.values()))
+        for row, group in zip(got, where, strict=True):
+            ids = [rows[i][0] for i, g in classes.items() if g == group and rows[i][0] is not None]
+            assert row[0] == (min(ids) if ids else None)
+    passage = " ".join(f"benchmark{i}" for i in range(12))
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    dirty = frame.unionByName(frame.limit(1).select(F.lit(None).cast("long").alias("doc_id"), F.lit(passage).alias("text"), "_row"))
+    assert decontamination.clean_documents(dirty, bench).count() == len(rows)
+
+
 # Decontamination ------------------------------------------------------------
 
 
