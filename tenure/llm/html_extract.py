@@ -2,11 +2,17 @@
 
 A page is cut into blocks at block-level tags. Menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and reader comments are left out by element
-and by class, id or role; a header inside an article belongs to it. The first pass
-looks at each block alone: many characters in links make it bad, enough characters
-with enough stop words good, and the rest stay undecided: headings, short blocks,
-and long ones without stop words. In the second pass an undecided block takes the
-label of the nearest decided neighbour. The edges of an article or main element
+and by class, id or role; a header inside an article belongs to it. Of a class, id or
+role whole names count, or names made of listed words only, and never against an
+article or main element or what holds one that has no such name itself. Elements whose
+end tag is omitted end where HTML ends them: a head at the first element or text that
+cannot be in it, a p or li at the tags that close it.
+
+The first pass looks at each block alone: many characters in links make it bad,
+enough characters with enough stop words good, and the rest stay undecided: headings,
+short blocks, and long ones without stop words. Where stop words make no block of a
+page good, as in languages without any here, enough characters do. In the second pass
+an undecided block takes the label of the nearest decided neighbour. The edges of an article or main element
 count as good neighbours, those of the page as bad ones; between a good and a bad
 neighbour at the same distance, stop words decide. An undecided heading goes with
 the next decided block.
@@ -16,12 +22,14 @@ in a block becomes one space, nothing is cut.
 
 Defined results. A null or empty page, and one without a good block, gives an empty
 text. Markup that is cut off at the end is markup; elements left open end with the
-page. Repeated rows give repeated rows; an empty table gives none.
+element around them or the page. Repeated rows give repeated rows; an empty table gives none.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
 
@@ -61,6 +69,21 @@ _VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Fixed: what HTML lets be in a head, what ends an open p, and what ends others of its kind
+# (by start tag: the names that it ends, and those that it does not look beyond).
+_HEAD = frozenset("base basefont bgsound head link meta noscript script style template title".split())
+_CELLS = frozenset("table td th caption button".split())
+_ENDS_P = _BLOCKS - frozenset("caption legend option tbody td tfoot th thead tr".split())
+_LISTS = frozenset("ul ol menu dir".split()) | _CELLS
+_ENDS = {
+    "li": (frozenset(["li"]), _LISTS),
+    **dict.fromkeys(("dt", "dd"), (frozenset(["dt", "dd"]), _CELLS | {"dl"})),
+    "option": (frozenset(["option"]), frozenset(["select"])),
+    "tr": (frozenset(["tr"]), frozenset(["table"])),
+    **dict.fromkeys(("td", "th"), (frozenset(["td", "th"]), frozenset(["table", "tr"]))),
+    **dict.fromkeys(("thead", "tbody", "tfoot"), (frozenset(["thead", "tbody", "tfoot"]), frozenset(["table"]))),
+}
+_TABLE_PARTS = frozenset("table thead tbody tfoot tr td th caption".split())
 # Fixed: words of class, id and role names for what is not the article.
 _NOT_ARTICLE = frozenset(
     """
@@ -93,12 +116,94 @@ class Block:
     main: int  # the article or main element it is in; 0 for none
 
 
-def _is_outside(name: str, rest: str, in_main: bool) -> bool:
+@dataclass(slots=True, eq=False)
+class Element:
+    name: str
+    rest: str
+    holds: bool = False  # an article or main element
+    outside: bool = False
+
+
+def _named_outside(rest: str) -> bool:
+    """A class, id or role that is a listed word, or made of listed words only."""
+    if "=" not in rest:
+        return False
+    for value in _NAMES.findall(rest):
+        for whole in value.lower().strip("\"'").split():
+            words = _PARTS.findall(whole)
+            if words and _NOT_ARTICLE.issuperset(words):
+                return True
+    return False
+
+
+def _is_outside(element: Element, in_main: bool) -> bool:
+    name = element.name
     if name in _OUTSIDE:
         return not (name == "header" and in_main)
-    if name in ("html", "body") or "=" not in rest:
+    if name in ("html", "body") or name in _MAIN or element.holds:
         return False
-    return any(not _NOT_ARTICLE.isdisjoint(_PARTS.findall(v.lower())) for v in _NAMES.findall(rest))
+    return _named_outside(element.rest)
+
+
+def _events(page: str) -> Iterator[tuple[str, str, Element | None, list[Element]]]:
+    """Text before a tag, the tag's name (with ``/`` if it closes), what it opens, and what it ends."""
+    stack: list[Element] = []
+    open_: Counter = Counter()
+
+    def end(names, barrier) -> list[Element]:
+        if any(open_[n] for n in names):
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k].name in names:
+                    ended = stack[k:]
+                    del stack[k:]
+                    open_.subtract(e.name for e in ended)
+                    return ended[::-1]
+                if stack[k].name in barrier:
+                    break
+        return []
+
+    at = 0
+    for token in _TOKEN.finditer(page):
+        between = page[at : token.start()]
+        at = token.end()
+        if open_["head"] and stack[-1].name == "head" and between and not between.isspace():
+            yield "", "", None, end(("head",), ())
+        name = token["name"]
+        if not name:
+            if between:
+                yield between, "", None, []
+            continue
+        name, rest = name.lower(), token["rest"]
+        if token["close"]:
+            if name in _TABLE_PARTS:
+                barrier = ("table",)
+            elif name in _BLOCKS:
+                barrier = _LISTS if name == "li" else _CELLS
+            else:
+                barrier = () if name in ("html", "body", "head") else _BLOCKS
+            yield between, "/" + name, None, end((name,), barrier)
+            continue
+        ended = end(("head",), ()) if open_["head"] and name not in _HEAD else []
+        if name in _ENDS_P and open_["p"]:
+            ended += end(("p",), _CELLS)
+        if name in _ENDS:
+            ended += end(*_ENDS[name])
+        element = Element(name, rest)
+        if name not in _VOID and not rest.endswith("/"):
+            if name in _MAIN and not _named_outside(rest):
+                for e in reversed(stack):
+                    if e.holds:
+                        break
+                    e.holds = True
+            stack.append(element)
+            open_[name] += 1
+        else:
+            element = None
+        yield between, name, element, ended
+    rest = page[at:]
+    if open_["head"] and stack[-1].name == "head" and rest and not rest.isspace():
+        yield "", "", None, end(("head",), ())
+    yield rest, "", None, []
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -106,8 +211,9 @@ def blocks_of(page: str) -> list[Block]:
     found: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    link_depth, heading, main, mains, main_stack = 0, False, 0, 0, []
-    outside, depth = "", 0  # the element that is left out, and how many of its name are open
+    link_depth, heading, main, mains = 0, False, 0, 0
+    main_stack: list[tuple[Element, int]] = []
+    outside = 0  # how many open elements are left out
 
     def end_block() -> None:
         text = " ".join("".join(parts).split())
@@ -123,22 +229,21 @@ def blocks_of(page: str) -> list[Block]:
             if link_depth:
                 linked.append(text)
 
-    at, breaks = 0, 0
-    for token in _TOKEN.finditer(page):
-        between = page[at : token.start()]
-        at = token.end()
+    breaks = 0
+    # What an element holds is known only after it, so all events come first.
+    for between, name, element, ended in list(_events(page)):
         if between:
             add(between)
             breaks = breaks if between.isspace() else 0
-        name = token["name"]
+        for e in ended:
+            outside -= e.outside
+            if main_stack and main_stack[-1][0] is e:
+                main_stack.pop()
         if not name:
             continue
-        name, closing = name.lower(), bool(token["close"])
-        if outside:
-            if name == outside:
-                depth += -1 if closing else 1
-                if not depth:
-                    outside = ""
+        closing = name[0] == "/"
+        name = name[closing:]
+        if outside or (closing and ended and ended[-1].outside):
             continue
         if name == "br":
             breaks += 1
@@ -151,25 +256,22 @@ def blocks_of(page: str) -> list[Block]:
         if name in _BLOCKS:
             end_block()
             heading, link_depth = name in _HEADINGS and not closing, 0
+        main = main_stack[-1][1] if main_stack else 0
         if closing:
-            if name in _MAIN and main_stack:
-                main_stack.pop()
-                main = main_stack[-1] if main_stack else 0
-            elif name == "a":
+            if name == "a":
                 link_depth = max(0, link_depth - 1)
             continue
-        if name in _VOID or token["rest"].endswith("/"):
+        if not element:
             continue
-        if _is_outside(name, token["rest"], bool(main)):
+        if _is_outside(element, bool(main)):
             end_block()
-            outside, depth = name, 1
+            element.outside, outside = True, 1
         elif name in _MAIN:
             mains += 1
             main = mains
-            main_stack.append(main)
+            main_stack.append((element, main))
         elif name == "a":
             link_depth += 1
-    add(page[at:])
     end_block()
     return found
 
@@ -190,6 +292,12 @@ def first_pass(block: Block) -> bool | None:
 
 def labels(blocks: list[Block]) -> list[bool]:
     decided = [first_pass(b) for b in blocks]
+    if True not in decided:
+        # No stop words that are known here: length decides.
+        decided = [
+            True if d is None and not b.heading and len(b.text) >= GOOD_CHARS else d
+            for b, d in zip(blocks, decided, strict=True)
+        ]
     n = len(blocks)
 
     def nearest(order) -> list[tuple[int, bool]]:

@@ -570,3 +570,28 @@ def test_blocks_of_a_page(spark):
     found = values(html_extract.extract(rows), "page_id", "main_text")
     assert found == [(1, ""), (2, ""), (3, ""), (4, ""), (5, "Only\n\na b\n\nc")]
     assert html_extract.extract(rows.limit(0)).count() == 0
+
+
+def test_layout_names_and_omitted_end_tags_lose_no_page():
+    long = "This is the first paragraph of the article and it has enough of the words that are common."
+    text = html_extract.main_text
+    for opened in ("<div class='content has-sidebar'>", "<main class='no-sidebar'>", "<article class='post comments-open'>",
+                   "<article class=comments>", "<div class='widget'><main>", "<div id=sidebar><div><article class=post>"):
+        assert text(f"<body>{opened}<p>{long}</p>") == long, opened
+    for left_out in ("<div class='cookie-notice'>", "<div id=comments>", "<section class='x comments'><article class=comment>",
+                     "<ul class='nav'><li>", "<div role=navigation>"):
+        assert text(f"<body><p>{long}</p>{left_out}{long}") == long, left_out
+    assert text(f"<html><head><title>T</title><meta charset=x><body><p>{long}</p>") == long
+    assert text(f"<html><head><title>T</title><p>{long}</p>") == long
+    assert text(f"<head><title>T</title>{long}") == long
+    assert text(f"<body><p class=notice>{long} x<p>{long}<p>{long}") == f"{long}\n\n{long}"
+    assert text(f"<body><p class=notice>{long} x<div>{long}</div>") == long
+    assert text(f"<body><div><p class=notice>{long} x</div><p>{long}") == long
+    assert text(f"<body><ul><li class=share>{long} x<li>{long}<li class=share><ul><li>{long}</ul>{long}<li>{long}</ul>") == f"{long}\n\n{long}"
+    assert text(f"<table><tr><td class=ad>{long} x<td>{long}<tr class=promo><td>{long}<tr><td>{long}</table>") == f"{long}\n\n{long}"
+
+
+def test_pages_in_other_languages_go_by_length():
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan, heille annettu järki ja omatunto."
+    menu = "<div><a href=x>Etusivu ja muut tärkeät sivut, joita kannattaa lukea ennen kuin jatkaa eteenpäin tästä</a></div>"
+    assert html_extract.main_text(f"<body>{menu}<h1>Otsikko</h1><p>{finnish}</p><p>{finnish}</p>{menu}") == f"Otsikko\n\n{finnish}\n\n{finnish}"
