@@ -106,6 +106,8 @@ _TOKEN = re.compile(
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _PARTS = re.compile("[a-z]+")
+# From the first letter of a word to its last.
+_LETTERS = re.compile(r"[^\W\d_](?:\S*[^\W\d_])?")
 
 
 @dataclass
@@ -277,8 +279,8 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def stop_share(text: str) -> float:
-    words = text.lower().split()
-    return sum(w.strip(".,;:!?()\"'«»%$#&*|") in STOP_WORDS for w in words) / max(1, len(words))
+    """The share of words that are stop words, whatever other than letters stands around them."""
+    return sum(w in STOP_WORDS for w in _LETTERS.findall(text.lower())) / max(1, len(text.split()))
 
 
 def first_pass(block: Block) -> bool | None:

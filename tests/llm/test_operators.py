@@ -595,3 +595,10 @@ def test_pages_in_other_languages_go_by_length():
     finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan, heille annettu järki ja omatunto."
     menu = "<div><a href=x>Etusivu ja muut tärkeät sivut, joita kannattaa lukea ennen kuin jatkaa eteenpäin tästä</a></div>"
     assert html_extract.main_text(f"<body>{menu}<h1>Otsikko</h1><p>{finnish}</p><p>{finnish}</p>{menu}") == f"Otsikko\n\n{finnish}\n\n{finnish}"
+
+
+def test_stop_words_count_whatever_stands_around_them():
+    words = "the of and to is in".split()
+    for before, after in (("", ""), ("[", "]"), ("“", "”…"), ("¿", "~~~"), ("1.", "—2"), ("_", "_")):
+        assert html_extract.stop_share(" ".join(f"{before}{w}{after}" for w in words) + " 12 --") == 6 / 8
+    assert html_extract.stop_share("it's mother-in-law l'été") == 0 and html_extract.stop_share("") == 0
