@@ -13,10 +13,13 @@ from tenure.llm import (
     decontamination,
     html_extract,
     mixing,
+    neural_lm,
+    prefix_trie,
     quality_classifier,
     quality_rules,
     secret_scan,
     simhash,
+    target_resampling,
     token_counts,
     url_filter,
 )
@@ -117,6 +120,26 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = target_resampling.importance_resample(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_neural_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neural_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turns_of(table(spark, sf_dir, "conversations"))
+    trie = prefix_trie.prefix_trie(prefix_trie.rebuilt(turns))
+    found = trie.nodes.join(prefix_trie.end_digests(trie.ends), ["conv_id", "depth"], "left")
+    return found.select(
+        *trie.nodes.columns, F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("ends_sha256")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -129,4 +152,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_url_filter": op9_url_filter,
         "op10_html_extract": op10_html_extract,
+        "op11_target_resampling": op11_target_resampling,
+        "op12_neural_lm": op12_neural_lm,
+        "op13_prefix_trie": op13_prefix_trie,
     }

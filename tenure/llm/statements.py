@@ -104,10 +104,107 @@ SELECT page_id, host, path, canonical, rule, CASE
 FROM fit
 """
 
+# The 256 steps of the reflected polynomial, and a checksum over a list of bytes.
+_CRC_TABLE = """crc_table AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+)"""
+
+
+def _crc32(text: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8 bytes, beside ``crc_table``."""
+    digits = f"hex(encode({text}))"
+    code = (
+        f"list_transform(range(length({digits}) // 2),"
+        f" lambda k: ('0x' || substr({digits}, 2 * k + 1, 2))::BIGINT)"
+    )
+    return (
+        f"xor(list_reduce(list_prepend(4294967295::BIGINT, {code}),"
+        " lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295)"
+    )
+
+
+_RESAMPLE = rf"""
+WITH {_CRC_TABLE}, texts AS (
+  SELECT true AS doc, row_number() OVER () AS r, doc_id, text FROM documents
+  UNION ALL SELECT false, 0, null, text FROM benchmark
+), words AS (
+  SELECT doc, r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts
+), flat AS (SELECT doc, r, unnest(w) AS word FROM words),
+bucketed AS (
+  SELECT word, {_crc32('word')} % 10000 AS b FROM (SELECT DISTINCT word FROM flat), crc_table
+), counted AS (
+  SELECT b, count(*) FILTER (doc) AS s, count(*) FILTER (NOT doc) AS t
+  FROM flat JOIN bucketed USING (word) GROUP BY b
+), total AS (SELECT coalesce(sum(s), 0)::DOUBLE AS s_all, coalesce(sum(t), 0)::DOUBLE AS t_all FROM counted),
+gained AS (
+  SELECT b, floor(1000 * ln((t + 1.0::DOUBLE) * (s_all + 10000) / ((s + 1.0::DOUBLE) * (t_all + 10000))))
+    ::BIGINT AS gain FROM counted, total
+), weighed AS (
+  SELECT r, sum(gain)::BIGINT AS weight
+  FROM flat JOIN bucketed USING (word) JOIN gained USING (b) WHERE doc GROUP BY r
+), scored AS (
+  SELECT r, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((
+      ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE)
+      / 4294967296)))::BIGINT AS score
+  FROM words LEFT JOIN weighed USING (r) WHERE doc
+), able AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, r) AS place,
+    count(*) OVER () AS n
+  FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank
+FROM scored LEFT JOIN able USING (r)
+"""
+
+_TRIE = rf"""
+WITH {_CRC_TABLE}, turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS named,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(named)) - 1 AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT c, c - c % 100 AS base, {_crc32('c::VARCHAR')} % 6 AS h
+  FROM (SELECT DISTINCT c FROM turns), crc_table
+), rebuilt AS (
+  SELECT convs.c, 0 AS part, p, md5(named) AS named, length(text) AS chars
+  FROM convs JOIN turns ON turns.c = base AND p < h
+  UNION ALL
+  SELECT convs.c, 1, p, md5(named), length(text) FROM convs JOIN turns ON turns.c = convs.c AND p >= h
+), paths AS (
+  SELECT c, count(*) OVER w AS d, string_agg(named, '') OVER w AS path, chars
+  FROM rebuilt WINDOW w AS (PARTITION BY c ORDER BY part, p)
+  UNION ALL SELECT c, 0, '', 0 FROM convs
+), nodes AS (
+  SELECT path, min(c) AS conv_id, any_value(d) AS depth, count(*) AS n_convs,
+    any_value(chars) AS chars FROM paths GROUP BY path
+), ends AS (
+  SELECT path, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS digest
+  FROM (SELECT c, arg_max(path, d) AS path FROM paths GROUP BY c) GROUP BY path
+), up AS (
+  SELECT a.path, a.conv_id AS parent_conv_id, b.path AS child
+  FROM nodes a JOIN nodes b ON b.depth = a.depth + 1 AND a.path = left(b.path, -32)
+), below AS (
+  SELECT a.path, (count(*) FILTER (b.path NOT IN (SELECT path FROM up)))::BIGINT AS n_leaves,
+    sum((b.n_convs - 1) * b.chars)::BIGINT AS saved_tokens
+  FROM nodes a JOIN nodes b ON starts_with(b.path, a.path) GROUP BY a.path
+)
+SELECT conv_id, depth,
+  (SELECT parent_conv_id FROM up WHERE up.child = n.path) AS parent_conv_id, n_convs,
+  (SELECT count(*) FROM up WHERE up.path = n.path) AS n_children, n_leaves, saved_tokens,
+  coalesce(digest, sha256('')) AS ends_sha256
+FROM nodes n JOIN below USING (path) LEFT JOIN ends USING (path)
+"""
+
 
 def oracle_statements() -> dict[str, str]:
     return {
         "op5_chat_format": _FORMAT,
         "op6_quality_rules": _RULES,
         "op9_url_filter": _URLS,
+        "op11_target_resampling": _RESAMPLE,
+        "op13_prefix_trie": _TRIE,
     }
