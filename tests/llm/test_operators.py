@@ -44,7 +44,7 @@ def values(frame, *names):
 @pytest.fixture(scope="module")
 def con(sf_dir):
     con = duckdb.connect()
-    for name in ("documents", "pages", "conversations"):
+    for name in ("documents", "pages", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
     return con
 
