@@ -23,7 +23,7 @@ from tenure.llm import (
     token_counts,
     url_filter,
 )
-from tenure.llm.columns import table
+from tenure.llm.columns import saved, table
 
 #: The control-string conversation that the formatting query adds.
 PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -132,7 +132,7 @@ def op12_neural_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = prefix_trie.turns_of(table(spark, sf_dir, "conversations"))
+    turns = saved(prefix_trie.turns_of(table(spark, sf_dir, "conversations")))
     trie = prefix_trie.prefix_trie(prefix_trie.rebuilt(turns))
     found = trie.nodes.join(prefix_trie.end_digests(trie.ends), ["conv_id", "depth"], "left")
     return found.select(
