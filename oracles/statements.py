@@ -513,6 +513,11 @@ STATEMENTS = {
     "deletion_results": "SELECT user_id, email, email IN (SELECT username FROM"
     " external_directory) AS has_external_account FROM run"
     " WHERE user_id NOT IN (SELECT user_id FROM payers_after)",
+    "cleanup_outcomes": "SELECT user_id, email, CASE WHEN pays THEN 'protected' ELSE 'delete'"
+    " END AS decision, NOT pays AND email IN (SELECT username FROM external_directory)"
+    " AS has_external_account, NOT pays OR email IN (SELECT email FROM deleted_account_history)"
+    " AS recorded, pays AS still_a_user FROM (SELECT *,"
+    " user_id IN (SELECT user_id FROM payers_after) AS pays FROM run)",
     "purge_users": " UNION ALL ".join(
         f"SELECT '{table}' AS table_name, count(*) FILTER (gone) AS removed,"
         f" count(*) FILTER (NOT gone) AS remaining FROM (SELECT {test} AS gone FROM {table})"

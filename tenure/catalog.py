@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tenure.functions import clock
 from tenure.functions.text import as_json_rows
+from tenure.jobs.cleanup import CleanupJob
 from tenure.model import Tables, struct
 from tenure.operators import quality
 from tenure.operators.entitlement import entitled_rows
@@ -93,17 +94,44 @@ SIGNUP_VIEW = (
 )
 
 
-def _to_delete(t: Tables) -> DataFrame:
-    return trials.to_delete(_deletion_run(t))
+def _cleanup(t: Tables) -> CleanupJob:
+    """A cleanup of its own; the second check comes after the billing events have come in."""
+    after = billing.subscription_upsert(t, t.webhook_events, AS_OF)
+    spark = t.users.sparkSession
+    recheck = t.replace(stripe_subscriptions=after)
+    return CleanupJob(spark, t, AS_OF, PROTECTED_IDS, shared_dir(spark, "cleanup"), recheck)
 
 
 def _deletion_run(t: Tables) -> DataFrame:
-    """The run, checked once more after the billing events have come in."""
+    """The run without a job around it."""
     after = billing.subscription_upsert(t, t.webhook_events, AS_OF)
     recheck = t.replace(stripe_subscriptions=after)
     return trials.deletion_run(t, AS_OF, PROTECTED_IDS, recheck=recheck)
 
 
+def _cleanup_outcomes(t: Tables) -> DataFrame:
+    """The end state of a whole cleanup, per user of its list."""
+    job = _cleanup(t)
+    after = job.run()
+    left = after.users.select("user_id", F.lit(True).alias("_left"))
+    on_record = after.deleted_account_history.select("email", F.lit(True).alias("_recorded"))
+    external = job.results().select("user_id", "has_external_account")
+    return (
+        job.listed()
+        .join(external, "user_id", "left")
+        .join(left, "user_id", "left")
+        .join(on_record, "email", "left")
+        .select(
+            "user_id",
+            "email",
+            "decision",
+            F.coalesce("has_external_account", F.lit(False)).alias("has_external_account"),
+            C("_recorded").isNotNull().alias("recorded"),
+            C("_left").isNotNull().alias("still_a_user"),
+        )
+    )
+
+
 def _trial_jobs() -> dict[str, Callable[[Tables], DataFrame]]:
     jobs = {
         "convert_paying_trials": lambda t: trials.convert_paying_trials(t, AS_OF),
@@ -156,14 +184,13 @@ BATCH: dict[str, Callable[[Tables], DataFrame]] = {
     # deletion
     "deletion_candidates": lambda t: trials.deletion_candidates(t, AS_OF, PROTECTED_IDS),
     "deletion_run": lambda t: _deletion_run(t),
-    "deletion_run_report": lambda t: trials.deletion_run_report(_deletion_run(t)),
+    "deletion_run_report": lambda t: trials.deletion_run_report(_cleanup(t).listed()),
     "deletion_results": lambda t: trials.deletion_results(
-        _deletion_run(t), t.external_directory
+        _cleanup(t).listed(), t.external_directory
     ),
-    "purge_users": lambda t: trials.purge_report(t, _to_delete(t)),
-    "deletion_history_record": lambda t: accounts.deletion_history_record(
-        t, _to_delete(t), AS_OF
-    ).select(*_HISTORY_VIEW),
+    "purge_users": lambda t: trials.purge_report(t, _cleanup(t).doomed()),
+    "deletion_history_record": lambda t: _cleanup(t).next_history().select(*_HISTORY_VIEW),
+    "cleanup_outcomes": lambda t: _cleanup_outcomes(t),
     "deletion_history_listing": lambda t: accounts.deletion_history_listing(t).select(
         "original_user_id", "email", "account_deleted_at", "deletion_reason", "ever_subscribed"
     ),

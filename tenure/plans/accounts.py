@@ -311,7 +311,6 @@ def deletion_history_record(t: Tables, requests: DataFrame, as_of: clock.Instant
 
     An email already in the history only gets a new date and reason.
     """
-    now = clock.instant(as_of)
     reason = C("reason") if "reason" in requests.columns else F.lit(DEFAULT_DELETION_REASON)
     trials = t.user_trials.select("user_id", "trial_start_date", "trial_end_date", "trial_status")
     bills = billing_where_live(t).select("user_id", "subscription_status")
@@ -320,9 +319,16 @@ def deletion_history_record(t: Tables, requests: DataFrame, as_of: clock.Instant
         .join(trials, "user_id", "left")
         .join(bills, "user_id", "left")
     )
+    return record_deletions(t.deleted_account_history, source, as_of)
+
+
+def record_deletions(history: DataFrame, source: DataFrame, as_of: clock.Instant) -> DataFrame:
+    """The next history after deletions of (user_id, email, reason) whose trial and
+    last subscription_status are known."""
+    now = clock.instant(as_of)
     status = C("new.subscription_status")
     return upsert(
-        t.deleted_account_history,
+        history,
         source,
         "email",
         update={"account_deleted_at": now, "deletion_reason": C("new.reason")},

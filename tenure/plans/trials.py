@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenure.functions import clock
-from tenure.model import GRACE_DAYS, Tables
+from tenure.model import GRACE_DAYS, PAYING_STATUSES, Tables
 from tenure.operators.keyed import apply_update
-from tenure.plans.access import Protected, flag_protected, paying_users
+from tenure.plans.access import Protected, billing_where_live, flag_protected, paying_users
 
 C = F.col
 
@@ -201,6 +201,35 @@ def deletion_run(
     return listed.select("user_id", "email", "trial_end_date", decision.alias("decision"))
 
 
+def deletion_list(
+    t: Tables,
+    as_of: clock.Instant,
+    protected: Protected,
+    grace_days: int = GRACE_DAYS,
+    recheck: Tables | None = None,
+) -> DataFrame:
+    """``deletion_run`` with what the history records of a user: the trial, and the last
+    subscription, from the same join that tells who pays."""
+    now = clock.instant(as_of)
+    billed = billing_where_live(t).groupBy("user_id").agg(
+        F.bool_or(C("subscription_status").isin(*PAYING_STATUSES)).alias("_pays"),
+        F.max("subscription_status").alias("subscription_status"),
+    )
+    joined = t.user_trials.join(billed, "user_id", "left")
+    flagged = joined.withColumn("_paying", F.coalesce("_pays", F.lit(False))).drop("_pays")
+    synced = transition(flag_protected(flagged, protected), now, *_check_rules(now, grace_days))
+    listed = synced.filter(_deletable(now, grace_days) & ~_paying()).select(
+        "user_id", "trial_start_date", "trial_end_date", "trial_status", "subscription_status"
+    )
+    listed = listed.join(t.users.select("user_id", "email"), "user_id")
+    decision = F.lit("delete")
+    if recheck is not None:
+        payers = paying_users(recheck).withColumn("_pays_now", F.lit(True))
+        listed = listed.join(payers, "user_id", "left")
+        decision = F.when(C("_pays_now"), F.lit("protected")).otherwise(decision)
+    return listed.withColumn("decision", decision).drop("_pays_now")
+
+
 def to_delete(run: DataFrame) -> DataFrame:
     """The users whom the second check leaves for deletion."""
     return run.filter(C("decision") == "delete").select("user_id", "email")
@@ -252,37 +281,80 @@ def purge_users(t: Tables, user_ids: DataFrame) -> Tables:
     return t.replace(**kept)
 
 
-def purge_report(t: Tables, user_ids: DataFrame) -> DataFrame:
-    """Rows removed from and remaining in each table after a purge.
+_OWNER_COLUMN = {**_OWNED_BY_USER, **dict.fromkeys(_OWNED_BY_CUSTOMER, "customer_id")}
+PURGED_TABLES = tuple(_OWNER_COLUMN)
+
+
+def _owner(name: str) -> Column:
+    """Who owns a row, user or customer, as one kind of key."""
+    kind = "customer" if name in _OWNED_BY_CUSTOMER else "user"
+    return F.concat(F.lit(f"{kind}:"), C(_OWNER_COLUMN[name]).cast("string"))
+
+
+def owner_keys(t: Tables, user_ids: DataFrame) -> DataFrame:
+    """``owner``: the given users and all their customers, also deleted ones."""
+    gone = user_ids.select("user_id").distinct()
+    customers = t.stripe_customers.select("user_id", "customer_id")
+    both = gone.join(customers, "user_id", "left")
+    owners = F.array(_owner("users"), _owner("stripe_orders"))
+    return both.select(F.explode(owners).alias("owner")).filter("owner IS NOT NULL").distinct()
+
+
+def without_owners(t: Tables, name: str, owners: DataFrame) -> DataFrame:
+    """A table without the rows of the given ``owner_keys``; rows without an owner stay."""
+    table = getattr(t, name).withColumn("owner", _owner(name))
+    return table.join(owners, "owner", "left_anti").drop("owner")
+
+
+def purge_counts(t: Tables, owners: DataFrame) -> DataFrame:
+    """Rows removed from and remaining in each table, given the ``owner_keys`` that go.
 
-    Rows are counted per owner before the join, so an owner with very many
-    rows weighs as much as any other; rows without an owner never enter it.
-    The list of users is joined once for all tables.
+    One pass: the rows of all tables are counted per owner before the shuffle, so an owner
+    with very many rows weighs as much as any other, and meet the list once.
     """
-    owners = t.stripe_customers.select("customer_id", "user_id")
-    one = F.lit(1).cast("long").alias("n")
-    owned = [
-        getattr(t, name).select(F.lit(name).alias("table_name"), C(key).alias("user_id"), one)
-        for name, key in _OWNED_BY_USER.items()
-    ]
-    for name in _OWNED_BY_CUSTOMER:
-        per_customer = getattr(t, name).groupBy("customer_id").agg(F.count(F.lit(1)).alias("n"))
-        owned.append(
-            per_customer.join(owners, "customer_id").select(
-                F.lit(name).alias("table_name"), "user_id", "n"
+    rows = reduce(
+        DataFrame.unionByName,
+        [
+            getattr(t, name).select(_owner(name).alias("owner"), F.lit(i).alias("place"))
+            for i, name in enumerate(PURGED_TABLES)
+        ],
+    )
+    places = range(len(PURGED_TABLES))
+    per_owner = rows.groupBy("owner").agg(
+        *(F.count_if(C("place") == i).alias(f"n{i}") for i in places)
+    )
+    judged = per_owner.join(owners.withColumn("_gone", F.lit(True)), "owner", "left")
+    none = F.lit(0).cast("long")
+    sums = judged.agg(
+        *(F.coalesce(F.sum(f"n{i}"), none).alias(f"n{i}") for i in places),
+        *(F.coalesce(F.sum(F.when(C("_gone"), C(f"n{i}"))), none).alias(f"g{i}") for i in places),
+    )
+    told = F.array(
+        *(
+            F.struct(
+                F.lit(name).alias("table_name"),
+                C(f"g{i}").alias("removed"),
+                (C(f"n{i}") - C(f"g{i}")).alias("remaining"),
             )
+            for i, name in enumerate(PURGED_TABLES)
         )
-    gone = user_ids.select("user_id").distinct()
-    removed = reduce(DataFrame.unionByName, owned).join(gone, "user_id")
-    none = F.lit(0).cast("long")
-    held = [
-        getattr(t, name).select(F.lit(name).alias("table_name"), none.alias("removed"), one)
-        for name in (*_OWNED_BY_USER, *_OWNED_BY_CUSTOMER)
-    ]
-    taken = removed.select("table_name", C("n").alias("removed"), none.alias("n"))
-    counted = reduce(DataFrame.unionByName, [taken, *held])
-    return counted.groupBy("table_name").agg(
-        F.sum("removed").alias("removed"), (F.sum("n") - F.sum("removed")).alias("remaining")
+    )
+    return sums.select(F.inline(told))
+
+
+def purge_report(t: Tables, user_ids: DataFrame) -> DataFrame:
+    """Rows removed from and remaining in each table after a purge of the given users."""
+    return purge_counts(t, owner_keys(t, user_ids))
+
+
+def timed_steps(grace_days: int = GRACE_DAYS) -> Column:
+    """A running trial's status changes to come, each with its time."""
+    return F.array(
+        F.struct(F.lit("expired").alias("trial_status"), C("trial_end_date").alias("due_at")),
+        F.struct(
+            F.lit("scheduled_for_deletion").alias("trial_status"),
+            (C("trial_end_date") + clock.days(grace_days)).alias("due_at"),
+        ),
     )
 
 
@@ -302,11 +374,5 @@ def timed_transitions(
         .select("user_id", "trial_end_date")
         .join(paying_users(t), "user_id", "left_anti")
     )
-    steps = F.array(
-        F.struct(F.lit("expired").alias("trial_status"), C("trial_end_date").alias("due_at")),
-        F.struct(
-            F.lit("scheduled_for_deletion").alias("trial_status"),
-            (C("trial_end_date") + clock.days(grace_days)).alias("due_at"),
-        ),
-    )
+    steps = timed_steps(grace_days)
     return running.select("user_id", F.inline(steps)).filter(C("due_at") < now)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tenure.model import Tables, struct, with_user_ids
 from tenure.operators.keyed import extreme_per_key
 from tenure.plans import accounts
-from tenure.sources.tables import ChangeLog
+from tenure.sources.tables import MERGE_EVERY, ChangeLog
 from tenure.streaming.run import drain
 
 _LOG = struct(
@@ -16,30 +16,34 @@ _LOG = struct(
 _ORDER = ("created_at", "event_id")
 
 
+def _first_signups(rows: DataFrame) -> DataFrame:
+    return extreme_per_key(rows, ["user_id"], _ORDER, newest=False)
+
+
 class SignupStream:
     """The accounts that a stream of signups has created.
 
     The first signup of a user counts, so replays and repeats change nothing.
     """
 
-    def __init__(self, spark: SparkSession, t: Tables, root: str):
+    def __init__(
+        self, spark: SparkSession, t: Tables, root: str, merge_every: int = MERGE_EVERY
+    ):
         self.t, self.root = t, root
         kind = t.user_profiles.schema["id"].dataType
-        self._signups = ChangeLog(spark, f"{root}/signups", with_user_ids(_LOG, kind))
+        self._signups = ChangeLog(
+            spark, f"{root}/signups", with_user_ids(_LOG, kind), _first_signups, merge_every
+        )
 
     def _take(self, batch: DataFrame, batch_id: int) -> None:
-        first = extreme_per_key(
-            batch.select(*_LOG.names), ["user_id"], _ORDER, newest=False
-        )
-        self._signups.write(first, batch_id)
+        self._signups.write(_first_signups(batch.select(*_LOG.names)), batch_id)
 
     def run(self, signups: DataFrame) -> "SignupStream":
         drain(signups, self._take, f"{self.root}/checkpoint")
         return self
 
     def signups(self) -> DataFrame:
-        log = self._signups.read().drop("batch_id")
-        return extreme_per_key(log, ["user_id"], _ORDER, newest=False)
+        return _first_signups(self._signups.read().drop("batch_id"))
 
     def provisioned(self) -> DataFrame:
         return accounts.signup_provisioning(self.t, self.signups())

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tenure.functions import clock
 from tenure.model import Tables, struct
 from tenure.plans import billing, trials
 from tenure.plans.access import Protected
-from tenure.sources.tables import ChangeLog
+from tenure.sources.tables import MERGE_EVERY, ChangeLog
 from tenure.streaming.run import drain, once_per_event
 
 SUBSCRIPTION_LOG = struct(
@@ -48,11 +49,24 @@ _ORDER_LOG = struct(
 class WebhookStream:
     """The state that a stream of billing events has reached."""
 
-    def __init__(self, spark: SparkSession, t: Tables, as_of: clock.Instant, root: str):
+    def __init__(
+        self,
+        spark: SparkSession,
+        t: Tables,
+        as_of: clock.Instant,
+        root: str,
+        merge_every: int = MERGE_EVERY,
+    ):
         self.t, self.as_of, self.root = t, as_of, root
-        self._subscriptions = ChangeLog(spark, f"{root}/subscriptions", SUBSCRIPTION_LOG)
-        self._payers = ChangeLog(spark, f"{root}/payers", struct(customer_id="string"))
-        self._orders = ChangeLog(spark, f"{root}/orders", _ORDER_LOG)
+
+        def log(name: str, schema: T.StructType, reduce) -> ChangeLog:
+            return ChangeLog(
+                spark, f"{root}/{name}", schema, lambda df: reduce(df.drop("batch_id")), merge_every
+            )
+
+        self._subscriptions = log("subscriptions", SUBSCRIPTION_LOG, billing.newest_candidates)
+        self._payers = log("payers", struct(customer_id="string"), DataFrame.distinct)
+        self._orders = log("orders", _ORDER_LOG, billing.first_orders)
 
     def _take(self, batch: DataFrame, batch_id: int) -> None:
         batch.persist()

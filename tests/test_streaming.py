@@ -11,10 +11,12 @@ from tenure.model import SCHEMAS, struct, with_user_ids
 from tenure.plans import access, accounts, billing, trials
 from tenure.session import shared_dir
 from tenure.sources.derived import AS_OF, PROTECTED_IDS, derived_stream, derived_tables
-from tenure.sources.tables import read_stream
+from tenure.operators.keyed import extreme_per_key
+from tenure.sources.manifest import Record
+from tenure.sources.tables import ChangeLog, read_stream
 from tenure.streaming.access import AccessFeed
 from tenure.streaming.signups import SignupStream
-from tenure.streaming.timers import run_trial_timers
+from tenure.streaming.timers import TrialTimers, run_trial_timers
 from tenure.streaming.webhooks import WebhookStream
 
 
@@ -218,3 +220,161 @@ def test_no_events_leave_the_tables_as_they_are(spark, t):
     run = WebhookStream(spark, t, AS_OF, shared_dir(spark, "test"))
     assert run.subscriptions().count() == t.stripe_subscriptions.count()
     assert run.new_orders().count() == 0
+
+
+# Timers by due hour -------------------------------------------------------------
+
+
+class Timers:
+    """Trial rows and ticks given step by step."""
+
+    def __init__(self, spark, tmp_path, **tables):
+        from hand import tables as hand_tables
+
+        self.spark, self.files = spark, str(tmp_path)
+        self.t = hand_tables(spark, **tables)
+        self.root = shared_dir(spark, "timers")
+
+    def step(self, at, *rows, t=None):
+        from hand import frame
+
+        given = frame(self.spark, "user_trials", rows).coalesce(1)
+        given.write.mode("append").parquet(f"{self.files}/trials")
+        tick = self.spark.createDataFrame([(at,)], struct(at="ts"))
+        tick.coalesce(1).write.mode("append").parquet(f"{self.files}/ticks")
+        self.run = TrialTimers(self.spark, t or self.t, [], self.root, merge_every=2)
+        self.run.run(
+            read_stream(self.spark, f"{self.files}/trials", SCHEMAS["user_trials"]),
+            read_stream(self.spark, f"{self.files}/ticks", struct(at="ts")),
+        )
+        return sorted((r.user_id, r.trial_status) for r in self.run.due().collect())
+
+
+def test_a_trial_put_off_is_due_at_its_new_end_alone(spark, tmp_path):
+    from hand import AS_OF as NOW
+    from hand import DAY, trial
+
+    timers = Timers(spark, tmp_path)
+    assert timers.step(NOW, trial(1, end=NOW + DAY), trial(2, end=NOW + DAY)) == []
+    extended = trial(1, end=NOW + 5 * DAY, updated_at=NOW)
+    converted = trial(3, "converted_to_paid", end=NOW + DAY, updated_at=NOW)
+    found = timers.step(NOW + 2 * DAY, extended, trial(3, end=NOW + DAY), converted)
+    assert found == [(2, "expired")]
+    assert timers.step(NOW + 5 * DAY)[1:] == [(2, "scheduled_for_deletion")]
+    found = timers.step(NOW + 5 * DAY + DAY / 2)
+    assert [x for x in found if x[0] == 1] == [(1, "expired")]
+    # A row that comes long after its end is due at the next tick.
+    found = timers.step(NOW + 9 * DAY, trial(4, end=NOW - 90 * DAY))
+    assert [s for u, s in found if u == 4] == ["expired", "scheduled_for_deletion"]
+    assert not [x for x in found if x[0] == 3]
+
+
+def test_who_pays_at_the_time_is_due_once_paying_ends(spark, tmp_path):
+    from hand import AS_OF as NOW
+    from hand import DAY, customer, subscription, tables, trial
+
+    billed = {"stripe_customers": [customer(1)], "stripe_subscriptions": [subscription(1)]}
+    timers = Timers(spark, tmp_path, **billed)
+    assert timers.step(NOW + DAY, trial(1, end=NOW)) == []
+    assert timers.step(NOW + 60 * DAY) == []
+    assert timers.step(NOW + 61 * DAY, t=tables(spark, stripe_customers=[customer(1)])) == [
+        (1, "expired"),
+        (1, "scheduled_for_deletion"),
+    ]
+
+
+def test_a_tick_reads_only_the_hours_since_the_last(spark, tmp_path):
+    """Whether the index holds ten days or a hundred, the tick opens as many files."""
+    from hand import AS_OF as NOW
+    from hand import DAY, trial
+
+    opened = []
+    for days in (10, 100):
+        timers = Timers(spark, tmp_path / str(days))
+        timers.step(NOW, *(trial(i, end=NOW + i * DAY) for i in range(-days // 2, days // 2)))
+        opened.append(len(timers.run.index.read(NOW, NOW + 2 * DAY).inputFiles()))
+        assert len(timers.run.index.read(None, NOW + 1000 * DAY).inputFiles()) >= days
+    assert opened[0] == opened[1] <= 8
+
+
+def test_a_replayed_tick_changes_nothing(spark, tmp_path):
+    from hand import AS_OF as NOW
+    from hand import DAY, trial
+
+    timers = Timers(spark, tmp_path)
+    timers.step(NOW, trial(1, end=NOW + DAY))
+    found = timers.step(NOW + 2 * DAY)
+    tick = spark.createDataFrame([(NOW + 2 * DAY,)], struct(at="ts"))
+    timers.run._tick(tick, 1)
+    assert sorted((r.user_id, r.trial_status) for r in timers.run.due().collect()) == found
+    assert found == [(1, "expired")]
+
+
+# Merged logs ---------------------------------------------------------------------
+
+
+def test_merged_logs_end_alike(spark, t, shuffled):
+    """Merged after every second batch, and read by another object than the writer."""
+    root = shared_dir(spark, "test")
+    run = WebhookStream(spark, t, AS_OF, root, merge_every=2)
+    run.run(stream(spark, shuffled, "webhook_events"))
+    batch = billing.subscription_upsert(t, t.webhook_events, AS_OF)
+    other = WebhookStream(spark, t, AS_OF, root, merge_every=2)
+    expected = spark_rows(batch.select(*SUBSCRIPTION_VIEW))
+    assert spark_rows(other.subscriptions().select(*SUBSCRIPTION_VIEW)) == expected
+    orders = billing.order_inserts(t.webhook_events)
+    assert spark_rows(other.new_orders().select(*orders.columns)) == spark_rows(orders)
+    effects = billing.subscription_change_effects(
+        t, billing.subscription_changes(t.webhook_events), AS_OF
+    )
+    assert spark_rows(other.trials()) == spark_rows(effects)
+    # A replay of merged batches, with whatever rows, changes nothing.
+    for batch_id in (0, 1):
+        other._take(t.webhook_events.limit(3), batch_id)
+    assert spark_rows(other.subscriptions().select(*SUBSCRIPTION_VIEW)) == expected
+    signups = SignupStream(spark, t, shared_dir(spark, "test"), merge_every=2)
+    signups.run(stream(spark, shuffled, "signups"))
+    assert spark_rows(signups.provisioned()) == spark_rows(accounts.signup_provisioning(t, t.signups))
+
+
+def test_a_log_lists_only_what_came_since_the_merge(spark):
+    schema = struct(user_id="long", n="long")
+    log = ChangeLog(
+        spark,
+        shared_dir(spark, "log"),
+        schema,
+        lambda df: extreme_per_key(df, ["user_id"], ["n", "batch_id"]),
+        merge_every=5,
+    )
+    for i in range(23):
+        rows = spark.createDataFrame([(u, i * 10 + u) for u in range(3)], schema)
+        log.write(rows.coalesce(1), i)
+        again = ChangeLog(spark, log.root, schema)
+        folders = {f.rsplit("/", 2)[1] for f in again.read().inputFiles()}
+        assert len(folders) <= 5 + 1
+    found = extreme_per_key(log.read(), ["user_id"], ["n", "batch_id"])
+    assert sorted((r.user_id, r.n, r.batch_id) for r in found.collect()) == [
+        (u, 220 + u, 22) for u in range(3)
+    ]
+
+
+def test_a_merge_that_fails_has_changed_nothing(spark, monkeypatch):
+    schema = struct(user_id="long")
+    log = ChangeLog(spark, shared_dir(spark, "log"), schema, lambda df: df, merge_every=3)
+    one = lambda i: spark.createDataFrame([(i,)], schema)
+    log.write(one(0), 0)
+    log.write(one(1), 1)
+
+    def fail(self, **values):
+        raise OSError("stopped")
+
+    with monkeypatch.context() as m:
+        m.setattr(Record, "write", fail)
+        with pytest.raises(OSError):
+            log.write(one(2), 2)
+    again = ChangeLog(spark, log.root, schema, lambda df: df, merge_every=3)
+    assert sorted(r.user_id for r in again.read().collect()) == [0, 1, 2]
+    again.write(one(2), 2)
+    again.write(one(3), 3)
+    assert sorted(r.user_id for r in again.read().collect()) == [0, 1, 2, 3]
+    assert again._state()[1] == 2
