@@ -709,12 +709,78 @@ STATEMENTS = {
     " FROM judged_after)",
     "stream_access_updates": _ACCESS_UPDATES,
     "stream_access_feed": _ACCESS_FEED,
+    # Hours between the start and the end of the feed, the first and the last included.
+    "stream_live_access": f"SELECT user_id, has_access, access_type FROM ({_ACCESS_FEED})"
+    " WHERE user_id IN (SELECT m.user_id FROM live_customers m JOIN newest n"
+    " ON n.customer_id = m.customer_id) OR user_id IN (SELECT user_id FROM user_trials"
+    " WHERE date_trunc('hour', trial_end_date) BETWEEN TIMESTAMP '2024-01-26 00:00:00'"
+    f" AND {NOW})",
     "stream_trial_access": "SELECT user_id, has_access, access_type, days_remaining"
     " FROM typed_access",
     "stream_trial_timers": _TIMED,
 }
 
 
+
+def _offenders(renamed: dict[str, str]) -> str:
+    """The keys that break a rule, over tables of which some go by another name."""
+    parts = []
+
+    def add(rule: str, table: str, key: str, source: str) -> None:
+        parts.append(
+            f"SELECT '{rule}' AS rule, '{table}' AS table_name, cast({key} AS VARCHAR) AS key,"
+            f" count(*) AS rows FROM {source} GROUP BY {key}"
+        )
+
+    named = lambda table: renamed.get(table, table)
+    for column in _FILLED:
+        table, c = column.split(".")
+        key = "user_id" if table == "user_account_state" else "id"
+        add(f"not_null:{c}", table, key, f"{named(table)} WHERE {c} IS NULL")
+    for column, listed in _LISTED.items():
+        table, c = column.split(".")
+        key = "user_id" if table == "user_account_state" else "id"
+        add(f"values:{c}", table, key, f"{named(table)} WHERE {c} NOT IN ({listed})")
+    for column in _SINGLE:
+        table, c = column.split(".")
+        add(f"unique:{c}", table, c, f"{named(table)} WHERE {c} IS NOT NULL")
+        parts[-1] += " HAVING count(*) > 1"
+    for column, parent in _REFERRING.items():
+        table, c = column.split(".")
+        owner, key = parent.split(".")
+        add(
+            f"reference:{c}",
+            table,
+            c,
+            f"{named(table)} WHERE {c} NOT IN (SELECT {key} FROM {named(owner)})",
+        )
+    return " UNION ALL ".join(parts)
+
+
+SHARED["fewer_users"] = "SELECT * FROM users WHERE user_id % 7 <> 0"
+SHARED["odd_trials"] = (
+    "SELECT * FROM user_trials UNION ALL"
+    " SELECT * REPLACE ('odd' AS trial_status) FROM user_trials WHERE user_id % 11 = 0"
+)
+STATEMENTS["offending_keys"] = _offenders({"users": "fewer_users", "user_trials": "odd_trials"})
+_OWN = STATEMENTS["entitled_rows"].rsplit(" UNION ALL ", 1)[0]
+STATEMENTS["entitlement_grants"] = (
+    f"SELECT viewer_id, table_name, 'row' AS scope, row_key FROM ({_OWN}) UNION ALL"
+    f" SELECT user_id, 'deleted_account_history', 'all', NULL FROM users WHERE user_id IN {SAFE}"
+)
+STATEMENTS["allowed_rows"] = (
+    "SELECT DISTINCT viewer_id, table_name, row_key, EXISTS (SELECT 1 FROM"
+    f" ({STATEMENTS['entitled_rows']}) e WHERE e.viewer_id = a.viewer_id"
+    " AND e.table_name = a.table_name AND e.row_key = a.row_key) AS allowed FROM ("
+    "SELECT user_id AS viewer_id, 'user_trials' AS table_name, cast(user_id AS VARCHAR) AS row_key"
+    " FROM users UNION ALL SELECT user_id, 'user_trials', cast(user_id + 1 AS VARCHAR) FROM users"
+    " UNION ALL SELECT original_user_id % 10, 'deleted_account_history', email"
+    " FROM deleted_account_history) a"
+)
+# Stored as buckets, of which a change touches some: the results are the same.
+STATEMENTS["profile_snapshot_upsert"] = STATEMENTS["profile_upsert"]
+STATEMENTS["snapshot_change_feed"] = STATEMENTS["change_feed"]
+
 for _name in ("state_sync_report", "health_score"):
     STATEMENTS[f"{_name}_json"] = (
         f"SELECT cast(to_json(m) AS VARCHAR) AS json FROM ({STATEMENTS[_name]}) m"

@@ -12,11 +12,12 @@ from tenure.functions.text import as_json_rows
 from tenure.jobs.cleanup import CleanupJob
 from tenure.model import Tables, struct
 from tenure.operators import quality
-from tenure.operators.entitlement import entitled_rows
+from tenure.operators.entitlement import allowed_rows, entitled_rows, entitlement_grants
 from tenure.operators.keyed import change_feed
 from tenure.plans import access, accounts, billing, trials
 from tenure.session import shared_dir
 from tenure.sources.derived import AS_OF, PROTECTED_IDS, derived_stream, derived_tables
+from tenure.sources.snapshots import BucketedSnapshot, StoredTables
 from tenure.sources.tables import read_stream
 from tenure.streaming.access import AccessFeed
 from tenure.streaming.signups import SignupStream
@@ -25,6 +26,9 @@ from tenure.streaming.webhooks import WebhookStream
 
 C = F.col
 
+#: Buckets of the snapshots that queries write for themselves.
+SNAPSHOT_BUCKETS = 16
+
 _TRIAL_VIEW = ("user_id", "trial_status", "deletion_scheduled_at", "updated_at")
 _STATE_VIEW = (
     "user_id",
@@ -132,6 +136,63 @@ def _cleanup_outcomes(t: Tables) -> DataFrame:
     )
 
 
+def _asked_rows(t: Tables) -> DataFrame:
+    """Rows that users ask for: their own trial, the next user's, and the history."""
+
+    def ask(table: str, row_key) -> DataFrame:
+        return t.users.select(
+            C("user_id").alias("viewer_id"),
+            F.lit(table).alias("table_name"),
+            row_key.cast("string").alias("row_key"),
+        )
+
+    history = t.deleted_account_history.select(
+        (C("original_user_id") % 10).alias("viewer_id"),
+        F.lit("deleted_account_history").alias("table_name"),
+        C("email").alias("row_key"),
+    )
+    own = ask("user_trials", C("user_id"))
+    return own.unionByName(ask("user_trials", C("user_id") + 1)).unionByName(history)
+
+
+def _faulty(t: Tables) -> Tables:
+    """The tables after some users were lost and some trials came twice, with an odd status."""
+    twice = t.user_trials.filter("user_id % 11 = 0").withColumn("trial_status", F.lit("odd"))
+    return t.replace(
+        users=t.users.filter("user_id % 7 <> 0"), user_trials=t.user_trials.unionByName(twice)
+    )
+
+
+def _stored(t: Tables, name: str, key: str) -> BucketedSnapshot:
+    """A table written anew as a bucketed snapshot."""
+    table = getattr(t, name)
+    spark = table.sparkSession
+    snapshot = BucketedSnapshot(spark, shared_dir(spark, name), table.schema, key, SNAPSHOT_BUCKETS)
+    snapshot.create(table)
+    return snapshot
+
+
+def _profile_snapshot(t: Tables) -> DataFrame:
+    """``profile_upsert`` on stored buckets, of which only those of the batch are rewritten."""
+    snapshot = _stored(t, "user_profiles", "id")
+    snapshot.rewrite(
+        t.profile_batch.select("user_id"),
+        lambda old: accounts.profile_upsert(t.replace(user_profiles=old), t.profile_batch, AS_OF),
+    )
+    return snapshot.read()
+
+
+def _snapshot_feed(t: Tables) -> DataFrame:
+    """``change_feed`` between two states of the stored trials."""
+    snapshot = _stored(t, "user_trials", "user_id")
+    before = snapshot.state()
+    snapshot.rewrite(
+        t.user_trials.select("user_id"),
+        lambda old: trials.sync_trials(t.replace(user_trials=old), AS_OF, PROTECTED_IDS),
+    )
+    return snapshot.changes(before)
+
+
 def _trial_jobs() -> dict[str, Callable[[Tables], DataFrame]]:
     jobs = {
         "convert_paying_trials": lambda t: trials.convert_paying_trials(t, AS_OF),
@@ -174,6 +235,10 @@ BATCH: dict[str, Callable[[Tables], DataFrame]] = {
     "entitled_rows": lambda t: entitled_rows(
         t, t.users.select(C("user_id").alias("viewer_id")), PROTECTED_IDS
     ),
+    "entitlement_grants": lambda t: entitlement_grants(
+        t, t.users.select(C("user_id").alias("viewer_id")), PROTECTED_IDS
+    ),
+    "allowed_rows": lambda t: allowed_rows(t, _asked_rows(t), PROTECTED_IDS),
     # trial state machine
     "paying_users": access.paying_users,
     **_trial_jobs(),
@@ -181,6 +246,7 @@ BATCH: dict[str, Callable[[Tables], DataFrame]] = {
     "change_feed": lambda t: change_feed(
         t.user_trials, trials.sync_trials(t, AS_OF, PROTECTED_IDS), "user_id"
     ),
+    "snapshot_change_feed": lambda t: _snapshot_feed(t),
     # deletion
     "deletion_candidates": lambda t: trials.deletion_candidates(t, AS_OF, PROTECTED_IDS),
     "deletion_run": lambda t: _deletion_run(t),
@@ -211,6 +277,7 @@ BATCH: dict[str, Callable[[Tables], DataFrame]] = {
     "profile_upsert": lambda t: accounts.profile_upsert(t, t.profile_batch, AS_OF).select(
         *_PROFILE_VIEW
     ),
+    "profile_snapshot_upsert": lambda t: _profile_snapshot(t).select(*_PROFILE_VIEW),
     "state_provisioning": lambda t: accounts.state_provisioning(
         t, t.profile_batch, AS_OF
     ).select(
@@ -275,6 +342,7 @@ BATCH: dict[str, Callable[[Tables], DataFrame]] = {
     ),
     # integrity
     "constraint_violations": quality.constraint_violations,
+    "offending_keys": lambda t: quality.offending_keys(_faulty(t)),
     "health_score": quality.health_score,
     "health_score_json": lambda t: as_json_rows(quality.health_score(t)),
 }
@@ -336,6 +404,26 @@ def stream_access_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.run(_events(spark, sf_dir), trial_rows).latest()
 
 
+#: The live feed starts so long before the as-of time, to which a single tick moves it.
+LIVE_FROM = "2024-01-26 00:00:00"
+
+
+def stream_live_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who has access by the as-of time, of those whom an event or a trial's end has touched."""
+    t = derived_tables(spark, sf_dir)
+    root = shared_dir(spark, "live-access")
+    spark.range(1).select(clock.instant(AS_OF).alias("at")).write.parquet(f"{root}/ticks")
+    stored = StoredTables.store(t, f"{root}/base", SNAPSHOT_BUCKETS)
+    feed = AccessFeed(spark, t, LIVE_FROM, f"{root}/feed", stored=stored)
+    ticks = read_stream(spark, f"{root}/ticks", struct(at="ts"))
+    query = feed.start(ticks, _events(spark, sf_dir), every="0 seconds")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return feed.latest().select("user_id", "has_access", "access_type")
+
+
 def stream_signups(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = derived_tables(spark, sf_dir)
     signups = derived_stream(spark, sf_dir, "signups")
@@ -368,6 +456,7 @@ STREAMS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_access_updates": stream_access_updates,
     "stream_trial_access": stream_trial_access,
     "stream_access_feed": stream_access_feed,
+    "stream_live_access": stream_live_access,
     "stream_signups": stream_signups,
     "stream_trial_timers": stream_trial_timers,
 }

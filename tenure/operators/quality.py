@@ -183,6 +183,28 @@ def key_violations(t: Tables, probes: bool = False) -> DataFrame:
     and their rows, without joining them, how many customers it shows, as rule
     ``holds_rows``.
     """
+    rules: dict[Rule, str] = {}
+    for domain, (columns, unique, references) in _DOMAINS.items():
+        here = f"domain = '{domain}' and key is not null"
+        for table in unique:
+            rules[f"unique:{columns[table]}", table] = f"count_if({here} and {table} > 1)"
+        for child, parent in references.items():
+            orphans = f"sum(case when {here} and {parent} = 0 then {child} end)"
+            rules[f"reference:{columns[child]}", child] = orphans
+    if probes:
+        for view, table in _JOINED.items():
+            shown = f"(key is null or {table} = 0 or live_{table} > 0)"
+            rules[_HOLDS_ROWS, view] = (
+                f"count_if(domain = 'customer' and live_stripe_customers > 0 and {shown})"
+            )
+    names = {rule: f"v{i}" for i, rule in enumerate(rules)}
+    per_key = _rows_per_key(t, probes)
+    totals = per_key.agg(*[F.expr(f"{rules[rule]} as {name}") for rule, name in names.items()])
+    return totals.selectExpr(_inline(names))
+
+
+def _rows_per_key(t: Tables, probes: bool = False) -> DataFrame:
+    """How many rows each table holds of each domain's key."""
     holders = {domain: dict(columns) for domain, (columns, _, _) in _DOMAINS.items()}
     if probes:
         holders["customer"] |= dict.fromkeys(_JOINED.values(), "customer_id")
@@ -203,28 +225,55 @@ def key_violations(t: Tables, probes: bool = False) -> DataFrame:
     if probes:
         lasting = ("stripe_customers", *_JOINED.values())
         counts |= {f"live_{x}": f"count_if(src = '{x}' and live)" for x in lasting}
-    per_key = (
+    return (
         reduce(DataFrame.unionByName, tagged)
         .groupBy("domain", "key")
         .agg(*[F.expr(f"{count} as {name}") for name, count in counts.items()])
     )
-    rules: dict[Rule, str] = {}
+
+
+# What names a row of each table.
+_ROW_KEY = {
+    table: "user_id" if table == "user_account_state" else "id" for table in CORE_TABLES
+}
+
+
+def _broken(rules: list[tuple[str, str, str, str]]) -> str:
+    """One (rule, table_name, rows) row per rule (name, table, condition, rows) that a
+    row breaks, as SQL text."""
+    told = ", ".join(
+        f"struct('{rule}' as rule, '{table}' as table_name, cast({rows} as bigint) as rows,"
+        f" {condition} as broken)"
+        for rule, table, condition, rows in rules
+    )
+    return f"inline(filter(array({told}), x -> x.broken))"
+
+
+def offending_keys(t: Tables) -> DataFrame:
+    """(rule, table_name, key, rows): which keys break a rule, and by how many rows.
+
+    A repeated key is named once with all its rows, a missing parent with the rows that
+    refer to it, and a row with an empty or disallowed value by its table's own key.
+    Their numbers are those of ``constraint_violations``. Sound rows of the row rules are
+    dropped where they are read; key rules take the one grouping by key.
+    """
+    parts = []
+    for table in CORE_TABLES:
+        rules = [(rule, table, condition, "1") for (rule, _), condition in _row_rules(table).items()]
+        key = f"cast({_ROW_KEY[table]} as string) as key"
+        parts.append(getattr(t, table).selectExpr(key, _broken(rules)))
+    rows = reduce(DataFrame.unionByName, parts).drop("broken")
+    by_row = rows.groupBy("rule", "table_name", "key").agg(F.sum("rows").alias("rows"))
+    rules = []
     for domain, (columns, unique, references) in _DOMAINS.items():
-        here = f"domain = '{domain}' and key is not null"
+        here = f"domain = '{domain}'"
         for table in unique:
-            rules[f"unique:{columns[table]}", table] = f"count_if({here} and {table} > 1)"
+            rules.append((f"unique:{columns[table]}", table, f"{here} and {table} > 1", table))
         for child, parent in references.items():
-            orphans = f"sum(case when {here} and {parent} = 0 then {child} end)"
-            rules[f"reference:{columns[child]}", child] = orphans
-    if probes:
-        for view, table in _JOINED.items():
-            shown = f"(key is null or {table} = 0 or live_{table} > 0)"
-            rules[_HOLDS_ROWS, view] = (
-                f"count_if(domain = 'customer' and live_stripe_customers > 0 and {shown})"
-            )
-    names = {rule: f"v{i}" for i, rule in enumerate(rules)}
-    totals = per_key.agg(*[F.expr(f"{rules[rule]} as {name}") for rule, name in names.items()])
-    return totals.selectExpr(_inline(names))
+            missing = f"{here} and {parent} = 0 and {child} > 0"
+            rules.append((f"reference:{columns[child]}", child, missing, child))
+    per_key = _rows_per_key(t).filter("key is not null")
+    return by_row.unionByName(per_key.selectExpr("key", _broken(rules)).drop("broken"))
 
 
 def constraint_violations(t: Tables) -> DataFrame:

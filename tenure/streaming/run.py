@@ -1,4 +1,4 @@
-"""Running a stream over everything available, with replay-safe batches."""
+"""Running a stream, over everything available or on and on, with replay-safe batches."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 _PROVIDER_KEY = "spark.sql.streaming.stateStore.providerClass"
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -26,6 +27,23 @@ def state_on_disk(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_PROVIDER_KEY, before)
 
 
+def keep_running(
+    stream: DataFrame,
+    on_batch: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    mode: str,
+    every: str,
+) -> StreamingQuery:
+    """Start a query that takes what has come, a batch ``every`` so often, until stopped."""
+    return (
+        stream.writeStream.foreachBatch(on_batch)
+        .outputMode(mode)
+        .option("checkpointLocation", checkpoint)
+        .trigger(processingTime=every)
+        .start()
+    )
+
+
 def drain(
     stream: DataFrame,
     on_batch: Callable[[DataFrame, int], None],

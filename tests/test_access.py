@@ -1,12 +1,18 @@
 from itertools import product
 
 import pytest
-from hand import AS_OF, DAY, by, customer, state, subscription, tables, trial, user
+from hand import AS_OF, DAY, by, customer, history, state, subscription, tables, trial, user
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from tenure.model import PAYING_STATUSES, SUBSCRIPTION_STATUSES, TRIAL_STATUSES
-from tenure.operators.entitlement import entitled_rows, rows_of
+from tenure.operators import quality
+from tenure.operators.entitlement import (
+    allowed_rows,
+    entitled_rows,
+    entitlement_grants,
+    rows_of,
+)
 from tenure.plans import access
 from tenure.sources.products import PRODUCTS, products
 
@@ -205,3 +211,50 @@ def test_products(spark):
     rows = by(products(spark), "product_id")
     assert {p[0] for p in PRODUCTS} == set(rows)
     assert str(rows["pro_product"].price) == "45.00"
+
+
+def test_an_admin_is_one_grant_however_long_the_history(spark):
+    """Ten thousand admins, two of whom ask; the grants answer as the rows would."""
+    history_rows = [history(f"gone{i}@example.com") for i in range(300)]
+    t = tables(spark, user_trials=[trial(1), trial(2)], deleted_account_history=history_rows)
+    admins = spark.range(1, 10_001).selectExpr("id as viewer_id")
+    viewers = spark.range(10_500).selectExpr("id as viewer_id")
+    grants = entitlement_grants(t, viewers, admins)
+    assert grants.filter("scope = 'all'").count() == 10_000
+    assert sorted(r.row_key for r in grants.filter("scope = 'row'").collect()) == ["1", "2"]
+    emails = ["gone7@example.com", "gone8@example.com", "none@example.com"]
+    asked = [(v, "deleted_account_history", e) for v in (3, 4, 10_400) for e in emails]
+    asked += [(1, "user_trials", "1"), (1, "user_trials", "2"), (1, "user_trials", "1")]
+    frame = spark.createDataFrame(asked, "viewer_id long, table_name string, row_key string")
+    found = {tuple(r)[:3]: r.allowed for r in allowed_rows(t, frame, admins).collect()}
+    whole = {tuple(r) for r in entitled_rows(t, viewers, [3, 4]).collect()}
+    assert found == {key: key in whole for key in asked}
+    assert found == {
+        tuple(r)[:3]: r.allowed for r in allowed_rows(t, frame, list(range(1, 10_001))).collect()
+    }
+
+
+def test_offending_keys_add_up_to_the_violations(spark):
+    t = tables(
+        spark,
+        users=[user(1), user(2), user(2)],
+        user_trials=[trial(1), trial(1, "odd"), trial(9, id=None), trial(None, id=5)],
+        stripe_customers=[customer(1), customer(3), customer(4, customer_id="cus_3")],
+        stripe_subscriptions=[subscription(3), subscription(8)],
+    )
+    found = {tuple(r) for r in quality.offending_keys(t).collect()}
+    assert {
+        ("unique:user_id", "users", "2", 2),
+        ("unique:user_id", "user_trials", "1", 2),
+        ("unique:customer_id", "stripe_customers", "cus_3", 2),
+        ("values:trial_status", "user_trials", "1", 1),
+        ("not_null:id", "user_trials", None, 1),
+        ("not_null:user_id", "user_trials", "5", 1),
+        ("reference:user_id", "user_trials", "9", 1),
+        ("reference:customer_id", "stripe_subscriptions", "cus_8", 1),
+    } <= found
+    told = {}
+    for rule, table, _, rows in found:
+        told[rule, table] = told.get((rule, table), 0) + (1 if rule.startswith("unique") else rows)
+    counted = {(r.rule, r.table_name): r.violations for r in quality.constraint_violations(t).collect()}
+    assert {k: v for k, v in counted.items() if v} == told

@@ -13,6 +13,7 @@ from tenure.session import shared_dir
 from tenure.sources.derived import AS_OF, PROTECTED_IDS, derived_stream, derived_tables
 from tenure.operators.keyed import extreme_per_key
 from tenure.sources.manifest import Record
+from tenure.sources.snapshots import StoredTables
 from tenure.sources.tables import ChangeLog, read_stream
 from tenure.streaming.access import AccessFeed
 from tenure.streaming.signups import SignupStream
@@ -378,3 +379,94 @@ def test_a_merge_that_fails_has_changed_nothing(spark, monkeypatch):
     again.write(one(3), 3)
     assert sorted(r.user_id for r in again.read().collect()) == [0, 1, 2, 3]
     assert again._state()[1] == 2
+
+
+# Continuous refresh ---------------------------------------------------------------
+
+
+def test_two_ticks_change_access_without_an_event(spark, tmp_path):
+    """One query, never restarted: users wake at their own trial's end, put off or not."""
+    from hand import AS_OF as NOW
+    from hand import DAY, by, customer, frame, tables, trial
+
+    t = tables(
+        spark,
+        user_trials=[trial(i, end=NOW + i * DAY) for i in (1, 2, 3, 4)],
+        stripe_customers=[customer(2), customer(4)],
+    )
+    files = str(tmp_path)
+    paid = {
+        "event_id": "evt_1",
+        "type": "customer.subscription.updated",
+        "created": NOW,
+        "customer": "cus_2",
+        "subscription_id": "sub_2",
+        "subscription_status": "active",
+    }
+    schemas = {
+        "ticks": struct(at="ts"),
+        "user_trials": SCHEMAS["user_trials"],
+        "webhook_events": SCHEMAS["webhook_events"],
+    }
+
+    def give(name, *rows):
+        given = frame(spark, name, rows, schemas[name])
+        given.coalesce(1).write.mode("append").parquet(f"{files}/{name}")
+
+    for name in schemas:
+        give(name)
+    streams = {n: read_stream(spark, f"{files}/{n}", s) for n, s in schemas.items()}
+    feed = AccessFeed(spark, t, NOW, shared_dir(spark, "live"), merge_every=2)
+    query = feed.start(
+        streams["ticks"], streams["webhook_events"], streams["user_trials"], every="0 seconds"
+    )
+
+    def access_by():
+        query.processAllAvailable()
+        return {u: r.has_access for u, r in by(feed.latest()).items()}
+
+    try:
+        run = query.runId
+        give("webhook_events", paid)
+        give("user_trials", trial(3, end=NOW + 9 * DAY, updated_at=NOW))
+        assert access_by() == {2: True, 3: True}
+        give("ticks", {"at": NOW + DAY})
+        assert access_by() == {1: False, 2: True, 3: True}
+        # At 2 the payer stays, at 3 the trial was put off, at 4 a free trial ends.
+        give("ticks", {"at": NOW + 4.5 * DAY})
+        assert access_by() == {1: False, 2: True, 3: True, 4: False}
+        give("ticks", {"at": NOW + 2 * DAY})  # a clock that goes back is not followed
+        give("ticks", {"at": NOW + 9 * DAY})
+        assert access_by() == {1: False, 2: True, 3: False, 4: False}
+        assert query.runId == run and query.isActive
+    finally:
+        query.stop()
+    # Started again, the feed goes on at the time it had reached.
+    again = AccessFeed(spark, t, NOW, feed.root, merge_every=2)
+    query = again.start(
+        streams["ticks"], streams["webhook_events"], streams["user_trials"], every="0 seconds"
+    )
+    try:
+        give("user_trials", trial(1, end=NOW + 8 * DAY, updated_at=NOW + DAY))
+        query.processAllAvailable()
+        assert not by(again.latest())[1].has_access
+    finally:
+        query.stop()
+
+
+def test_a_batch_opens_only_its_users_buckets(spark, t, tmp_path):
+    """A trial changes: of each base table one bucket of 16 is read, with the same result."""
+    stored = StoredTables.store(t, shared_dir(spark, "base"), 16)
+    row = t.user_trials.orderBy("user_id").limit(1).collect()
+    given = spark.createDataFrame(row, t.user_trials.schema)
+    near = stored.of_users(t, given.select("user_id"))
+    for name in ("stripe_customers", "user_trials", "stripe_subscriptions"):
+        files = {f.split("/bucket=")[1].split("/")[0] for f in getattr(near, name).inputFiles()}
+        assert len(files) <= 1, name
+    given.coalesce(1).write.parquet(str(tmp_path / "trials"))
+    found = []
+    for base in (None, stored):
+        feed = AccessFeed(spark, t, AS_OF, shared_dir(spark, "feed"), stored=base)
+        feed.run(trials=read_stream(spark, str(tmp_path / "trials"), t.user_trials.schema))
+        found.append(spark_rows(feed.latest()))
+    assert found[0] == found[1] and sum(found[0][1].values()) == 1
