@@ -9,6 +9,7 @@ from collections.abc import Iterable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from tenure.session import CHECKPOINT_KEY, shared_dir
 
@@ -39,7 +40,7 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def uniform(*keys: str, seed: int = 0) -> Column:
+def uniform(*keys: str | Column, seed: int = 0) -> Column:
     """A number in (0, 1) that depends on the key columns and the seed alone."""
     bits = F.shiftrightunsigned(F.xxhash64(*keys, F.lit(seed)), 11)
     return (bits.cast("double") + 0.5) / float(1 << 53)
@@ -72,7 +73,9 @@ def attach(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
     if small.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(small), key)
     salted = small.withColumn("_salt", F.explode(F.array(*(F.lit(i) for i in range(_SALTS)))))
-    spread = rows.withColumn("_salt", F.floor(F.rand(1) * _SALTS).cast("int"))
+    # From the row itself, so that a task that is run again deals the same salts.
+    plain = [f.name for f in rows.schema if not isinstance(f.dataType, (ArrayType, MapType, StructType))]
+    spread = rows.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(_SALTS)).cast("int"))
     return spread.join(salted, [key, "_salt"]).drop("_salt")
 
 

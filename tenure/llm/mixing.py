@@ -5,7 +5,7 @@ size; what a source cannot take is shared by weight among the others. Within a
 source, a document's expected copies are proportional to its preference (one for
 all, unless a column says otherwise) and at most MAX_COPIES. The whole part of the
 expected copies is certain. The rest is the document's inclusion probability p:
-with a random number u, taken from the id alone, documents are ranked by
+with a random number u, taken from id and text, documents are ranked by
 
     (u / (1 - u)) / (p / (1 - p))
 
@@ -19,9 +19,11 @@ round of the sharing. The decision about a document depends on its own row and o
 one row per source, so texts are never shuffled.
 
 Defined results. A null text has size 0 and takes no words. A null source is a
-source of its own and comes last. Rows that repeat an id have one random number
-and one fate. Empty sources have target 0. An empty table gives no rows. Columns
-of the documents that are named like an added one are replaced.
+source of its own and comes last. Rows alike in id and text have one random number
+and one fate; rows without an id, or that share one, are drawn by their texts. Very long
+texts count whole. Empty sources have target 0. An empty table gives no rows. Columns
+of the documents that are named like one of the five added ones are replaced; any other
+name passes through.
 """
 
 from __future__ import annotations
@@ -31,10 +33,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenure.llm.columns import attach, saved, text_or_empty, uniform, word_count
+from tenure.llm.columns import attach, saved, text_key, text_or_empty, uniform, word_count
 from tenure.llm.selection import cut_points
 
 
+ADDED = ("size", "source_size", "target", "copies", "taken")
+
+
 @dataclass(frozen=True)
 class Mix:
     """Sources in code point order weigh ``weights``, repeating."""
@@ -184,14 +189,13 @@ def mix_sources(
     ``preference_col`` holds positive numbers; null counts as 1.
     """
     preference = F.coalesce(F.col(preference_col), F.lit(1.0)) if preference_col else F.lit(1.0)
-    added = documents.drop(*(x for x in ("source_size", "target", "copies", "taken"))).withColumns(
-        {
-            "size": word_count(text_or_empty(text_col)),
-            "_source": F.col(source_col),
-            "_g": _group(F.col(source_col)),
-            "_preference": preference.cast("double"),
-            "_u": uniform(id_col, seed=mix.seed),
-        }
+    added = documents.select(
+        F.struct(*(documents[c] for c in documents.columns)).alias("_row"),
+        word_count(text_or_empty(text_col)).alias("size"),
+        F.col(source_col).alias("_source"),
+        _group(F.col(source_col)).alias("_g"),
+        preference.cast("double").alias("_preference"),
+        uniform(id_col, text_key(F.col(text_col)), seed=mix.seed).alias("_u"),
     )
     sized = saved(added.select("_source", "_g", "size", "_preference", "_u"))
     found = attach(added, plan(sized, mix), "_g").withColumns(
@@ -201,8 +205,8 @@ def mix_sources(
         (F.col("_rank") < F.col("_cut")) | (F.col("_rank") == F.col("_closing"))
     )
     copies = (F.col("_sure") + F.when(extra, 1).otherwise(0)).cast("long")
-    given = [c for c in documents.columns if c not in ("size", "source_size", "target", "copies", "taken")]
+    given = [c for c in documents.columns if c not in ADDED]
     return found.select(
-        *given, "size", "source_size", "target", copies.alias("copies"),
+        *(F.col("_row").getField(c).alias(c) for c in given), "size", "source_size", "target", copies.alias("copies"),
         (copies * F.col("size")).alias("taken"),
     )

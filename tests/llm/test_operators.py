@@ -262,6 +262,33 @@ def test_preferred_documents_are_taken_more_often(spark):
     assert sums[3.0] / sums[1.0] == pytest.approx(3, rel=0.15)
 
 
+def test_mix_draws_rows_without_an_id_by_their_texts_and_keeps_any_column(spark):
+    names = ["_scale", "_cut", "_closing", "_g", "_u", "_row", "_source", "_sure", "_rank", "size"]
+    texts = [f"w{i} b c d" for i in range(2000)]
+    rows = spark.createDataFrame(
+        [(None if i % 2 else i, t, "s", *range(10)) for i, t in enumerate(texts)],
+        "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names),
+    )
+    found = mixing.mix_sources(rows, mixing.Mix(share=0.5))
+    assert [c for c in found.columns if c in names[:-1]] == names[:-1]
+    got = found.collect()
+    assert all(tuple(r[n] for n in names[:-1]) == tuple(range(9)) for r in got)
+    kept = [sum(r["copies"] for r in got if (r["doc_id"] is None) == none) for none in (True, False)]
+    assert sum(kept) == 1000 and abs(kept[0] - kept[1]) < 120
+
+
+def test_a_long_list_is_attached_with_salts_of_the_rows(spark, monkeypatch):
+    from tenure.llm import columns
+
+    monkeypatch.setattr(columns, "BROADCAST_ROWS", 2)
+    rows = spark.range(300).select((F.col("id") % 5).alias("k"), "id", F.array("id").alias("list"))
+    small = saved(spark.range(4).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v")))
+    found = columns.attach(rows, small, "k")
+    assert sorted((r["id"], r["v"]) for r in found.collect()) == [
+        (i, i % 5 * 10) for i in range(300) if i % 5 < 4
+    ]
+
+
 # Chat format ----------------------------------------------------------------
 
 

@@ -38,7 +38,7 @@ def test_stages_take_odd_rows(spark, sf_dir):
         *(F.lit(None).cast(f.dataType).alias(f.name) for f in documents.schema)
     )
     docs = documents.unionByName(documents.limit(5)).unionByName(odd).withColumns(
-        {n: F.lit(1) for n in ("kept", "found", "size", "_row", "fp")}
+        {n: F.lit(1) for n in ("kept", "found", "size", "_row", "fp", "_scale", "_cut", "_closing", "_u")}
     )
     for name, stage in corpus_pipeline.STAGES:
         empty = stage(spark, docs.limit(0), sf_dir)
