@@ -757,6 +757,14 @@ def _offenders(renamed: dict[str, str]) -> str:
     return " UNION ALL ".join(parts)
 
 
+STATEMENTS["product_lookup"] = (
+    "SELECT user_id, asked, price_id, product_name, mode, price FROM (SELECT user_id, CASE"
+    " user_id % 4 WHEN 0 THEN 'pro_product' WHEN 1 THEN 'trial_product' WHEN 2 THEN 'no_product'"
+    " END AS asked FROM users) u LEFT JOIN (VALUES"
+    " ('pro_product', 'price_pro', 'Go Pro', 'subscription', 45.00::DECIMAL(10, 2)),"
+    " ('trial_product', 'trial_price', '7-Day Free Trial', 'subscription', 0.00::DECIMAL(10, 2)))"
+    " p(product_id, price_id, product_name, mode, price) ON p.product_id = u.asked"
+)
 SHARED["fewer_users"] = "SELECT * FROM users WHERE user_id % 7 <> 0"
 SHARED["odd_trials"] = (
     "SELECT * FROM user_trials UNION ALL"

@@ -17,6 +17,7 @@ from tenure.operators.keyed import change_feed
 from tenure.plans import access, accounts, billing, trials
 from tenure.session import shared_dir
 from tenure.sources.derived import AS_OF, PROTECTED_IDS, derived_stream, derived_tables
+from tenure.sources.products import product_by_id
 from tenure.sources.snapshots import BucketedSnapshot, StoredTables
 from tenure.sources.tables import read_stream
 from tenure.streaming.access import AccessFeed
@@ -155,6 +156,16 @@ def _asked_rows(t: Tables) -> DataFrame:
     return own.unionByName(ask("user_trials", C("user_id") + 1)).unionByName(history)
 
 
+def _product_lookup(t: Tables) -> DataFrame:
+    """What users find by product id; some ask for none, some for one that is not there."""
+    ids = F.array(*(F.lit(x) for x in ("pro_product", "trial_product", "no_product", None)))
+    asked = t.users.select("user_id", F.get(ids, (C("user_id") % 4).cast("int")).alias("asked"))
+    found = asked.withColumn("found", product_by_id(C("asked")))
+    return found.select(
+        "user_id", "asked", "found.price_id", "found.product_name", "found.mode", "found.price"
+    )
+
+
 def _faulty(t: Tables) -> Tables:
     """The tables after some users were lost and some trials came twice, with an odd status."""
     twice = t.user_trials.filter("user_id % 11 = 0").withColumn("trial_status", F.lit("odd"))
@@ -227,6 +238,7 @@ BATCH: dict[str, Callable[[Tables], DataFrame]] = {
     "admin_overview": access.admin_overview,
     "protection_status": access.protection_status,
     "current_plan": access.current_plan,
+    "product_lookup": lambda t: _product_lookup(t),
     "subscription_label": access.subscription_label,
     "customer_nested": lambda t: access.customer_nested(t).select(
         "customer_id",

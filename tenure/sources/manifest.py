@@ -64,7 +64,7 @@ class Record:
         frame.write.mode("overwrite").parquet(older[1])
 
 
-_ENTRY = struct(name="string", path="string", schema="string", rows="long")
+_ENTRY = struct(name="string", path="string", schema="string")
 
 
 class Outputs:
@@ -94,8 +94,7 @@ class Outputs:
         if entry is None:
             path, made = new_path(self.root, name), make()
             made.write.mode("errorifexists").parquet(path)
-            rows = self.spark.read.schema(made.schema).parquet(path).count()
-            one = self.spark.createDataFrame([(name, path, made.schema.json(), rows)], _ENTRY)
+            one = self.spark.createDataFrame([(name, path, made.schema.json())], _ENTRY)
             one.coalesce(1).write.parquet(new_path(f"{self.root}/manifest", name))
             entry = self.entries()[name]
         schema = T.StructType.fromJson(json.loads(entry["schema"]))
