@@ -3,8 +3,8 @@
 A row is filed under each hour in which it, or an older row of its key, falls due. So
 whoever reads an hour finds the newest row of every key that was ever filed there,
 and a row that was put off is seen as such at its old hour without a look at any
-other file. Reading a span of time opens the files of its hours only; days and hours
-are folders, so even the listing skips all other days' files.
+other file. A day is a folder and its rows are sorted by hour: reading a span of time lists and
+opens the files of its days only, and of those the parts that hold its hours.
 """
 
 from __future__ import annotations
@@ -49,16 +49,22 @@ class DueIndex:
         self.key, self.order = key, list(order)
 
     def file(self, rows: DataFrame, hours: Column, batch_id: int) -> None:
-        """File each row under all of its hours; a replayed batch replaces its own files."""
+        """File each row under all of its hours; a replayed batch replaces its own files.
+
+        A day's rows come together first, so that it gets one file per batch, or a few
+        where it has very many rows.
+        """
         filed = rows.withColumn("hour", F.explode(F.array_distinct(hours))).filter("hour IS NOT NULL")
         filed = conform(
             filed.withColumn("day", F.substring("hour", 1, 10)).withColumn("batch", F.lit(batch_id)),
             self._filed(),
         )
         (
-            filed.write.mode("overwrite")
+            filed.hint("rebalance", "day")
+            .sortWithinPartitions("day", "hour")
+            .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("day", "hour", "batch")
+            .partitionBy("day", "batch")
             .parquet(self.root)
         )
 
