@@ -10,17 +10,20 @@ escaped text holds no control string and always comes back as it was. Roles are
 written with ``%``, ``<`` and line breaks as ``%25``, ``%3C`` and ``%0A``.
 
 Only DataFrame functions run. The turns of a conversation meet in one row, as the
-formatted text is one value; equal conversations stay apart.
+formatted text is one value; equal conversations stay apart. The places of the texts are
+running sums of lengths over a conversation's turns, and texts are cut out of their own
+turn's part, so the time grows with the turns and not with their square.
 
 Defined results. A null role or text counts as empty, a null turn sorts first, and
 turns of the same number are ordered by role and text; repeated rows are repeated
-turns. A null conversation id is a conversation of its own. An empty table gives
-no rows.
+turns. A null conversation id is a conversation of its own. Texts and conversations of
+any length that one value can hold are formatted whole. Columns beyond the four are not
+read, so their names cannot clash. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -75,11 +78,13 @@ def format_conversations(
     role_col: str = "role",
     text_col: str = "text",
 ) -> DataFrame:
-    """``id, formatted, turns, loss_spans, round_trip``, a row per conversation.
+    """``id, formatted, turns, places, loss_spans, round_trip``, a row per conversation.
 
-    ``turns`` are read back from the formatted text. ``loss_spans`` are the places
-    (``start`` and exclusive ``end``, in code points) of the escaped assistant
-    texts; ``round_trip`` says that the turns read back equal the source.
+    ``turns`` are read back from the formatted text. ``places`` says for each turn where
+    its escaped text is (``start`` and exclusive ``end``, in code points), the length of
+    its written role, and whether it counts for the ``loss``; ``loss_spans`` are the
+    places that do, those of the assistant texts. ``round_trip`` says that the turns read
+    back equal the source.
     """
     source = conversations.select(
         F.col(id_col).alias("_id"),
@@ -91,9 +96,28 @@ def format_conversations(
     same = alone == F.array(F.struct(F.col("role").alias("role"), F.col("text").alias("text")))
     turns = source.withColumn(
         "body", F.when(same, F.col("text")).otherwise(escaped(F.col("text")))
+    ).select(
+        "*",
+        F.length(role_written(F.col("role"))).alias("role_chars"),
+        F.length("body").alias("body_chars"),
+        F.length(escaped(F.col("text"))).alias("escaped_chars"),
+    )
+    # Where the turn's text ends, if only the turns in need are escaped and if all are.
+    so_far = Window.partitionBy("_id").orderBy("_turn", "role", "text").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    marks = len(START) + 1 + len(END) + 1
+
+    def end_of(chars: str) -> Column:
+        total = F.sum(F.col("role_chars") + F.col(chars) + marks).over(so_far)
+        return (total - len(END) - 1).cast("int")
+
+    ended = turns.select(
+        "*", end_of("body_chars").alias("end"), end_of("escaped_chars").alias("escaped_end")
     )
-    whole = turns.groupBy("_id").agg(
-        F.sort_array(F.collect_list(F.struct("_turn", "role", "text", "body"))).alias("_turns")
+    fields = "_turn role text end escaped_end body role_chars body_chars escaped_chars".split()
+    whole = ended.groupBy("_id").agg(
+        F.sort_array(F.collect_list(F.struct(*fields))).alias("_turns")
     )
 
     def joined(body) -> Column:
@@ -101,6 +125,15 @@ def format_conversations(
             F.transform("_turns", lambda t: rendered(t["role"], body(t))), ""
         )
 
+    def places(end: str, chars: str) -> Column:
+        return F.transform(
+            "_turns",
+            lambda t: F.struct(
+                (t[end] - t[chars]).alias("start"), t[end].alias("end"),
+                t["role_chars"].alias("role_chars"), (t["role"] == LOSS_ROLE).alias("loss"),
+            ),
+        )
+
     plain = F.transform("_turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     first = whole.select(
         "_id", "_turns", plain.alias("_plain"), joined(lambda t: t["body"]).alias("_first")
@@ -111,50 +144,38 @@ def format_conversations(
         F.when(F.col("_same"), F.col("_first"))
         .otherwise(joined(lambda t: escaped(t["text"])))
         .alias("formatted"),
-        F.transform(
-            "_turns",
-            lambda t: F.struct(
-                t["role"].alias("role"),
-                F.length(role_written(t["role"])).alias("role_chars"),
-                F.length(F.when(F.col("_same"), t["body"]).otherwise(escaped(t["text"]))).alias(
-                    "body_chars"
-                ),
-            ),
-        ).alias("_lengths"),
-    )
-    # One pass over the turns adds up their lengths; assistant texts are marked on the way.
-    marks = len(START) + 1
-    after = len(END) + 1
-
-    def place(state: Column, turn: Column) -> Column:
-        start = state["at"] + marks + turn["role_chars"]
-        end = start + turn["body_chars"]
-        span = F.array(F.struct(start.alias("start"), end.alias("end")))
-        return F.struct(
-            (end + after).alias("at"),
-            F.when(turn["role"] == LOSS_ROLE, F.concat(state["spans"], span))
-            .otherwise(state["spans"])
-            .alias("spans"),
-        )
-
-    empty = F.struct(
-        F.lit(0).alias("at"),
-        F.array().cast("array<struct<start:int,end:int>>").alias("spans"),
+        F.when(F.col("_same"), places("end", "body_chars"))
+        .otherwise(places("escaped_end", "escaped_chars"))
+        .alias("places"),
     )
     return final.select(
         F.col("_id").alias(id_col),
         "formatted",
         parsed(F.col("formatted")).alias("turns"),
-        F.aggregate("_lengths", empty, place, lambda s: s["spans"]).alias("loss_spans"),
+        "places",
+        F.transform(
+            F.filter("places", lambda p: p["loss"]),
+            lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end")),
+        ).alias("loss_spans"),
         "_plain",
     ).select(
-        id_col, "formatted", "turns", "loss_spans",
+        id_col, "formatted", "turns", "places", "loss_spans",
         (F.col("turns") == F.col("_plain")).alias("round_trip"),
     )
 
 
-def loss_texts(formatted: Column, spans: Column) -> Column:
-    """The texts at the places of the loss mask, unescaped, in order."""
-    return F.transform(
-        spans, lambda s: unescaped(F.substring(formatted, s["start"] + 1, s["end"] - s["start"]))
+def loss_texts(formatted: Column, places: Column) -> Column:
+    """The texts under the loss mask, unescaped, in order.
+
+    Each is cut out of its own turn's part of the formatted text.
+    """
+    def cut(part: Column, place: Column) -> Column:
+        text = F.substring(part, place["role_chars"] + 2, place["end"] - place["start"])
+        return F.when(place["loss"], unescaped(text))
+
+    parts = F.split(formatted, r"<\|im_start\|>", -1)
+    # Before the first mark stands nothing.
+    before = F.struct(
+        F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(0).alias("role_chars"), F.lit(False).alias("loss")
     )
+    return F.filter(F.zip_with(parts, F.concat(F.array(before), places), cut), lambda t: t.isNotNull())

@@ -74,7 +74,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chat_format.format_conversations(given.unionByName(probe))
     told = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     loss = out.withColumn(
-        "_loss", F.array_join(chat_format.loss_texts(F.col("formatted"), F.col("loss_spans")), "")
+        "_loss", F.array_join(chat_format.loss_texts(F.col("formatted"), F.col("places")), "")
     )
     return loss.select(
         "conv_id",

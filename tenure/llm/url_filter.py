@@ -2,15 +2,17 @@
 
 The list is turned into a blocked Bloom filter: each URL sets a few bits of one
 64-bit word, and that word is chosen by the URL's hash. Pages look up a single
-word, and those whose bits are all set go on to an exact join with the list,
-which removes the false positives. Everything is DataFrame functions. The filter
-is itself a table of (word number, word); Spark broadcasts it, or the list, only
-where its measured size is below the session's limit, and shuffles otherwise.
+word, and only those whose bits are all set and that no rule has judged go on to an
+exact join with the list, which removes the false positives; all others are done.
+Everything is DataFrame functions. The filter is itself a table of (word number,
+word). Up to BROADCAST_WORDS words, 16 bytes each, it is sent to every executor and no
+page is shuffled for it; beyond that narrow rows meet it on the word's number.
 
 Defined results. A URL that is null or has no ``://`` has an empty host and path,
 fits no rule and is never listed: ``allow``. Null and repeated list entries count
-once. An empty list blocks nothing. Repeated pages give repeated rows. Columns of
-the pages beyond id and URL are not read, so their names cannot clash.
+once. An empty list blocks nothing. Repeated pages give repeated rows. Very long URLs
+are judged whole. Columns of the pages beyond id and URL are not read, so their names
+cannot clash.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from tenure.llm.columns import ascii_lower
 
 BITS_PER_URL = 12
 HASHES = 4
+#: A filter of up to so many words (16 MB) is broadcast: a list of 5.5 million URLs.
+BROADCAST_WORDS = 1 << 20
 
 #: Query parameters that only say where a visitor came from.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "ref", "fbclid", "gclid")
@@ -87,9 +91,13 @@ def _mask(name: str) -> Column:
     return mask
 
 
+def word_total(count: int) -> int:
+    return max(1, count * BITS_PER_URL // 64)
+
+
 def bloom_words(listed: DataFrame, count: int, name: str = "canonical") -> DataFrame:
     """The filter as rows ``word`` and ``bits``, for a list of ``count`` URLs."""
-    words = F.lit(max(1, count * BITS_PER_URL // 64)).cast("long")
+    words = F.lit(word_total(count)).cast("long")
     return (
         listed.select(_word(F.xxhash64(name), words).alias("word"), _mask(name).alias("mask"))
         .groupBy("word")
@@ -97,6 +105,26 @@ def bloom_words(listed: DataFrame, count: int, name: str = "canonical") -> DataF
     )
 
 
+def listed_urls(blocked: DataFrame) -> DataFrame:
+    """The distinct canonical URLs of the frame's first column."""
+    urls = blocked.select(canonical(F.col(blocked.columns[0])).alias("canonical"))
+    return urls.filter(F.col("canonical") != "").distinct()
+
+
+def looked_up(judged: DataFrame, listed: DataFrame, count: int) -> DataFrame:
+    """Rows with ``canonical`` and ``_verdict``, and ``_possible``: may be listed, and no rule has judged."""
+    words = bloom_words(listed, count)
+    if word_total(count) <= BROADCAST_WORDS:
+        words = F.broadcast(words)
+    total = F.lit(word_total(count)).cast("long")
+    rows = judged.withColumn("word", _word(F.xxhash64("canonical"), total))
+    mask = _mask("canonical")
+    possible = F.coalesce(F.col("bits").bitwiseAND(mask) == mask, F.lit(False))
+    return rows.join(words, "word", "left").select(
+        *judged.columns, (possible & F.col("_verdict").isNull()).alias("_possible")
+    )
+
+
 def filter_urls(
     pages: DataFrame,
     blocked: DataFrame,
@@ -109,39 +137,29 @@ def filter_urls(
     ``blocked`` has one string column of URLs in any form. A rule's verdict stands
     before the list's.
     """
-    listed = (
-        blocked.select(canonical(F.col(blocked.columns[0])).alias("canonical"))
-        .filter(F.col("canonical") != "")
-        .distinct()
-    )
-    count = listed.count()
-    words = F.lit(max(1, count * BITS_PER_URL // 64)).cast("long")
+    listed = listed_urls(blocked)
     url = F.col(url_col)
     judged = pages.select(
-        F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"),
+        F.col(id_col).alias("_id"), host_of(url).alias("host"), path_of(url).alias("path"),
         canonical(url).alias("canonical"),
     )
     judged = judged.select(
         "*",
         *(best_rule(F.col("host"), F.col("path"), rules, x).alias(f"_{x}") for x in ("name", "verdict")),
-        _word(F.xxhash64("canonical"), words).alias("word"),
-        _mask("canonical").alias("_mask"),
     )
-    looked = judged.join(bloom_words(listed, count), "word", "left")
-    possible = F.coalesce(F.col("bits").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False))
-    # Rows that the filter rules out take part without a match; they keep their own
-    # keys, as rows without one would all meet in one task.
-    looked = looked.withColumn("_possible", possible & F.col("_verdict").isNull())
-    exact = listed.select(F.col("canonical").alias("_listed"))
-    hit = (F.col("canonical") == F.col("_listed")) & F.col("_possible")
-    return looked.join(exact, hit, "left").select(
-        id_col,
-        "host",
-        "path",
-        "canonical",
-        F.col("_name").alias("rule"),
-        F.coalesce(
-            F.col("_verdict"),
-            F.when(F.col("_listed").isNotNull(), "block").otherwise("allow"),
-        ).alias("verdict"),
+    looked = looked_up(judged, listed, listed.count())
+
+    def result(rows: DataFrame, verdict: Column) -> DataFrame:
+        return rows.select(
+            F.col("_id").alias(id_col), "host", "path", "canonical",
+            F.col("_name").alias("rule"), verdict.alias("verdict"),
+        )
+
+    # The URLs are read once for each side; that is less than to write or shuffle them.
+    met = looked.filter("_possible").join(
+        listed.select("canonical", F.lit(True).alias("_listed")), "canonical", "left"
+    )
+    done = result(looked.filter("not _possible"), F.coalesce(F.col("_verdict"), F.lit("allow")))
+    return done.unionByName(
+        result(met, F.when(F.col("_listed"), "block").otherwise("allow"))
     )

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -304,7 +305,33 @@ def test_conflicting_turns_come_back(spark):
         assert [(t["role"], t["text"]) for t in r["turns"]] == [(x[1], x[2]) for x in want]
         marked = [r["formatted"][s["start"] : s["end"]] for s in r["loss_spans"]]
         assert [re.sub(r"<\\(\\*)\|", r"<\1|", m) for m in marked] == [x[2] for x in want if x[1] == "assistant"]
+        assert [(p["start"], p["end"]) for p in r["places"] if p["loss"]] == [(s["start"], s["end"]) for s in r["loss_spans"]]
     assert chat_format.format_conversations(frame.limit(0)).count() == 0
+    texts = chat_format.format_conversations(frame).select(
+        "conv_id", chat_format.loss_texts(F.col("formatted"), F.col("places")).alias("loss")
+    )
+    for conv, loss in texts.collect():
+        assert loss == [odd[(conv + 1) % len(odd)] or ""] if conv is not None else loss == []
+
+
+def test_time_grows_with_the_turns_of_a_conversation(spark):
+    def taken(turns):
+        rows = spark.range(turns).select(
+            F.lit(1).alias("conv_id"), F.col("id").alias("turn"),
+            F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+            F.concat(F.lit("words <| and more words "), F.col("id").cast("string")).alias("text"),
+        )
+        loss = chat_format.loss_texts(F.col("formatted"), F.col("places"))
+        out = chat_format.format_conversations(rows).select(
+            "round_trip", F.size("turns"), F.size(loss), loss[turns // 2 - 1]
+        )
+        start = time.perf_counter()
+        assert out.collect() == [(True, turns, turns // 2, f"words <| and more words {turns - 1}")]
+        return time.perf_counter() - start
+
+    taken(1_000)
+    few = taken(10_000)
+    assert taken(100_000) <= 12 * max(few, 0.5)
 
 
 # Quality rules --------------------------------------------------------------
@@ -580,6 +607,21 @@ def test_bloom_passes_every_listed_url_and_the_join_the_rest(spark):
     assert url_filter.filter_urls(pages, blocked.limit(0), []).filter("verdict = 'block'").isEmpty()
 
 
+def test_only_possible_hits_enter_the_exact_join(spark, monkeypatch):
+    pages = spark.range(5_000).select(
+        F.col("id").alias("page_id"), F.concat(F.lit("https://a.org/p/"), F.col("id").cast("string")).alias("url")
+    )
+    listed = url_filter.listed_urls(pages.filter("page_id % 50 = 0").select("url"))
+    judged = pages.select("page_id", url_filter.canonical(F.col("url")).alias("canonical"), F.lit(None).cast("string").alias("_verdict"))
+    for most in (url_filter.BROADCAST_WORDS, 1):
+        monkeypatch.setattr(url_filter, "BROADCAST_WORDS", most)
+        possible = url_filter.looked_up(judged, listed, 100).filter("_possible")
+        assert possible.filter("page_id % 50 = 0").count() == 100 and possible.count() < 200
+        found = url_filter.filter_urls(pages, pages.filter("page_id % 50 = 0").select("url"), [])
+        assert {r["page_id"] for r in found.filter("verdict = 'block'").collect()} == set(range(0, 5_000, 50))
+        assert found.count() == 5_000
+
+
 # HTML -----------------------------------------------------------------------
 
 
