@@ -1,28 +1,37 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks at block-level tags. Menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and reader comments are left out by element
-and by class, id or role; a header inside an article belongs to it. Of a class, id or
-role whole names count, or names made of listed words only, and never against an
-article or main element or what holds one that has no such name itself. Elements whose
-end tag is omitted end where HTML ends them: a head at the first element or text that
-cannot be in it, a p or li at the tags that close it.
-
-The first pass looks at each block alone: many characters in links make it bad,
-enough characters with enough stop words good, and the rest stay undecided: headings,
-short blocks, and long ones without stop words. Where stop words make no block of a
-page good, as in languages without any here, enough characters do. In the second pass
-an undecided block takes the label of the nearest decided neighbour. The edges of an article or main element
-count as good neighbours, those of the page as bad ones; between a good and a bad
-neighbour at the same distance, stop words decide. An undecided heading goes with
-the next decided block.
+A page is cut into blocks at block-level tags. Scripts, styles, the head and forms hold no
+blocks. Elements whose end tag is omitted end where HTML ends them: a head at the first
+element or text that cannot be in it, a p or li at the tags that close it.
+
+The first pass looks at each block alone. Many characters in links make it bad, except a
+paragraph in an article or main element, which may well be one link. So does standing in
+a menu, header, footer, sidebar, notice, advert or reader comments, known by the element,
+or by a class, id or role that is a listed word (never against an article or main element
+or what holds one that has no such name itself); a header inside an article belongs to
+it. Names with a listed word among others (``site-footer``, ``commentList``) are weak
+evidence: they count unless they tell of the page's state (``has-sidebar``,
+``comments-open``), and are dropped for a page on which they leave nothing. Of the others,
+enough characters with enough stop words make a block good, and the rest stay undecided:
+headings, short blocks, and long ones without stop words. Where stop words make no block
+of a page good, as in languages without any here, enough characters do, an ideograph
+or syllable sign counting as three; where these make none, blocks that end as sentences do.
+
+In the second pass an undecided block takes the label of the nearest decided neighbour.
+Blocks that are bad by where they stand are passed over, as an advert may stand anywhere
+in a text. In an article or main element its edges count as good neighbours, and a block is
+bad only between two bad ones; outside, the page's edges are bad, and between a good and a
+bad neighbour at the same distance stop words decide. An undecided heading goes with the
+next decided block.
 
 Good blocks are joined in page order. Character references are decoded, white space
 in a block becomes one space, nothing is cut.
 
 Defined results. A null or empty page, and one without a good block, gives an empty
 text. Markup that is cut off at the end is markup; elements left open end with the
-element around them or the page. Repeated rows give repeated rows; an empty table gives none.
+element around them or the page. Pages of any length are read whole. Repeated rows give repeated
+rows; an empty table gives none. A column ``main_text`` of the pages is replaced, and the
+other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -54,9 +63,8 @@ STOP_WORDS = frozenset(
 
 # Fixed: elements whose text is never shown as prose, and elements around the article.
 _RAW = "script|style|noscript|template|textarea|svg|math|iframe|object|canvas"
-_OUTSIDE = frozenset(
-    "head title nav footer aside form menu dialog button select header".split()
-)
+_HIDDEN = frozenset("head title form dialog button select".split())
+_OUTSIDE = frozenset("nav footer aside menu header".split())
 _MAIN = frozenset({"article", "main"})
 _BLOCKS = frozenset(
     """
@@ -94,6 +102,12 @@ _NOT_ARTICLE = frozenset(
     toolbar widget widgets complementary
     """.split()
 )
+# Fixed: beside such a word, these say how the page is made, not what an element is.
+_STATES = frozenset(
+    "has no with without open closed enabled disabled layout template is not before after free show hide off".split()
+)
+# Fixed: what makes a header that of the site.
+_SITE = frozenset("site page main top global".split())
 
 _TOKEN = re.compile(
     rf"""
@@ -106,16 +120,25 @@ _TOKEN = re.compile(
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _PARTS = re.compile("[a-z]+")
+_HUMPS = re.compile("[A-Z]?[a-z]+|[A-Z]+")
+_WIDE = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
+_SENTENCE = re.compile(r"[.!?…。！？।؟]['\"”’»)\]]*\Z")
 # From the first letter of a word to its last.
 _LETTERS = re.compile(r"[^\W\d_](?:\S*[^\W\d_])?")
 
 
+#: Where a block stands: in the open, in what is no article, or in what is named like that.
+IN_OPEN, IN_OUTSIDE, IN_NAMED = 0, 1, 2
+
+
 @dataclass
 class Block:
     text: str
     link_chars: int
     heading: bool
     main: int  # the article or main element it is in; 0 for none
+    paragraph: bool = False
+    place: int = IN_OPEN
 
 
 @dataclass(slots=True, eq=False)
@@ -123,7 +146,8 @@ class Element:
     name: str
     rest: str
     holds: bool = False  # an article or main element
-    outside: bool = False
+    place: int = IN_OPEN
+    hidden: bool = False
 
 
 def _named_outside(rest: str) -> bool:
@@ -138,13 +162,30 @@ def _named_outside(rest: str) -> bool:
     return False
 
 
-def _is_outside(element: Element, in_main: bool) -> bool:
+def _named_alike(rest: str) -> bool:
+    """A class, id or role with a listed word among others, unless it tells of a state."""
+    if "=" not in rest:
+        return False
+    for value in _NAMES.findall(rest):
+        for whole in value.strip("\"'").split():
+            words = {w.lower() for w in _HUMPS.findall(whole)}
+            if words & _STATES:
+                continue
+            if words & _NOT_ARTICLE or ("header" in words and words & _SITE):
+                return True
+    return False
+
+
+def _place(element: Element, in_main: bool) -> int:
     name = element.name
     if name in _OUTSIDE:
-        return not (name == "header" and in_main)
-    if name in ("html", "body") or name in _MAIN or element.holds:
-        return False
-    return _named_outside(element.rest)
+        return IN_OPEN if name == "header" and in_main else IN_OUTSIDE
+    if name in ("html", "body") or element.holds:
+        return IN_OPEN
+    if name not in _MAIN and _named_outside(element.rest):
+        return IN_OUTSIDE
+    # A page has one main element, but articles may be comments.
+    return IN_NAMED if name != "main" and _named_alike(element.rest) else IN_OPEN
 
 
 def _events(page: str) -> Iterator[tuple[str, str, Element | None, list[Element]]]:
@@ -192,7 +233,7 @@ def _events(page: str) -> Iterator[tuple[str, str, Element | None, list[Element]
             ended += end(*_ENDS[name])
         element = Element(name, rest)
         if name not in _VOID and not rest.endswith("/"):
-            if name in _MAIN and not _named_outside(rest):
+            if name in _MAIN and not _named_outside(rest) and not (name == "article" and _named_alike(rest)):
                 for e in reversed(stack):
                     if e.holds:
                         break
@@ -209,23 +250,27 @@ def _events(page: str) -> Iterator[tuple[str, str, Element | None, list[Element]
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The page's blocks outside menus and the like, in order."""
+    """The page's blocks in order, with where they stand."""
     found: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    link_depth, heading, main, mains = 0, False, 0, 0
+    link_depth, heading, paragraph, main, mains = 0, False, False, 0, 0
     main_stack: list[tuple[Element, int]] = []
-    outside = 0  # how many open elements are left out
+    hidden = 0  # how many open elements show no text
+    places = [0, 0, 0]  # how many open elements are of each place
+    kept_state = (0, False, False)  # of the block around what is outside
 
     def end_block() -> None:
         text = " ".join("".join(parts).split())
         if text:
-            found.append(Block(text, len(" ".join("".join(linked).split())), heading, main))
+            place = IN_OUTSIDE if places[IN_OUTSIDE] else IN_NAMED if places[IN_NAMED] else IN_OPEN
+            chars = len(" ".join("".join(linked).split()))
+            found.append(Block(text, chars, heading, main, paragraph, place))
         parts.clear()
         linked.clear()
 
     def add(raw: str) -> None:
-        if raw and not outside:
+        if raw and not hidden:
             text = unescape(raw) if "&" in raw else raw
             parts.append(text)
             if link_depth:
@@ -237,15 +282,23 @@ def blocks_of(page: str) -> list[Block]:
         if between:
             add(between)
             breaks = breaks if between.isspace() else 0
+        closed_outside = False
         for e in ended:
-            outside -= e.outside
+            hidden -= e.hidden
+            closed_outside = e.hidden
+            if e.place:
+                end_block()
+                places[e.place] -= 1
+                if e.place == IN_OUTSIDE:
+                    link_depth, heading, paragraph = kept_state
+                    closed_outside = True
             if main_stack and main_stack[-1][0] is e:
                 main_stack.pop()
         if not name:
             continue
         closing = name[0] == "/"
         name = name[closing:]
-        if outside or (closing and ended and ended[-1].outside):
+        if hidden or (closing and closed_outside):
             continue
         if name == "br":
             breaks += 1
@@ -255,20 +308,31 @@ def blocks_of(page: str) -> list[Block]:
                 parts.append(" ")
             continue
         breaks = 0
+        outside = places[IN_OUTSIDE] > 0
         if name in _BLOCKS:
             end_block()
             heading, link_depth = name in _HEADINGS and not closing, 0
-        main = main_stack[-1][1] if main_stack else 0
+            paragraph = name == "p" and not closing
+        if not outside:
+            main = main_stack[-1][1] if main_stack else 0
         if closing:
             if name == "a":
                 link_depth = max(0, link_depth - 1)
             continue
         if not element:
             continue
-        if _is_outside(element, bool(main)):
+        if name in _HIDDEN:
             end_block()
-            element.outside, outside = True, 1
-        elif name in _MAIN:
+            element.hidden, hidden = True, 1
+            continue
+        place = IN_OPEN if outside else _place(element, bool(main))
+        if place:
+            end_block()
+            element.place = place
+            places[place] += 1
+            if place == IN_OUTSIDE:
+                kept_state = (link_depth, heading, paragraph)
+        if name in _MAIN and place != IN_OUTSIDE and not outside:
             mains += 1
             main = mains
             main_stack.append((element, main))
@@ -283,29 +347,64 @@ def stop_share(text: str) -> float:
     return sum(w in STOP_WORDS for w in _LETTERS.findall(text.lower())) / max(1, len(text.split()))
 
 
-def first_pass(block: Block) -> bool | None:
-    """Good, bad, or None for undecided."""
-    if block.link_chars > MAX_LINK_SHARE * len(block.text):
-        return False
-    if block.heading or len(block.text) < GOOD_CHARS:
-        return None
-    return True if stop_share(block.text) >= GOOD_STOP_SHARE else None
+def size(text: str) -> int:
+    """Characters, those that stand for a syllable or a word three times."""
+    return len(text) + (0 if text.isascii() else 2 * len(_WIDE.findall(text)))
+
 
+#: What decided a block.
+LINKS, PLACE, STOP_SHARE, LENGTH, SENTENCE, NEIGHBOURS = range(6)
 
-def labels(blocks: list[Block]) -> list[bool]:
-    decided = [first_pass(b) for b in blocks]
-    if True not in decided:
-        # No stop words that are known here: length decides.
+
+def first_pass(block: Block, names: bool = True) -> tuple[bool, int] | None:
+    """Good or bad and by which rule, or None for undecided."""
+    linked = block.link_chars > MAX_LINK_SHARE * len(block.text)
+    if linked and not (block.main and block.paragraph and not block.place):
+        return False, LINKS
+    if block.place == IN_OUTSIDE or (names and block.place == IN_NAMED):
+        return False, PLACE
+    if linked or block.heading or size(block.text) < GOOD_CHARS:
+        return None
+    return (True, STOP_SHARE) if stop_share(block.text) >= GOOD_STOP_SHARE else None
+
+
+def _decided(blocks: list[Block], names: bool) -> list[tuple[bool, int] | None]:
+    decided = [first_pass(b, names) for b in blocks]
+    tests = (
+        (LENGTH, lambda b: size(b.text) >= GOOD_CHARS),
+        (SENTENCE, lambda b: not b.link_chars and _SENTENCE.search(b.text)),
+    )
+    for rule, good in tests:
+        # No stop words that are known here, or only short blocks.
+        if any(d and d[0] for d in decided):
+            break
         decided = [
-            True if d is None and not b.heading and len(b.text) >= GOOD_CHARS else d
+            (True, rule) if d is None and not b.heading and good(b) else d
             for b, d in zip(blocks, decided, strict=True)
         ]
+    return decided
+
+
+def decisions(blocks: list[Block]) -> list[tuple[bool, int]]:
+    """For each block whether it is good, and what decided that."""
+    out = _second_pass(blocks, _decided(blocks, True), True)
+    if not any(good for good, _ in out) and any(b.place == IN_NAMED for b in blocks):
+        out = _second_pass(blocks, _decided(blocks, False), False)
+    return out
+
+
+def _second_pass(
+    blocks: list[Block], decided: list[tuple[bool, int] | None], names: bool
+) -> list[tuple[bool, int]]:
     n = len(blocks)
+    passed = [b.place == IN_OUTSIDE or (names and b.place == IN_NAMED) for b in blocks]
 
     def nearest(order) -> list[tuple[int, bool]]:
         """For each block the distance and label of the last decided neighbour passed."""
-        found, gap, label, inside = [None] * n, 1, False, 0
+        found, gap, label, inside = [(0, False)] * n, 1, False, 0
         for i in order:
+            if passed[i]:
+                continue
             if blocks[i].main != inside:
                 inside, gap = blocks[i].main, 1
                 label = inside > 0 or label
@@ -313,25 +412,30 @@ def labels(blocks: list[Block]) -> list[bool]:
             if decided[i] is None:
                 gap += 1
             else:
-                gap, label = 1, decided[i]
+                gap, label = 1, decided[i][0]
         return found
 
     before, after = nearest(range(n)), nearest(range(n - 1, -1, -1))
     out = []
-    for block, label, (left, a), (right, b) in zip(blocks, decided, before, after, strict=True):
-        if label is None and (a == b or block.heading):
+    for block, first, (left, a), (right, b) in zip(blocks, decided, before, after, strict=True):
+        if first is not None:
+            out.append(first)
+            continue
+        if a == b or block.heading:
             label = b  # a heading goes with what follows it
-        elif label is None and left != right:
+        elif block.main:
+            label = True
+        elif left != right:
             label = a if left < right else b
-        elif label is None:
+        else:
             label = stop_share(block.text) >= SOME_STOP_SHARE
-        out.append(label)
+        out.append((label, NEIGHBOURS))
     return out
 
 
 def main_text(page: str) -> str:
     blocks = blocks_of(page)
-    kept = [b.text for b, good in zip(blocks, labels(blocks), strict=True) if good]
+    kept = [b.text for b, (good, _) in zip(blocks, decisions(blocks), strict=True) if good]
     return "\n\n".join(kept)
 
 
