@@ -17,7 +17,7 @@ first shared q-gram to its last; those of one item that overlap make one span.
 The bit map has a fixed size bound whatever the benchmark's size. The index comes
 in blocks of about BLOCK_CHARS characters; only the regions, few and saved, meet
 every block. Long benchmark texts are cut into overlapping pieces that no window
-can miss. Documents are read once and never shuffled.
+can miss. No text is shuffled to find matches; ``row_filter`` says how rows are left out.
 
 Defined results. A null or empty text is clean. Benchmark rows that are null or
 shorter than SHORTEST characters are no passages. Benchmark rows that share an id
@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenure.llm.columns import arrow_batch, saved, text_key, texts_of
+from tenure.llm.row_filter import named_rows
 
 Q, WINDOW, CHARS_PER_EDIT, SHORTEST = 8, 96, 20, 32
 BLOCK_CHARS, PIECE_CHARS = 1_000_000, 10_000
@@ -376,6 +377,5 @@ def clean_documents(
 ) -> DataFrame:
     """The documents without the contaminated ones."""
     spans = contaminated_spans(documents, benchmark, id_col, text_col)
-    dropped = spans.select(F.col("id").alias("_drop"), F.col("key").alias("_drop_key")).distinct()
-    same = documents[id_col].eqNullSafe(dropped["_drop"]) & (text_key(documents[text_col]) == dropped["_drop_key"])
-    return documents.join(dropped, same, "left_anti")
+    names = spans.select(F.col("id").alias("_named_id"), F.col("key").alias("_named_key"))
+    return named_rows(documents, saved(names.distinct()), id_col, text_col, without=True)

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from tenure.llm.columns import arrow_batch, saved, text_key
+from tenure.llm.row_filter import named_rows
 
 SHINGLE_WORDS, MAX_BITS, SEED = 3, 3, 42
 #: Fingerprints of an anchor that one task compares as one group, and at most.
@@ -314,16 +315,15 @@ def one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def named(rows: DataFrame) -> DataFrame:
         return saved(rows.select(F.col("_name.id").alias("_named_id"), F.col("_name.key").alias("_named_key")))
 
-    def joined(rows: DataFrame, names: DataFrame, how: str) -> DataFrame:
-        same = rows[id_col].eqNullSafe(names["_named_id"]) & (text_key(rows[text_col]) == names["_named_key"])
-        return rows.join(names, same, how)
+    def among(rows: DataFrame, names: DataFrame, without: bool) -> DataFrame:
+        return named_rows(rows, names, id_col, text_col, without)
 
-    kept = joined(documents, named(found.filter(~first).select("_name").distinct()), "left_anti")
+    kept = among(documents, named(found.filter(~first).select("_name").distinct()), True)
     repeated = named(found.filter(first).groupBy("_name").count().filter("count > 1"))
     if repeated.isEmpty():
         return kept
     whole = F.struct(*(F.col(c) for c in documents.columns)).alias("_row")
-    twice = joined(kept, repeated, "left_semi").select(whole, F.col(id_col).alias("_id"), text_key(text).alias("_key"))
+    twice = among(kept, repeated, False).select(whole, F.col(id_col).alias("_id"), text_key(text).alias("_key"))
     once = twice.dropDuplicates(["_id", "_key"])
     once = once.select(*(F.col("_row").getField(c).alias(c) for c in documents.columns))
-    return joined(kept, repeated, "left_anti").unionByName(once)
+    return among(kept, repeated, True).unionByName(once)

@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 
 from tenure.llm import (
     chat_format,
+    columns,
     decontamination,
     html_extract,
     mixing,
     quality_classifier,
     quality_rules,
     queries,
+    row_filter,
     secret_scan,
     selection,
     simhash,
@@ -537,6 +539,23 @@ def test_one_row_of_each_group_where_ids_are_null_or_repeated(spark):
 # Decontamination ------------------------------------------------------------
 
 
+@pytest.mark.parametrize("sent, words", [(100_000, 1 << 20), (1, 1 << 20), (1, 0)])
+def test_named_rows_go_or_stay_whatever_their_number(spark, monkeypatch, sent, words):
+    monkeypatch.setattr(columns, "BROADCAST_ROWS", sent)
+    monkeypatch.setattr(url_filter, "BROADCAST_WORDS", words)
+    rows = [(i % 40 if i % 7 else None, f"text {i % 60}" if i % 11 else None, i) for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _row long")
+    gone = {(i, hashlib.md5((t or "").encode()).hexdigest()) for i, t, n in rows if n % 9 == 0}
+    names = spark.createDataFrame(sorted(gone, key=str) * 2, "_named_id long, _named_key string")
+    named = {n for i, t, n in rows if (i, hashlib.md5((t or "").encode()).hexdigest()) in gone}
+    for without, want in ((True, set(range(400)) - named), (False, named)):
+        found = row_filter.named_rows(frame, names, "doc_id", "text", without)
+        assert found.columns == frame.columns
+        assert sorted(r["_row"] for r in found.collect()) == sorted(want)
+        assert row_filter.named_rows(frame.limit(0), names, "doc_id", "text", without).isEmpty()
+    assert row_filter.named_rows(frame, names.limit(0), "doc_id", "text", True).count() == 400
+
+
 def edited(rng, text, edits):
     chars = list(text)
     for _ in range(edits):
