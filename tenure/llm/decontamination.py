@@ -14,21 +14,29 @@ so that any k + 1 diagonals lie in one band, and aligns every window whose count
 meets the bound within the band. A window that aligns covers the document from its
 first shared q-gram to its last; those of one item that overlap make one span.
 
-The bit map has a fixed size bound whatever the benchmark's size. The index comes
-in blocks of about BLOCK_CHARS characters; only the regions, few and saved, meet
-every block. Long benchmark texts are cut into overlapping pieces that no window
-can miss. No text is shuffled to find matches; ``row_filter`` says how rows are left out.
-
-Defined results. A null or empty text is clean. Benchmark rows that are null or
-shorter than SHORTEST characters are no passages. Benchmark rows that share an id
-are one item. A row's result depends on its own text, also where ids are null or
-repeated; repeated rows stay. Empty tables give clean documents or no rows. Only id
-and text are read.
+A bit map takes MAP_CHARS characters of benchmark text, so that it is at most about a
+sixteenth full; a larger benchmark comes in groups with a map each, and the documents
+are read once per group. The index comes in blocks of about BLOCK_CHARS characters;
+only a group's regions, few and saved, meet its blocks. Long benchmark texts are cut
+into overlapping pieces that no window can miss. No text is shuffled to find matches;
+``row_filter`` says how rows are left out.
+
+Items below SHORTEST characters are compared exactly, in one case and with single
+spaces. From Q characters up they count wherever they stand as whole words (between two
+letters or digits below U+2000 no word begins or ends); shorter ones, which share no
+q-gram and would be found in any text, where they are the whole document. They are
+looked up by rolling hashes at word starts, SHORT_BLOCK items at a time.
+
+Defined results. A null or empty text is clean. Benchmark rows that are null or hold only
+white space are no passages. Benchmark rows that share an id are one item; short items alike
+go by their smallest id. A row's result depends on its own text, also where ids are null or
+repeated; repeated rows stay. Very long texts are searched whole. Empty tables give clean
+documents or no rows. Only id and text are read, so that other columns cannot clash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +48,9 @@ from tenure.llm.row_filter import named_rows
 
 Q, WINDOW, CHARS_PER_EDIT, SHORTEST = 8, 96, 20, 32
 BLOCK_CHARS, PIECE_CHARS = 1_000_000, 10_000
-MAX_MAP_BITS = 26
+MAX_MAP_BITS, MAP_CHARS = 26, 1 << 22
+#: Short items that are sent to the tasks at a time.
+SHORT_BLOCK = 100_000
 #: Lengths at which the thresholds of shorter benchmark texts change.
 _CLASSES = ((32, 48), (48, 64), (64, 80), (80, WINDOW), (WINDOW, WINDOW + 1))
 
@@ -89,9 +99,87 @@ def pieces(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     last = F.greatest(F.length(text) - 1, F.lit(0))
     start = F.explode(F.sequence(F.lit(0), last, F.lit(PIECE_CHARS)))
     rows = benchmark.filter(F.length(text) >= SHORTEST)
-    return rows.select(F.col(id_col).alias("item"), text.alias("_t"), start.alias("offset")).select(
+    cut = rows.select(F.col(id_col).alias("item"), text.alias("_t"), start.alias("offset")).select(
         "item", "offset", F.substring("_t", F.col("offset") + 1, F.lit(PIECE_CHARS + 2 * WINDOW)).alias("text")
     )
+    return cut.distinct()
+
+
+def short_items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``item, text`` of the items below SHORTEST characters, in one case and with single spaces, each text once."""
+    rows = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("text"))
+    id_type = rows.schema["item"].dataType.simpleString()
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = [normal(t)[0] for t in texts_of(batch, "text")]
+            kept = [i for i, c in enumerate(codes) if 0 < len(c) < SHORTEST]
+            schema = pa.schema([batch.schema.field("item"), ("text", pa.string())])
+            items = batch.column("item").take(pa.array(kept, pa.int64()))
+            yield arrow_batch({"item": items, "text": [_plain(codes[i]) for i in kept]}, schema)
+
+    found = rows.mapInArrow(shorten, f"item {id_type}, text string").filter("text <> ''")
+    return found.groupBy("text").agg(F.min("item").alias("item"))
+
+
+def _plain(codes: np.ndarray) -> str:
+    return codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").rstrip(" ")
+
+
+class ShortItems:
+    """Short items by their texts, and the hashes of each length."""
+
+    def __init__(self, texts: list[str]):
+        self.number = {t: i for i, t in enumerate(texts)}
+        coded = [normal(t)[0] for t in texts if len(t) >= Q]
+        hashes: dict[int, list[int]] = {}
+        for codes in coded:
+            hashes.setdefault(len(codes), []).append(int(_rolled(codes, np.zeros(1, np.int64), len(codes))[-1][0]))
+        self.hashes = {size: np.unique(np.array(h, np.uint64)) for size, h in hashes.items()}
+
+    def matches(self, codes: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """``item, start, end, 0`` of every short item in a normal text."""
+        plain = _plain(codes)
+        if len(plain) < Q:
+            return [(self.number[plain], 0, len(plain), 0)] if plain in self.number else []
+        codes = codes[: len(plain)]
+        letter = ((codes >= 48) & (codes <= 57)) | ((codes >= 97) & (codes <= 122)) | ((codes >= 192) & (codes < 0x2000))
+        edge = np.r_[True, ~(letter[1:] & letter[:-1]), True]
+        starts = np.flatnonzero(edge[:-1])
+        found = []
+        for size, rolled in enumerate(_rolled(codes, starts, max(self.hashes, default=0)), 1):
+            if size not in self.hashes:
+                continue
+            at = starts[: len(rolled)]
+            for start in at[edge[at + size] & np.isin(rolled, self.hashes[size])].tolist():
+                number = self.number.get(plain[start : start + size])
+                if number is not None:
+                    found.append((number, start, start + size, 0))
+        return found
+
+
+def _rolled(codes: np.ndarray, starts: np.ndarray, longest: int) -> list[np.ndarray]:
+    """A hash of the 1, 2, ... ``longest`` characters from each of the ascending places that has so many."""
+    wide, value = codes.astype(np.uint64), np.zeros(len(starts), np.uint64)
+    found = []
+    for size in range(1, longest + 1):
+        left = int(np.searchsorted(starts, len(codes) - size, "right"))
+        value = value[:left] * _MIX + wide[starts[:left] + size - 1] + np.uint64(1)
+        found.append(value)
+    return found
+
+
+def exact_matches(documents: DataFrame, items: list[str]) -> DataFrame:
+    """The places of short items in ``id, key, text`` rows."""
+    sent = documents.sparkSession.sparkContext.broadcast(items)
+    id_type = documents.schema["id"].dataType.simpleString()
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        short = ShortItems(sent.value)
+        for batch in batches:
+            yield _found(batch, short.matches)
+
+    return documents.mapInArrow(find, _found_type(id_type))
 
 
 def gram_map(parts: DataFrame, chars: int) -> np.ndarray:
@@ -272,6 +360,24 @@ def _found_type(id_type: str) -> str:
     return f"id {id_type}, key string, piece long, start long, end long, edits long"
 
 
+def _found(batch: pa.RecordBatch, find: Callable[[np.ndarray], Iterable[tuple[int, int, int, int]]]) -> pa.RecordBatch:
+    """``piece, start, end, edits`` of each row's matches, in places of the document, which ``start`` of the row opens."""
+    rows, out = [], {"piece": [], "start": [], "end": [], "edits": []}
+    opens = batch.column("start").to_pylist() if "start" in batch.schema.names else [0] * batch.num_rows
+    for row, text in enumerate(texts_of(batch, "text")):
+        codes, origin = normal(text)
+        for which, start, end, edits in find(codes):
+            rows.append(row)
+            out["piece"].append(which)
+            out["start"].append(opens[row] + int(origin[start]))
+            out["end"].append(opens[row] + int(origin[end - 1]) + 1)
+            out["edits"].append(edits)
+    names = [batch.schema.field(n) for n in ("id", "key")]
+    schema = pa.schema([*names, *((k, pa.int64()) for k in out)])
+    of = {f.name: batch.column(f.name).take(pa.array(rows, pa.int64())) for f in names}
+    return arrow_batch({**of, **out}, schema)
+
+
 def verified(candidates: DataFrame, items: list[str]) -> DataFrame:
     """The matches of saved regions with one block of pieces."""
     sent = candidates.sparkSession.sparkContext.broadcast(items)
@@ -280,20 +386,7 @@ def verified(candidates: DataFrame, items: list[str]) -> DataFrame:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index([normal(t)[0] for t in sent.value])
         for batch in batches:
-            rows, out = [], {"piece": [], "start": [], "end": [], "edits": []}
-            offsets = batch.column("start").to_pylist()
-            for row, text in enumerate(texts_of(batch, "text")):
-                codes, origin = normal(text)
-                for which, start, end, edits in matches(codes, index):
-                    rows.append(row)
-                    out["piece"].append(which)
-                    out["start"].append(offsets[row] + int(origin[start]))
-                    out["end"].append(offsets[row] + int(origin[end - 1]) + 1)
-                    out["edits"].append(edits)
-            names = [batch.schema.field(n) for n in ("id", "key")]
-            schema = pa.schema([*names, *((k, pa.int64()) for k in out)])
-            of = {f.name: batch.column(f.name).take(pa.array(rows, pa.int64())) for f in names}
-            yield arrow_batch({**of, **out}, schema)
+            yield _found(batch, lambda codes: matches(codes, index))
 
     return candidates.mapInArrow(verify, _found_type(id_type))
 
@@ -312,6 +405,13 @@ def maximal(found: DataFrame) -> DataFrame:
     return spans.drop("_number")
 
 
+def _divided(rows: DataFrame, number: int, seed: int) -> Iterator[DataFrame]:
+    """The rows in ``number`` parts of about equal size, by a hash of the whole row."""
+    part = F.pmod(F.xxhash64(*rows.columns, F.lit(seed)), F.lit(max(1, number)))
+    for i in range(number):
+        yield rows.filter(part == i)
+
+
 def contaminated_spans(
     documents: DataFrame,
     benchmark: DataFrame,
@@ -330,21 +430,24 @@ def contaminated_spans(
         F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text")
     )
     parts = saved(pieces(benchmark, item_col, item_text_col))
-    chars = int(parts.agg(F.sum(F.length("text"))).first()[0] or 0)
-    candidates = saved(regions(rows, gram_map(parts, max(1, chars))))
-    blocks = -(-chars // BLOCK_CHARS)
-    block = F.pmod(F.xxhash64("item", "offset"), F.lit(max(1, blocks)))
+    short = saved(short_items(benchmark, item_col, item_text_col))
     id_type, item_type = (f.dataType.simpleString() for f in (rows.schema["id"], parts.schema["item"]))
     found = spark.createDataFrame([], f"id {id_type}, key string, item {item_type}, start long, end long, edits long")
-    for number in range(blocks):
-        items = parts.filter(block == number).collect()
-        if not items:
-            continue
-        names = F.broadcast(
-            spark.createDataFrame([(i, r["item"]) for i, r in enumerate(items)], f"piece long, item {item_type}")
-        )
-        hits = verified(candidates, [r["text"] for r in items]).join(names, "piece")
-        found = found.unionByName(hits.drop("piece"))
+
+    def named(hits: DataFrame, items: list) -> DataFrame:
+        names = spark.createDataFrame([(i, r["item"]) for i, r in enumerate(items)], f"piece long, item {item_type}")
+        return hits.join(F.broadcast(names), "piece").drop("piece")
+
+    chars = int(parts.agg(F.sum(F.length("text"))).first()[0] or 0)
+    for group in _divided(parts, -(-chars // MAP_CHARS), seed=1):
+        candidates = saved(regions(rows, gram_map(group, min(chars, MAP_CHARS))))
+        for block in _divided(group, -(-min(chars, MAP_CHARS) // BLOCK_CHARS), seed=2):
+            items = block.collect()
+            if items:
+                found = found.unionByName(named(verified(candidates, [r["text"] for r in items]), items))
+    for block in _divided(short, -(-short.count() // SHORT_BLOCK), seed=3):
+        items = block.collect()
+        found = found.unionByName(named(exact_matches(rows, [r["text"] for r in items]), items))
     return saved(maximal(found))
 
 
