@@ -13,8 +13,9 @@ left, each goes on by itself, so that one very long pre-token costs its own leng
 its own pre-tokens and forgets the counts when it has MAX_WORDS of them, which
 bounds memory and changes no count. Nothing is shuffled.
 
-Scores are integers, so that ties are exact: a piece's score is the negative of
-its rank in the vocabulary, which a vocabulary without probabilities has for them.
+Scores are integers, so that ties are exact: a unigram model's log probabilities in
+thousandths. A vocabulary without probabilities, whose scores are whole numbers or
+alike for all pieces, has the negative of a piece's rank instead.
 
 Defined results. A null or empty text has 0 words and tokens. Repeated rows give
 repeated rows; an empty table gives none. Only id and text are read.
@@ -53,11 +54,14 @@ def read_scores(model_path: str) -> Scores:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_path)
-    return {
-        model.id_to_piece(i): -i
-        for i in range(model.get_piece_size())
+    ids = [
+        i for i in range(model.get_piece_size())
         if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i))
-    }
+    ]
+    own = {i: model.get_score(i) for i in ids}
+    if all(score == int(score) for score in own.values()) or len(set(own.values())) == 1:
+        return {model.id_to_piece(i): -i for i in ids}
+    return {model.id_to_piece(i): round(1000 * score) for i, score in own.items()}
 
 
 def _hash(codes: np.ndarray) -> int:
