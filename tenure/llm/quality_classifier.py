@@ -6,7 +6,7 @@ log importance weight is the sum of log(target / raw) over its n-grams, brought
 one common length, as the sums of long and short texts do not compare. Gumbel
 top-k draws the share of documents that the labels call good, without replacement
 and in proportion to the weights: each weight gets Gumbel noise, made from the
-document's id, and the k largest stay.
+document's id and text, and the k largest stay.
 
 N-grams are words, pairs of neighbours and the words' shapes (capital, small,
 digit, sign). A pair of equal words is one n-gram whatever the word.
@@ -17,8 +17,10 @@ bucket. The k-th largest weight is found by histograms, without a sort.
 
 Defined results. A null or empty text has no n-grams and weight 0. Labels without a
 document, null labels and repeated labels are harmless; without any good label
-every document is kept. Repeated rows share their noise. Documents that tie at the
-cut are all kept. An empty table gives no rows.
+every document is kept. Rows alike in id and text share their noise; rows without an
+id, or that share one, are drawn by their texts. Documents that tie at the cut are all
+kept. Very long texts are counted and scored whole. An empty table gives no rows.
+Columns named like one of the three added ones are replaced; any other name passes.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tenure.llm.columns import arrow_batch, bytes_of, saved, uniform
+from tenure.llm.columns import arrow_batch, bytes_of, saved, text_key, uniform
 from tenure.llm.selection import cut_points
 
 BUCKETS = 1 << 14
@@ -142,8 +144,8 @@ def scorer(ratios: np.ndarray):
     return weight
 
 
-def gumbel(id_col: str):
-    return -F.log(-F.log(uniform(id_col, seed=SEED)))
+def gumbel(id_col: str, text_col: str):
+    return -F.log(-F.log(uniform(id_col, text_key(F.col(text_col)), seed=SEED)))
 
 
 def classify(
@@ -156,7 +158,7 @@ def classify(
     """The documents with ``log_weight``, ``gumbel_score`` and ``kept``."""
     ratios = log_ratios(documents, labels, id_col, text_col, label_col)
     weighed = documents.withColumn("log_weight", scorer(ratios)(F.col(text_col)))
-    scored = weighed.withColumn("gumbel_score", F.col("log_weight") + gumbel(id_col))
+    scored = weighed.withColumn("gumbel_score", F.col("log_weight") + gumbel(id_col, text_col))
     share = labels.filter(F.col(label_col).isNotNull()).agg(F.avg(F.col(label_col).cast("double"))).first()[0]
     if not ratios.any() or share is None:
         return scored.withColumn("kept", F.lit(True))

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from tenure.llm.columns import attach, saved
 
 SLICES = 1024
-ROUNDS = 6
 
 
 def _slice(key: Column, low: Column, high: Column) -> Column:
@@ -45,7 +44,7 @@ def cut_points(rows: DataFrame, group: str, key: str, weight: str, budgets: Data
     )
     order = Window.partitionBy(group).orderBy("_slice")
     state = saved(state)
-    for _ in range(ROUNDS):
+    while not state.filter("NOT _fits AND _low < _high").isEmpty():
         inside = attach(rows, state.filter("NOT _fits AND _low < _high"), group).filter(
             (F.col(key) >= F.col("_low")) & (F.col(key) <= F.col("_high"))
         )
@@ -68,15 +67,14 @@ def cut_points(rows: DataFrame, group: str, key: str, weight: str, budgets: Data
         )
         narrowed = state.join(crossed, group, "left").select(
             group,
-            F.coalesce("_found._min", "_low").alias("_low"),
+            # Without a crossing, by rounding of the sums, the cut is the highest key.
+            F.coalesce("_found._min", "_high").alias("_low"),
             F.coalesce("_found._max", "_high").alias("_high"),
             F.coalesce("_found._at", "_before").alias("_before"),
             "_budget",
             "_fits",
         )
         state = saved(narrowed)
-        if state.filter("NOT _fits AND _low < _high").isEmpty():
-            break
     return state.select(
         group,
         F.when(F.col("_fits"), F.lit(float("inf"))).otherwise(F.col("_low")).alias("cut"),
