@@ -10,9 +10,9 @@ with a random number u, taken from id and text, documents are ranked by
     (u / (1 - u)) / (p / (1 - p))
 
 and the smallest are taken, as many as fit into the words that the certain copies
-leave. One more document, the one that comes nearest to the words still missing,
-closes the gap; it may be any document of the source, as the next in rank could be
-far too long.
+leave. A document that would pass the target is left out and the ranking goes on among
+those that still fit, until none does. One more document, the one that comes nearest to
+the words still missing, then closes the gap if that brings the source nearer.
 
 All sums are made by Spark over narrow rows; the driver sees three totals per
 round of the sharing. The decision about a document depends on its own row and on
@@ -20,7 +20,8 @@ one row per source, so texts are never shuffled.
 
 Defined results. A null text has size 0 and takes no words. A null source is a
 source of its own and comes last. Rows alike in id and text have one random number
-and one fate; rows without an id, or that share one, are drawn by their texts. Very long
+and one fate, and where they no longer fit together the ranking of their source ends; rows
+without an id, or that share one, are drawn by their texts. Very long
 texts count whole. Empty sources have target 0. An empty table gives no rows. Columns
 of the documents that are named like one of the five added ones are replaced; any other
 name passes through.
@@ -142,15 +143,9 @@ def plan(sized: DataFrame, mix: Mix) -> DataFrame:
         "budget", F.greatest(F.col("target") - F.col("_certain"), F.lit(0.0))
     )
     chances = saved(rows.filter("_rank IS NOT NULL AND size > 0").select("_g", "_rank", "size"))
-    cuts = saved(cut_points(chances, "_g", "_rank", "size", state.select("_g", "budget")))
-    gaps = saved(
-        cuts.join(state.select("_g", "budget"), "_g").select(
-            "_g", "cut", (F.col("budget") - F.col("before")).alias("_gap")
-        )
-    )
+    gaps = _filled(chances, state.select("_g", F.col("budget").alias("_gap")))
     closing = (
-        attach(chances, gaps, "_g")
-        .filter("_rank >= cut")
+        _left(chances, gaps)
         .groupBy("_g", "_rank", "_gap")
         .agg(F.sum("size").alias("_words"))
         .filter("_words < 2 * _gap")
@@ -159,14 +154,53 @@ def plan(sized: DataFrame, mix: Mix) -> DataFrame:
         .select("_g", F.col("_near._rank").alias("_closing"))
     )
     return saved(
-        scaled.join(gaps.select("_g", "cut"), "_g", "left").join(closing, "_g", "left").select(
-            "_g", "source_size", "target", "_scale",
-            F.coalesce("cut", F.lit(0.0)).alias("_cut"),
+        scaled.join(gaps.select("_g", "_steps"), "_g", "left").join(closing, "_g", "left").select(
+            "_g", "source_size", "target", "_scale", "_steps",
             F.coalesce("_closing", F.lit(-1.0)).alias("_closing"),
         )
     )
 
 
+def _taken(size: Column, rank: Column, steps: Column) -> Column:
+    """Whether one of the steps, each with the longest size and the rank below which it takes, takes a document."""
+    return F.exists(steps, lambda s: (size <= s["most"]) & (rank < s["cut"]))
+
+
+def _left(chances: DataFrame, gaps: DataFrame) -> DataFrame:
+    """The documents that no step has taken, with their source's gap and steps."""
+    rows = attach(chances, gaps, "_g")
+    return rows.filter(~_taken(F.col("size"), F.col("_rank"), F.col("_steps")))
+
+
+def _filled(chances: DataFrame, gaps: DataFrame) -> DataFrame:
+    """``_g, _gap, _steps``: how far down the ranking goes, and the words still missing.
+
+    A step takes by rank, among the documents left that fit by themselves, as many as
+    fit together; so each leaves a gap below the size of one of them. A source is done when
+    a step takes nothing. As ranks are random, the number of steps is about the logarithm of
+    the number of documents. ``gaps`` holds ``_g, _gap``.
+    """
+    none = F.expr("CAST(array() AS array<struct<most: double, cut: double>>)")
+    gaps = saved(gaps.withColumns({"_steps": none, "_open": F.lit(True)}))
+    while True:
+        fitting = saved(_left(chances, gaps.filter("_open")).filter("size <= _gap").select("_g", "_rank", "size"))
+        if fitting.isEmpty():
+            return gaps
+        cuts = saved(cut_points(fitting, "_g", "_rank", "size", gaps.select("_g", F.col("_gap").alias("budget"))))
+        taken = attach(fitting, cuts, "_g").filter("_rank < cut").groupBy("_g")
+        step = F.struct(F.col("_gap").alias("most"), F.col("cut"))
+        gaps = saved(
+            gaps.join(cuts.select("_g", "cut"), "_g", "left")
+            .join(taken.agg(F.sum("size").alias("_words")), "_g", "left")
+            .select(
+                "_g",
+                (F.col("_gap") - F.coalesce("_words", F.lit(0))).alias("_gap"),
+                F.when(F.col("cut").isNull(), F.col("_steps")).otherwise(F.array_append("_steps", step)).alias("_steps"),
+                F.col("_words").isNotNull().alias("_open"),
+            )
+        )
+
+
 def _sampled(mix: Mix) -> list[Column]:
     """Certain copies, and the rank of a document's chance of one more, in (0, 1)."""
     expected = _expected(mix)
@@ -202,11 +236,11 @@ def mix_sources(
         {"_sure": _sampled(mix)[0], "_rank": _sampled(mix)[1]}
     )
     extra = (F.col("size") > 0) & F.col("_rank").isNotNull() & (
-        (F.col("_rank") < F.col("_cut")) | (F.col("_rank") == F.col("_closing"))
+        F.coalesce(_taken(F.col("size"), F.col("_rank"), F.col("_steps")), F.lit(False))
+        | (F.col("_rank") == F.col("_closing"))
     )
     copies = (F.col("_sure") + F.when(extra, 1).otherwise(0)).cast("long")
+    # Before the row is unpacked: in a lambda, a column of the same select that is named alike would come first.
+    found = found.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
     given = [c for c in documents.columns if c not in ADDED]
-    return found.select(
-        *(F.col("_row").getField(c).alias(c) for c in given), "size", "source_size", "target", copies.alias("copies"),
-        (copies * F.col("size")).alias("taken"),
-    )
+    return found.select(*(F.col("_row").getField(c).alias(c) for c in given), *ADDED)
