@@ -108,6 +108,38 @@ def test_long_branches_and_few_of_them(monkeypatch, few, deep):
     assert token_counts.trie_counts(words, pieces).tolist() == [slow_count(w) for w in words]
 
 
+def test_scores_of_a_model_or_its_ranks(monkeypatch):
+    import sentencepiece
+
+    class Model:
+        scores = [0.0, -1.25, -3.5, -2.0]
+
+        def __init__(self, model_file):
+            pass
+
+        def get_piece_size(self):
+            return 4
+
+        def id_to_piece(self, i):
+            return "?abc"[i]
+
+        def get_score(self, i):
+            return self.scores[i]
+
+        def is_unknown(self, i):
+            return i == 0
+
+        def is_control(self, i):
+            return False
+
+        is_byte = is_control
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Model)
+    assert token_counts.read_scores("any") == {"a": -1250, "b": -3500, "c": -2000}
+    Model.scores = [0.0, 0.0, -1.0, -2.0]
+    assert token_counts.read_scores("any") == {"a": -1, "b": -2, "c": -3}
+
+
 def test_token_counts_of_odd_texts(spark, monkeypatch):
     monkeypatch.setattr(token_counts, "read_scores", lambda path: SCORES)
     rows = docs(spark, [None, "", " \t\n", "ab ab  x", "a b", "ab " * 3000])
@@ -135,6 +167,30 @@ def test_classifier_on_held_out_labels(spark, sf_dir):
     assert found.filter("kept").count() == int(np.ceil(share * documents.count()))
 
 
+def test_classifier_draws_rows_without_an_id_by_their_texts(spark):
+    rng = random.Random(17)
+    words = lambda i: " ".join(f"w{rng.randint(0, 50)}" for _ in range(30)) + f" n{i}"
+    rows = spark.createDataFrame(
+        [(None if i % 2 else i, words(i), 7, 8) for i in range(2000)],
+        "doc_id long, text string, kept int, _rank int",
+    )
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(0, 2000, 2)], "doc_id long, quality int")
+    got = quality_classifier.classify(rows, labels)
+    assert got.columns == ["doc_id", "text", "kept", "_rank", "log_weight", "gumbel_score"]
+    without = got.filter("doc_id IS NULL").agg(F.avg(F.col("kept").cast("int"))).first()[0]
+    assert 0.15 < without < 0.85 and got.filter("kept").count() == 1000
+    assert got.filter("_rank <> 8").isEmpty()
+
+
+def test_cut_points_search_until_they_are_found(spark):
+    keys = [1.0 + 2.0**-k for k in range(1, 52)] + [2.0**k for k in range(60)]
+    rows = saved(spark.createDataFrame([("g", k, 1) for k in keys], "g string, k double, w long"))
+    for budget in (0, 1, 7, 50, 110):
+        wanted = spark.createDataFrame([("g", float(budget))], "g string, budget double")
+        found = selection.cut_points(rows, "g", "k", "w", wanted).first()
+        assert (found["cut"], found["before"]) == (sorted(keys)[budget], budget)
+
+
 def test_classifier_without_labels_keeps_all(spark):
     rows = docs(spark, [None, "", "good words here", "good words here"])
     none = spark.createDataFrame([(7, None), (None, 1)], "doc_id long, quality int")
@@ -316,6 +372,28 @@ def test_mix_meets_targets_and_repeats(spark):
     assert mixing.mix_sources(rows.limit(0)).count() == 0
 
 
+def test_ranking_goes_on_past_documents_that_do_not_fit(spark):
+    rng = random.Random(31)
+    texts, sources = [], []
+    for s in range(12):
+        n = rng.randint(30, 120)
+        sources += [f"s{s:02}"] * n
+        texts += ["w " * int(rng.lognormvariate(4, 1.2)) for _ in range(n)]
+    # A source of rows that are all alike shares one fate and must not keep the others from ending.
+    rows = docs(spark, texts, sources).union(
+        spark.createDataFrame([(-1, "w " * 50, "tied", "x", "y")] * 40, DOCS)
+    )
+    got = mixing.mix_sources(rows, mixing.Mix(share=0.6)).filter("source <> 'tied'")
+    size = {}
+    for r in got.collect():
+        size.setdefault(r["source"], []).append((r["target"], r["taken"], r["size"], r["copies"]))
+    assert len(size) == 12
+    for found in size.values():
+        target, taken, most = found[0][0], sum(t for _, t, _, _ in found), max(c for _, _, _, c in found)
+        left = [s for _, _, s, c in found if s and c < most]
+        assert abs(target - taken) <= max(0.005 * target, min(left, default=0))
+
+
 def test_preferred_documents_are_taken_more_often(spark):
     rows = spark.range(4000).select(
         F.col("id").alias("doc_id"), F.lit("a b c d").alias("text"), F.lit("s").alias("source"),
@@ -655,6 +733,64 @@ def test_spans_across_pieces_and_rows_that_share_an_id(spark, monkeypatch):
         assert values(decontamination.clean_documents(rows, bench), "text") == [(texts[1],)]
 
 
+def test_a_benchmark_in_groups_gives_the_same_spans(spark, monkeypatch):
+    rng = random.Random(23)
+    prose = lambda n: "".join(rng.choices("abcdefghijklmnop", k=n))
+    items = [prose(rng.randint(32, 700)) for _ in range(40)]
+    bench = spark.createDataFrame([*enumerate(items), (0, items[0])], "item_id long, text string")
+    texts = [prose(60) + edited(rng, items[i][:96], 1) + prose(80) for i in range(0, 40, 2)] + [prose(300)]
+    got = []
+    for chars in (1 << 22, 2000):
+        monkeypatch.setattr(decontamination, "MAP_CHARS", chars)
+        monkeypatch.setattr(decontamination, "BLOCK_CHARS", chars // 2)
+        got.append(values(decontamination.decontaminate(docs(spark, texts), bench), "doc_id", "items", "spans"))
+    assert got[0] == got[1]
+    assert [i for _, i, _ in got[0]] == [[i] for i in range(0, 40, 2)] + [[]]
+
+
+def test_a_full_map_leaves_clean_documents_alone():
+    rng = np.random.default_rng(5)
+    suspect = sum(bool(decontamination.suspect_regions(rng.random(3000) < 1 / 16)) for _ in range(200))
+    assert 16 * decontamination.MAP_CHARS <= 1 << decontamination.MAX_MAP_BITS
+    assert suspect <= 2
+
+
+def slow_short(text, item):
+    """Places of a short item among whole words, by trying each."""
+    plain = lambda t: " ".join(re.split(r"[ \t-\r]+", t.lower().strip()))
+    text, item = plain(text), plain(item)
+    word = lambda c: c.isascii() and c.isalnum() or "\u00c0" <= c < "\u2000"
+    edge = lambda i: i in (0, len(text)) or not (word(text[i - 1]) and word(text[i]))
+    if len(item) < 8:
+        return text == item
+    ends = range(len(text) - len(item) + 1)
+    return any(text[i : i + len(item)] == item and edge(i) and edge(i + len(item)) for i in ends)
+
+
+def test_short_items_equal_plain_search(spark, monkeypatch):
+    items = [
+        "What is 2+2?", "  what  IS 2+2? ", "yes", "A", "", "   ", None, "été à Paris", "東京は日本の首都です",
+        "ten of them", "a b c d e f g h i j k l m n o p", "#include", "🙂 smile 🙂",
+    ]
+    texts = [
+        "So: what\nis  2+2? Four.", "Yes", "yes it is", "a", "L'Été à paris!", "été à parisienne", "昔から東京は日本の首都です。",
+        "often of them", "ten  OF them", "ten of themes", "x" * 5000 + " a b c d e f g h i j k l m n o p", " #INCLUDE <a>",
+        "one 🙂 smile 🙂", None, "", "  ", "what is 2+2", "yes\n", "b", "ten of them ten of them, ten of them",
+    ]
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string")
+    want = [
+        sorted({0 if i == 1 else i for i, t in enumerate(items) if (t or "").strip() and slow_short(x or "", t)})
+        for x in texts
+    ]
+    assert sum(map(bool, want)) == 11
+    for block in (100_000, 3):
+        monkeypatch.setattr(decontamination, "SHORT_BLOCK", block)
+        found = decontamination.decontaminate(docs(spark, texts), bench)
+        assert [r[1] for r in values(found, "doc_id", "items")] == want
+    spans = {r["doc_id"]: r["spans"] for r in found.collect()}
+    assert spans[0] == ["4:17"] and spans[-1 + len(texts)] == ["0:11", "12:23", "25:36"]
+
+
 def test_banded_alignment_equals_edit_distance():
     rng = random.Random(7)
     for _ in range(60):
